@@ -36,7 +36,8 @@ NUDGE = 1.00000000037
 
 def sig(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.format_string("%.6e", F.round(c.cast("double") * F.lit(NUDGE), 9)).try_cast("double") + F.lit(0.0)
+    x = c.cast("double") * F.lit(NUDGE)
+    return F.when(F.abs(x) < 1e-9, F.lit(0.0)).otherwise(F.format_string("%.6e", x).try_cast("double"))
 
 
 def sig_all(df: DataFrame, *names: str) -> DataFrame:
@@ -44,7 +45,8 @@ def sig_all(df: DataFrame, *names: str) -> DataFrame:
 
 
 def S(x: str) -> str:
-    return f"(printf('%.6e', round(({x})::DOUBLE * {NUDGE}::DOUBLE, 9))::DOUBLE + 0.0)"
+    x = f"({x})::DOUBLE * {NUDGE}::DOUBLE"
+    return f"(CASE WHEN abs({x}) < 1e-9 THEN 0.0::DOUBLE ELSE printf('%.6e', {x})::DOUBLE END)"
 
 
 # --- the wide case table: lineitem as simulation cases ----------------------------------------------
