@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from emulake.plans.catalog import splits, accuracy  # noqa: F401
+from emulake.plans.catalog import accuracy, profiling, splits  # noqa: F401
 from emulake.plans.catalog.base import ORACLES, QUERIES  # noqa: F401
