@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulake.models.base import REGISTRY, Model, numpy_scores
+from emulake.models.sums import MERGERS
 from emulake.operators.scale import column_stats
 from emulake.operators.split import epoch_sample
 from emulake.session import materialize
 
+DIRECT_SHARDS = 64  # up to this many shards send their weights to the driver themselves
 ACTIVATIONS = ("relu", "tanh", "leaky_relu", "sigmoid")
 
 
@@ -135,7 +137,7 @@ class MLP(Model):
                     raise ValueError("epoch_fraction needs the key columns in params['key']")
                 chosen = epoch_sample(data.where("NOT is_val"), key, fraction, epoch, seed)
                 rows = chosen.unionByName(data.where("is_val"))
-            got = _epoch(rows, net, w, first, second, steps, lr, batch, seed + epoch, train=epoch <= epochs)
+            got = _epoch(rows, net, w, first, second, steps, lr, batch, seed + epoch, epoch <= epochs, shards)
             if epoch > 1 and self.history:  # the incoming weights are those the last epoch produced
                 last = self.history[-1]
                 last["val_loss"] = got["val_loss"]
@@ -170,7 +172,8 @@ class MLP(Model):
         return self
 
 
-def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int, lr: float, batch: int, seed: int, train: bool) -> dict:
+def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int, lr: float, batch: int, seed: int, train: bool,
+           shards: int) -> dict:
     """One pass: every task steps through its training rows and sums the validation error of the incoming weights."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,15 +200,30 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
                 rows += len(pick)
         if rows or vrows:
             yield pd.DataFrame({"rows": [rows], "sse": [sse], "vrows": [vrows], "vsse": [vsse], "steps": [t],
-                                "state": [np.concatenate([a, m1, m2]).tobytes() if rows else b""]})
+                                "state": [(np.concatenate([a, m1, m2]) * rows).tobytes()]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, state = None, 0.0
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                state = state + np.frombuffer(r.state)
+                here = np.array([r.rows, r.sse, r.vrows, r.vsse])
+                total, top = (here, r.steps) if total is None else (total + here, max(top, r.steps))
+        if total is not None:
+            yield pd.DataFrame({"rows": [int(total[0])], "sse": [total[1]], "vrows": [int(total[2])], "vsse": [total[3]], "steps": [top], "state": [state.tobytes()]})
 
     schema = "rows bigint, sse double, vrows bigint, vsse double, steps bigint, state binary"
-    got = data.mapInPandas(task, schema).collect()  # one small row per shard
+    merged = data.mapInPandas(task, schema)
+    if shards > DIRECT_SHARDS:
+        merged = merged.repartition(MERGERS).mapInPandas(merge, schema)
+    got = sorted(merged.collect(), key=lambda r: (r.rows, r.sse))  # at most DIRECT_SHARDS rows
     n = sum(r.rows for r in got)
     nv = sum(r.vrows for r in got)
     out = {"rows": n, "val_loss": sum(r.vsse for r in got) / nv if nv else None}
     if train:
-        mixed = sum(np.frombuffer(r.state) * (r.rows / n) for r in sorted(got, key=lambda r: (r.rows, r.sse)) if r.rows)
+        if not n:
+            raise ValueError("no training rows")
+        mixed = sum(np.frombuffer(r.state) for r in got) / n
         out["w"], out["m"], out["v"] = np.split(mixed, 3)
         out["steps"] = max(r.steps for r in got)
         out["train_loss"] = sum(r.sse for r in got) / n

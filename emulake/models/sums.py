@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MERGERS = 16
+MERGERS = 8
 
 
 def summed(df: DataFrame, columns: dict[str, Sequence[str]], block: Callable[..., np.ndarray]) -> np.ndarray | None:

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emulake.session import join_on
+from emulake.operators.rank import rank_in_cells
+from emulake.session import bounded
 
 BUCKETS = 64
 SPLITTERS = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
@@ -27,29 +29,35 @@ def _tree(c: Column, bounds: list[float], lo: int, hi: int) -> Column:
     return F.when(c <= F.lit(bounds[mid]), _tree(c, bounds, lo, mid)).otherwise(_tree(c, bounds, mid + 1, hi))
 
 
-def order_bucket(df: DataFrame, order: Column, buckets: int = BUCKETS) -> Column:
-    """An expression numbering rows by quantile bucket of ``order`` (a number)."""
+def order_bucket(df: DataFrame, order: Column, ties: Column | None = None, buckets: int = BUCKETS) -> Column:
+    """An expression numbering rows by quantile bucket of ``order`` (a number).
+
+    A value so frequent that it fills whole buckets is split further at quantiles of ``ties`` (a number too).
+    """
     probs = [i / buckets for i in range(1, buckets)]
     got = df.agg(F.percentile_approx(order, probs, 1000).alias("q")).first().q or []
     bounds = sorted(set(got))
-    return _tree(order, bounds, 0, len(bounds))
+    coarse = _tree(order, bounds, 0, len(bounds))
+    heavy = [v for v in bounds if got.count(v) > 1]
+    if not heavy or ties is None:
+        return coarse
+    finer = F.lit(0)
+    asked = df.agg(*[F.percentile_approx(F.when(order == F.lit(v), ties), probs, 1000).alias(f"q{i}") for i, v in enumerate(heavy)]).first()
+    for i, v in enumerate(heavy):
+        inner = sorted(set(asked[f"q{i}"] or []))
+        finer = F.when(order == F.lit(v), _tree(ties, inner, 0, len(inner)) + 1).otherwise(finer)
+    return coarse * (buckets + 2) + finer
 
 
 def ordered_rank(
     df: DataFrame, order: str, group: Sequence[str] = (), ties: Sequence[str] = (), rank: str = "rank",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Exact 1-based position by ``order`` (numeric) then ``ties``, per group."""
-    group = list(group)
-    tagged = df.withColumn("__b", order_bucket(df, F.col(order), buckets))
-    cells = tagged.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(*group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    if not group:
-        offsets = F.broadcast(offsets)  # at most ``buckets`` rows
-    placed = join_on(tagged, offsets, group + ["__b"], "inner")
-    inside = Window.partitionBy(*group, "__b").orderBy(order, *ties)
-    return placed.withColumn(rank, F.col("__off") + F.row_number().over(inside)).drop("__b", "__off")
+    """Exact 1-based position by ``order`` (numeric, not NULL) then ``ties``, per group."""
+    numeric = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
+    first_tie = F.col(ties[0]) if numeric else None  # only a leading numeric tie can split a frequent value
+    cell = order_bucket(df, F.col(order), first_tie, buckets)
+    return rank_in_cells(df, cell, group, [order, *ties], rank)
 
 
 def running(
@@ -58,19 +66,19 @@ def running(
 ) -> DataFrame:
     """Add running aggregates: ``name -> (how, column, include_current_row)``, how in max/min/sum/count."""
     group = list(group)
-    tagged = df.withColumn("__b", order_bucket(df, F.col(order), buckets))
+    cell = order_bucket(df, F.col(order), buckets=buckets)
+    tagged = df.withColumn("__g", F.struct(*group, cell.alias("__cell")))
     sums = [SPLITTERS[how](c).alias(f"__s_{name}") for name, (how, c, _) in values.items()]
-    cells = tagged.groupBy(*group, "__b").agg(*sums)
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = tagged.groupBy("__g").agg(*sums)
+    fields = [F.col("__g")[c] for c in group]
+    before = Window.partitionBy(*fields).orderBy(F.col("__g")["__cell"]).rowsBetween(Window.unboundedPreceding, -1)
     prefix = cells.select(
-        *group, "__b",
+        "__g",
         *[(F.sum if how == "count" else SPLITTERS[how])(f"__s_{name}").over(before).alias(f"__p_{name}")
           for name, (how, _, _) in values.items()],
     )
-    if not group:
-        prefix = F.broadcast(prefix)
-    placed = join_on(tagged, prefix, group + ["__b"], "inner")
-    inside = Window.partitionBy(*group, "__b").orderBy(order, *ties)
+    placed = tagged.join(bounded(prefix), "__g")
+    inside = Window.partitionBy("__g").orderBy(order, *ties)
     out = placed
     for name, (how, c, inclusive) in values.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -84,4 +92,4 @@ def running(
         else:
             total = F.coalesce(here + earlier, here, earlier)
         out = out.withColumn(name, total)
-    return out.drop("__b", *[f"__p_{name}" for name in values])
+    return out.drop("__g", *[f"__p_{name}" for name in values])

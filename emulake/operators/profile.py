@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from emulake.functions.numeric import known
 from emulake.operators.scale import WIDE, column_stats, long_values
+from emulake.session import bounded
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-PERCENTILE_ROWS = 1_000_000  # values one exact-percentile buffer may hold
+PERCENTILE_ROWS = 250_000  # values one exact-percentile buffer may hold
+PERCENTILE_COLUMNS = 16  # columns whose buffers live in one aggregate
 MARGIN = 5e-4  # half-width, in rank fraction, of an approximate bracket
 
 
@@ -30,8 +32,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     percentile runs inside it. Buffers stay below ``limit`` values whatever the table's size.
     """
     out: dict[str, list[float]] = {}
-    for start in range(0, len(columns), WIDE):
-        out.update(_quantiles(df, list(columns[start:start + WIDE]), list(probs), limit))
+    for start in range(0, len(columns), PERCENTILE_COLUMNS):
+        out.update(_quantiles(df, list(columns[start:start + PERCENTILE_COLUMNS]), list(probs), limit))
     return out
 
 
@@ -80,11 +82,13 @@ def _quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int
             if held >= inside[c] or trial[c][0] == trial[c][1]:
                 settled.add(c)  # only ties are left, so the percentile buffer is small
             bracket[c], below[c], inside[c] = trial[c], under, held
-    asks = [F.percentile(value(c), _inner(position(c), below[c], inside[c])).alias(f"q{k}") for k, c in enumerate(cells)]
+    small = {i for i, _ in cells if n[i] <= limit}
+    asks = [F.percentile(f"c{i}", probs).alias(f"all{i}") for i in sorted(small)]
+    asks += [F.percentile(value(c), _inner(position(c), below[c], inside[c])).alias(f"q{c[0]}_{c[1]}") for c in cells if c[0] not in small]
     got = clean.agg(*asks).first() if asks else {}
     out: dict[str, list[float]] = {c: [None] * len(probs) for c in columns}
-    for k, (i, j) in enumerate(cells):
-        out[columns[i]][j] = got[f"q{k}"]
+    for i, j in cells:
+        out[columns[i]][j] = got[f"all{i}"][j] if i in small else got[f"q{i}_{j}"]
     return out
 
 
@@ -162,13 +166,18 @@ def validate(df: DataFrame) -> DataFrame:
     """Findings as (check, column, count): missing, infinite, duplicate rows, mixed text; empty is an error."""
     from emulake.operators.roles import cell_counts
 
-    c = cell_counts(df, "t")
-    empty = c.groupBy().agg(F.max("n_rows").alias("n")).where("n = 0").select(
-        F.lit("empty").alias("check"), F.lit(None).cast("string").alias("column"), F.lit(0).cast("bigint").alias("count"))
-    lost = c.where("n_missing > 0").select(F.lit("missing").alias("check"), "column", F.col("n_missing").alias("count"))
-    inf = c.where("n_inf > 0").select(F.lit("infinite").alias("check"), "column", F.col("n_inf").alias("count"))
-    dup = duplicate_rows(df).where("n_duplicates > 0").select(F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("column"), F.col("n_duplicates").alias("count"))
-    found = empty.unionByName(lost).unionByName(inf).unionByName(dup)
+    nothing = F.lit(None).cast("string")
+
+    def item(check: str, column: Column, count: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), column.alias("column"), count.cast("bigint").alias("count"))
+
+    first = F.col("column") == df.columns[0]
+    cells = cell_counts(df, "t").select(F.inline(F.array_compact(F.array(
+        F.when((F.col("n_rows") == 0) & first, item("empty", nothing, F.lit(0))),
+        F.when(F.col("n_missing") > 0, item("missing", F.col("column"), F.col("n_missing"))),
+        F.when(F.col("n_inf") > 0, item("infinite", F.col("column"), F.col("n_inf")))))))
+    dup = duplicate_rows(df).where("n_duplicates > 0").select(F.lit("duplicates").alias("check"), nothing.alias("column"), F.col("n_duplicates").alias("count"))
+    found = cells.unionByName(dup)
     if any(isinstance(f.dataType, T.StringType) for f in df.schema.fields):
         mixed = mixed_text_columns(df).where("n_classes > 1").select(F.lit("mixed").alias("check"), "column", F.col("n_classes").alias("count"))
         found = found.unionByName(mixed)
@@ -296,7 +305,7 @@ def density_2d(pred: DataFrame, bins: int = 50, by: Sequence[str] = ("model", "s
     pad = F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) * 0.05).otherwise(F.lit(0.01))
     lim = lim.select(*shared, (F.col("a") - pad).alias("__lo"), (F.col("b") + pad).alias("__hi"))
     if shared:
-        boxed = ok.join(lim, list(shared))
+        boxed = ok.join(bounded(lim), list(shared))
     else:
         edge = lim.first()
         boxed = ok.withColumns({"__lo": F.lit(edge["__lo"]), "__hi": F.lit(edge["__hi"])})

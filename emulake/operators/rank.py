@@ -30,13 +30,26 @@ def hash_rank(
     stratum, so one huge stratum still sorts in many tasks.
     """
     strata = list(strata)
-    tagged = df.withColumn("__h", seeded_hash(seed, *keys)).withColumn("__b", F.substring("__h", 1, digits))
-    cells = tagged.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(*strata, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    placed = join_on(tagged, bounded(offsets), strata + ["__b"], "inner")
-    inside = Window.partitionBy(*strata, "__b").orderBy("__h", *keys)
-    return placed.withColumn(rank, F.col("__off") + F.row_number().over(inside)).drop("__h", "__b", "__off")
+    hashed = df.withColumn("__h", seeded_hash(seed, *keys))
+    return rank_in_cells(hashed, F.substring("__h", 1, digits), strata, ["__h", *keys], rank).drop("__h")
+
+
+def rank_in_cells(df: DataFrame, cell: Column, group: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
+    """Position in each group, for cells that split a group into consecutive pieces of the order.
+
+    Cells are counted map-side and their offsets joined back on the same (group, cell) key that partitions
+    the window, so a large offset table costs no second shuffle of the rows; a small one is broadcast.
+    """
+    group = list(group)
+    key = F.struct(*group, cell.alias("__cell"))  # a struct matches NULL group values too
+    tagged = df.withColumn("__g", key)
+    counts = tagged.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    fields = [F.col("__g")[c] for c in group]
+    before = Window.partitionBy(*fields).orderBy(F.col("__g")["__cell"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__g").orderBy(*order)
+    placed = tagged.join(bounded(offsets), "__g")
+    return placed.withColumn(rank, F.col("__off") + F.row_number().over(inside)).drop("__g", "__off")
 
 
 class HashCuts:
@@ -98,14 +111,21 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of) -> HashCu
             prefixes, counts = all_p[keep], all_n[keep]
             locate([(r, local)])
         width += PREFIX
-    if todo:
+    if todo:  # copies of one key share a hash, so they arrive as one counted row
         cells = {p for p, _, _ in todo.values()}
-        leaf = sorted(r.h for r in hashed.where(F.substring("h", 1, width).isin(*cells)).collect())
+        all_p, all_n = count_cells(hashed.where(F.substring("h", 1, width).isin(*cells)), 32)
         for r, (cell, local, _) in todo.items():
-            found[r] = [h for h in leaf if h[:width] == cell][local - 1]
+            keep = np.array([p[:width] == cell for p in all_p], dtype=bool)
+            found[r] = all_p[keep][int(np.searchsorted(np.cumsum(all_n[keep]), local))]
     return HashCuts(keys, seed, n, ranks, [found[r] for r in ranks])
 
 
+def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows beyond the first of each key; zero means every rank and split is exact."""
+    copies = df.select(seeded_hash(0, *keys).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return copies.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0]
+
+
 def sample_exact(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows if there are no more), same rows on every run."""
     cuts = hash_cuts(df, keys, seed, lambda total: [min(n, total)])

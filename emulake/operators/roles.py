@@ -149,6 +149,13 @@ def completeness(counts: DataFrame) -> DataFrame:
     return counts.groupBy("table").agg(F.round((cells - lost) / cells * 100, 2).alias("completeness_percent"), lost.alias("n_missing"))
 
 
+def group_sizes(cat: DataFrame) -> DataFrame:
+    """(table, output_group, n_columns, is_largest) from a catalogue."""
+    sizes = cat.where("output_group IS NOT NULL").groupBy("table", "output_group").agg(F.count(F.lit(1)).alias("n_columns"))
+    top = Window.partitionBy("table").orderBy(F.col("n_columns").desc(), "output_group")
+    return sizes.withColumn("is_largest", F.row_number().over(top) == 1)
+
+
 def dataset_spec(df: DataFrame, metadata: Mapping | None = None, hints: Mapping | None = None, key: Sequence[str] = ()) -> DatasetSpec:
     """Roles of one table as lists. Metadata lists replace inference exactly and keep their order."""
     metadata = dict(metadata or {})

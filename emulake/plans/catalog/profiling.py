@@ -125,6 +125,20 @@ def _(spark, sf):
     return profile.table_summary(table(spark, sf, "lineitem"))
 
 
+@register("a9_group_sizes", """SELECT 'cases' AS "table", 'profile' AS output_group, 3::BIGINT AS n_columns, true AS is_largest, count(*) AS n_rows FROM lineitem""")
+def _(spark, sf):
+    c = roles.catalogue(spark, {"cases": wide(spark, sf)})
+    rows = c.groupBy("table").agg(F.max("n_rows").alias("n_rows"))
+    return roles.group_sizes(c).join(rows, "table")
+
+
+@register("a10_summary_statistics", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS "count", {S(f'avg({c})')} AS mean, {S(f'stddev_samp({c})')} AS std, {S(f'min({c})')} AS min, {S(f'quantile_cont({c}, 0.5)')} AS q50, {S(f'max({c})')} AS max FROM orders"""
+    for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+def _(spark, sf):
+    return sig_all(profile.describe(table(spark, sf, "orders")), "mean", "std", "min", "q50", "max").select("column", "count", "mean", "std", "min", "q50", "max")
+
+
 def _dirty(spark, sf):
     o = table(spark, sf, "orders")
     i = F.col("o_orderkey")

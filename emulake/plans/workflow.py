@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from emulake.models import REGISTRY, Model
 from emulake.models.mlp import MLP
 from emulake.operators import drift, metrics, split
+from emulake.operators.rank import duplicate_keys, sample_exact
 from emulake.operators.roles import dataset_spec
 from emulake.operators.scale import Scaler, fit_standard
 from emulake.plans.tuning import TuneResult, cross_validate, scored_long, tune
@@ -48,9 +49,9 @@ def prepare(df: DataFrame, spec: RunSpec, scalers: tuple[Scaler | None, Scaler |
     cols = [*roles.inputs, *roles.outputs]
     typed = df.withColumns({c: F.col(c).cast("double") for c in cols})
     clean = typed.na.drop(subset=cols)
+    if spec.check_keys and spec.shuffle and duplicate_keys(clean, spec.key):
+        raise ValueError(f"key {spec.key} repeats: split sizes would not be exact")
     if spec.sample:
-        from emulake.operators.rank import sample_exact
-
         clean = sample_exact(clean, spec.sample, spec.key, spec.seed)
     if spec.shuffle:
         marked = split.split_shuffled(clean, spec.key, spec.test_fraction, spec.val_fraction, spec.seed)

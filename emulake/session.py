@@ -54,7 +54,7 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
@@ -70,14 +70,13 @@ def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
 
 
 def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "left") -> DataFrame:
-    """Equi-join that also matches NULL keys and keeps one copy of the key columns."""
+    """Equi-join that also matches NULL keys and keeps the left copy of the key columns.
+
+    The key is one struct, whose comparison treats NULL fields as equal; being a plain equality it hashes,
+    broadcasts and splits skewed partitions like any other join.
+    """
     if not cols:
         raise ValueError("join_on needs key columns")
-    renamed = right
-    for c in cols:
-        renamed = renamed.withColumnRenamed(c, f"__r_{c}")
-    cond = None
-    for c in cols:
-        term = left[c].eqNullSafe(renamed[f"__r_{c}"])
-        cond = term if cond is None else cond & term
-    return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
+    key = F.struct(*cols)
+    rest = [c for c in right.columns if c not in cols]
+    return left.withColumn("__k", key).join(right.select(key.alias("__k"), *rest), "__k", how).drop("__k")

@@ -62,6 +62,7 @@ class RunSpec:
     standardize_outputs: bool = False
     seed: int = 42
     cv_folds: int | None = None
+    check_keys: bool = True
     models: list[ModelSpec] = field(default_factory=list)
     output_dir: str | None = None
     predictions_format: str = "parquet"
