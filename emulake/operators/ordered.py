@@ -62,11 +62,15 @@ def ordered_rank(
 
 def running(
     df: DataFrame, order: str, group: Sequence[str], values: dict[str, tuple[str, str, bool]], ties: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int = BUCKETS, cell: Column | None = None,
 ) -> DataFrame:
-    """Add running aggregates: ``name -> (how, column, include_current_row)``, how in max/min/sum/count."""
+    """Add running aggregates: ``name -> (how, column, include_current_row)``, how in max/min/sum/count.
+
+    Callers that chain several passes compute ``cell`` (see ``order_bucket``) once on the source table.
+    """
     group = list(group)
-    cell = order_bucket(df, F.col(order), buckets=buckets)
+    if cell is None:
+        cell = order_bucket(df, F.col(order), buckets=buckets)
     tagged = df.withColumn("__g", F.struct(*group, cell.alias("__cell")))
     sums = [SPLITTERS[how](c).alias(f"__s_{name}") for name, (how, c, _) in values.items()]
     cells = tagged.groupBy("__g").agg(*sums)

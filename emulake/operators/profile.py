@@ -24,7 +24,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = PERCENTILE_ROWS) -> dict[str, list[float]]:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = PERCENTILE_ROWS,
+                    counts: dict[str, int] | None = None) -> dict[str, list[float]]:
     """Linear-interpolation quantiles of every column, exact at any size.
 
     Columns with at most ``limit`` values use the built-in exact percentile. Larger ones are bracketed
@@ -33,14 +34,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """
     out: dict[str, list[float]] = {}
     for start in range(0, len(columns), PERCENTILE_COLUMNS):
-        out.update(_quantiles(df, list(columns[start:start + PERCENTILE_COLUMNS]), list(probs), limit))
+        out.update(_quantiles(df, list(columns[start:start + PERCENTILE_COLUMNS]), list(probs), limit, counts))
     return out
 
 
-def _quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int) -> dict[str, list[float]]:
+def _quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int, known_counts: dict[str, int] | None) -> dict[str, list[float]]:
     clean = df.select(*[known(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    row = clean.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-    n = [row[f"n{i}"] for i in range(len(columns))]
+    if known_counts is None:
+        known_counts = dict(zip(columns, clean.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]).first()))
+    n = [known_counts[c] for c in columns]
     cells = [(i, j) for i in range(len(columns)) for j in range(len(probs)) if n[i] > 0]
     bracket: dict[tuple[int, int], tuple[float, float] | None] = {c: None for c in cells}
     below = dict.fromkeys(cells, 0)
@@ -62,13 +64,18 @@ def _quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int
         wide = [c for c in cells if inside[c] > limit and c not in settled]
         if not wide:
             break
+        spans: dict[tuple, list[tuple]] = {}  # cells that still look at the same values share one sketch
+        for c in wide:
+            spans.setdefault((c[0], bracket[c]), []).append(c)
         asks = []
-        for k, c in enumerate(wide):
-            q = (position(c) - below[c]) / inside[c]
-            span = F.percentile_approx(value(c), [max(0.0, q - margin[c]), min(1.0, q + margin[c])], 10_000)
-            asks.append(span.alias(f"q{k}"))
+        for k, group in enumerate(spans.values()):
+            ends = []
+            for c in group:
+                q = (position(c) - below[c]) / inside[c]
+                ends += [max(0.0, q - margin[c]), min(1.0, q + margin[c])]
+            asks.append(F.percentile_approx(value(group[0]), ends, 10_000).alias(f"q{k}"))
         got = clean.agg(*asks).first()
-        trial = {c: (got[f"q{k}"][0], got[f"q{k}"][1]) for k, c in enumerate(wide)}
+        trial = {c: (got[f"q{k}"][2 * i], got[f"q{k}"][2 * i + 1]) for k, group in enumerate(spans.values()) for i, c in enumerate(group)}
         counts = []
         for k, c in enumerate(wide):
             x, (lo, hi) = F.col(f"c{c[0]}"), trial[c]
@@ -108,7 +115,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, sample: tuple[
         df = sample_exact(df, sample[0], sample[1])
     columns = [c for c in (columns or df.columns) if c in numeric_columns(df)]
     base = column_stats(df, columns, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
-    quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75], counts={c: base[c]["count"] for c in columns})
     rows = []
     for c in columns:
         b, q = base[c], quart[c]

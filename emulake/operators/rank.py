@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from emulake.functions.hashing import seeded_hash
 from emulake.session import bounded, join_on
 
-PREFIX = 4  # hex digits counted per pass: 65,536 cells at most reach the driver
+FIRST, NEXT = 3, 4  # hex digits added per counting pass: at most 4096 cells, then 65,536 per cut, reach the driver
 LEAF = 4096  # stop refining once the cell holding a cut has this few rows
 
 
@@ -84,10 +84,12 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of) -> HashCu
     hashed = df.select(seeded_hash(seed, *keys).alias("h"))
 
     def count_cells(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-        got = rows.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-        return np.array([r.p for r in got], dtype=object), np.array([r.n for r in got], dtype=np.int64)
+        got = rows.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+        p, n = np.array(got["p"].to_pylist(), dtype=object), got["n"].to_numpy()
+        order = np.argsort(p)
+        return p[order], n[order]
 
-    prefixes, counts = count_cells(hashed, PREFIX)
+    prefixes, counts = count_cells(hashed, FIRST)
     n = int(counts.sum())
     ranks = [int(r) for r in ranks_of(n)]
     found: dict[int, str | None] = {r: None for r in ranks if r <= 0}
@@ -101,16 +103,16 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of) -> HashCu
             todo[r] = (prefixes[i], int(local - (ends[i] - counts[i])), int(counts[i]))
 
     locate([(r, r) for r in set(ranks) if r not in found])
-    width = PREFIX
+    width = FIRST
     while todo and width < 32 and max(size for _, _, size in todo.values()) > LEAF:
         cells = {p for p, _, _ in todo.values()}
-        all_p, all_n = count_cells(hashed.where(F.substring("h", 1, width).isin(*cells)), width + PREFIX)
+        all_p, all_n = count_cells(hashed.where(F.substring("h", 1, width).isin(*cells)), min(32, width + NEXT))
         pending, todo_old = dict(todo), width
         for r, (cell, local, _) in pending.items():
             keep = np.array([p[:todo_old] == cell for p in all_p], dtype=bool)
             prefixes, counts = all_p[keep], all_n[keep]
             locate([(r, local)])
-        width += PREFIX
+        width = min(32, width + NEXT)
     if todo:  # copies of one key share a hash, so they arrive as one counted row
         cells = {p for p, _, _ in todo.values()}
         all_p, all_n = count_cells(hashed.where(F.substring("h", 1, width).isin(*cells)), 32)

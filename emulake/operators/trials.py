@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emulake.operators.ordered import ordered_rank, running
+from emulake.operators.ordered import order_bucket, running
 
 
 def best_so_far(trials: DataFrame, by: Sequence[str] = ("study",), order: str = "number", value: str = "value",
@@ -21,11 +21,11 @@ def best_so_far(trials: DataFrame, by: Sequence[str] = ("study",), order: str =
 
 def patience(epochs: DataFrame, by: Sequence[str] = ("trial",), epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:
     """Add ``bad_epochs``: epochs since the loss last fell strictly below every earlier one."""
-    ranked = ordered_rank(epochs, epoch, by, rank="__pos")
-    prev = running(ranked, epoch, by, {"__prev": ("min", loss, False)})
+    cell = order_bucket(epochs, F.col(epoch))
+    prev = running(epochs, epoch, by, {"__pos": ("count", epoch, True), "__prev": ("min", loss, False)}, cell=cell)
     better = F.coalesce(F.col("__prev").isNull() | (F.col(loss) < F.col("__prev")), F.lit(False))
     marked = prev.withColumn("__hit", F.when(better, F.col("__pos")))
-    last = running(marked, epoch, by, {"__last": ("max", "__hit", True)})
+    last = running(marked, epoch, by, {"__last": ("max", "__hit", True)}, cell=cell)
     return last.withColumn("bad_epochs", F.col("__pos") - F.coalesce(F.col("__last"), F.lit(0))).drop("__pos", "__prev", "__hit", "__last")
 
 

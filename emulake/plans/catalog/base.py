@@ -99,15 +99,15 @@ def split_sql(source: str, key: str, test: float = 0.2, val: float = 0.1, seed:
 
 def two_models(df: DataFrame, keep: list[str]) -> DataFrame:
     """Long predictions of models A and B for both outputs, next to the truth."""
-    from emulake.operators.metrics import predictions_long
-
     p = F.col("l_extendedprice")
     made = {
         "A": {"revenue": ("revenue", p * 0.95), "charge": ("charge", p * 0.99)},
         "B": {"revenue": ("revenue", p * 0.9 + 100), "charge": ("charge", p * (1 - F.col("l_discount")))},
     }
-    parts = [predictions_long(df.withColumn("model", F.lit(m)), ["model", *keep], o) for m, o in made.items()]
-    return parts[0].unionByName(parts[1])
+    cells = [
+        F.struct(F.lit(m).alias("model"), F.lit(o).alias("output"), F.col(t).alias("y_true"), y.alias("y_pred"))
+        for m, outputs in made.items() for o, (t, y) in outputs.items()]
+    return df.select(*keep, F.inline(F.array(*cells)))
 
 
 def two_models_sql(source: str, keep: str, name: str = "pred") -> str:

@@ -12,7 +12,7 @@ from emulake.plans import reports, tuning, workflow
 from emulake.plans.catalog.base import (
     CASES, INPUTS, OUTPUTS, S, cases, hash_sql, output_metrics_sql, register, sig, sig_all, split_sql, table,
 )
-from emulake.session import materialize, new_path
+from emulake.session import materialize, new_path, spread_small
 from emulake.spec import ModelSpec, RunSpec, TuneSpec
 
 KEY = ["row_key"]
@@ -21,9 +21,11 @@ SPLIT = split_sql("cases", "row_key", 0.2, 0.2)
 
 def ready(spark, sf, inputs=INPUTS):
     """The case table, split 60/20/20 and standardised on train, stored once."""
-    s = split.split_shuffled(cases(spark, sf), KEY, 0.2, 0.2)
+    df = cases(spark, sf)
+    plan = split.fit_split(df, KEY, 0.2, 0.2)
+    s = plan.apply(df)
     z = fit_standard(s.where("split = 'train'"), inputs).transform(s)
-    return materialize(z.select("row_key", "split", *inputs, *OUTPUTS), "ready")
+    return materialize(spread_small(z.select("row_key", "split", *inputs, *OUTPUTS), plan.cuts.n), "ready")
 
 
 def part(df, name):
@@ -42,7 +44,9 @@ ONE = f"""{CASES}, {SPLIT}, w AS (SELECT regr_slope(revenue, l_extendedprice) AS
 
 
 def _one(spark, sf):
-    s = materialize(split.split_shuffled(cases(spark, sf), KEY, 0.2, 0.2), "one")
+    df = cases(spark, sf)
+    plan = split.fit_split(df, KEY, 0.2, 0.2)
+    s = materialize(spread_small(plan.apply(df), plan.cuts.n), "one")
     return s, REGISTRY.create("linear", ["l_extendedprice"], OUTPUTS).fit(part(s, "train"))
 
 

@@ -19,7 +19,7 @@ from emulake.operators.rank import duplicate_keys, sample_exact
 from emulake.operators.roles import dataset_spec
 from emulake.operators.scale import Scaler, fit_standard
 from emulake.plans.tuning import TuneResult, cross_validate, scored_long, tune
-from emulake.session import materialize
+from emulake.session import materialize, spread_small
 from emulake.sources import artifacts
 from emulake.sources.readers import load_table
 from emulake.spec import DatasetSpec, ModelSpec, RunSpec
@@ -54,10 +54,11 @@ def prepare(df: DataFrame, spec: RunSpec, scalers: tuple[Scaler | None, Scaler |
     if spec.sample:
         clean = sample_exact(clean, spec.sample, spec.key, spec.seed)
     if spec.shuffle:
-        marked = split.split_shuffled(clean, spec.key, spec.test_fraction, spec.val_fraction, spec.seed)
+        plan = split.fit_split(clean, spec.key, spec.test_fraction, spec.val_fraction, spec.seed)
+        marked, n = plan.apply(clean), plan.cuts.n
     else:
-        marked = split.split_tail(clean, spec.row_idx, spec.test_fraction, spec.val_fraction)
-    marked = materialize(marked.select(*dict.fromkeys([*spec.key, *cols, "split"])), "split")
+        marked, n = split.split_tail(clean, spec.row_idx, spec.test_fraction, spec.val_fraction), clean.count()
+    marked = materialize(spread_small(marked.select(*dict.fromkeys([*spec.key, *cols, "split"])), n), "split")
     train = marked.where("split = 'train'")
     if scalers is not None:
         x_scaler, y_scaler = scalers

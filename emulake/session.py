@@ -57,6 +57,17 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 5_000_000
+
+
+def spread_small(df: DataFrame, n_rows: int) -> DataFrame:
+    """Give a small table one partition per core before iterative work. Larger tables already have many
+    splits and are left alone, so the shuffle this may cost is bounded."""
+    if n_rows > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Broadcast a summary only after seeing that it has at most ``max_rows`` rows.
 
