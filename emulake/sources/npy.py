@@ -75,7 +75,8 @@ class NpyReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]):
         """Row-index comparisons narrow the range; everything else stays with Spark."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("row_idx",) and isinstance(f.value, int):
+            compared = isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, EqualTo))
+            if compared and f.attribute == ("row_idx",) and isinstance(f.value, int):
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
                     self.start = max(self.start, f.value + isinstance(f, GreaterThan))
                 if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emulake.operators.campaign import CASE_PREFIX, natural, parse_paths
 from emulake.operators.rank import sample_exact
+from emulake.sources.listing import FileListing
 from emulake.sources.npy import StackedNpy
 
 # Schemas of campaign snapshots and of epoch logs.
@@ -78,9 +79,9 @@ def load_npy(spark: SparkSession, data: str | None = None, target: str | None =
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, mtime) of every file below ``folder``; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "length", F.unix_seconds("modificationTime").alias("mtime"))
+    """(path, length, mtime) of every file in the folders below ``folder``, empty marker files included."""
+    spark.dataSource.register(FileListing)
+    return spark.read.format("file_listing").load(folder)
 
 
 def find_case_files(spark: SparkSession, folder: str, leaf: str, first_n: int | None = None, prefix: str = CASE_PREFIX) -> DataFrame:
