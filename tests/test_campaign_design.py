@@ -65,6 +65,13 @@ def test_assignment_lines(spark):
     assert got[0].v == 5.0 and got[4].v is None and got[5].v == -0.002
 
 
+def test_percent_rounds_like_printf(spark):
+    pairs = [(a, b) for b in (7, 16, 32, 40, 1501, 2000) for a in range(0, b + 1, max(1, b // 60))]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for r in df.select("a", "b", text.percent(F.col("a"), F.col("b")).alias("t")).collect():
+        assert r.t == f"{100.0 * r.a / r.b:.1f}%"
+
+
 def test_first_assignment_wins_even_when_it_is_no_number(spark):
     lines = spark.createDataFrame([("r", "c", 0, "p = oops"), ("r", "c", 1, "p = 4")], "run string, case string, line_no int, line string")
     assert campaign.parse_parameters(lines, ["p"]).first().value is None
