@@ -187,22 +187,15 @@ def cases_by_run(cases: DataFrame, page: int = 1000) -> DataFrame:
 # --- chunk planning ------------------------------------------------------------------------------------
 
 
-def _walk(ids: np.ndarray, start: int, hi: int, chunk: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """Chunks whose window starts in [start, hi]: ((index range into ids), ...), and the next start."""
-    out, s = [], start
-    while s <= hi:
-        i = int(np.searchsorted(ids, s))
-        if i == len(ids):
-            s += chunk * -(-(hi + 1 - s) // chunk)
-            break
-        s += chunk * ((int(ids[i]) - s) // chunk)
-        if s > hi:
-            break
-        i = int(np.searchsorted(ids, s))
-        j = int(np.searchsorted(ids, s + chunk - 1, side="right"))
-        out.append((i, j, s))
-        s = int(ids[j - 1]) + 1
-    return s, out
+def _steps(ids: np.ndarray, starts: np.ndarray, hi: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window start: the slice [i, j) of ``ids`` its chunk takes, and the start with which it leaves
+    the page (-1 while it stays). Empty windows are skipped whole."""
+    i = np.searchsorted(ids, starts)
+    ahead = ids[np.minimum(i, len(ids) - 1)]
+    skip = np.where(i < len(ids), (ahead - starts) // chunk, -(-(hi + 1 - starts) // chunk))
+    w = starts + chunk * np.maximum(skip, 0) * (starts <= hi)
+    leaves = (w > hi) | (i == len(ids))
+    return np.searchsorted(ids, w), np.searchsorted(ids, w + chunk - 1, side="right"), np.where(leaves, w, -1)
 
 
 def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_config: int = 0, max_chunks: int | None = None,
@@ -236,10 +229,14 @@ def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_conf
         p = int(key[0])
         ids = np.sort(pdf["case_id"].to_numpy())
         lo, hi = origin + p * page, origin + (p + 1) * page - 1
-        rows = []
-        for e in range(chunk if p else 1):
-            s, got = _walk(ids, lo + e, hi, chunk)
-            rows.append((p, e, s - hi - 1, len(got)))
+        _, after, leave = (a.tolist() for a in _steps(ids, ids + 1, hi, chunk))
+        out, n = list(leave), [0] * len(ids)  # of the chain that goes on after each id, last id first
+        for k in range(len(ids) - 1, -1, -1):
+            if leave[k] < 0:
+                out[k], n[k] = out[after[k] - 1], n[after[k] - 1] + 1
+        first = np.arange(lo, lo + (chunk if p else 1))
+        _, j, exit_at = _steps(ids, first, hi, chunk)
+        rows = [(p, e, (x if x >= 0 else out[k - 1]) - hi - 1, 0 if x >= 0 else n[k - 1] + 1) for e, (k, x) in enumerate(zip(j.tolist(), exit_at.tolist()))]
         return pd.DataFrame(rows, columns=["page", "entry", "out", "n"])
 
     moves: dict[int, dict[int, tuple[int, int]]] = {}
@@ -261,11 +258,16 @@ def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_conf
         p = int(key[0])
         ids = np.sort(pdf["case_id"].to_numpy())
         hi = origin + (p + 1) * page - 1
-        _, got = _walk(ids, origin + p * page + int(pdf["entry"].iloc[0]), hi, chunk)
+        begin, after, leave = (a.tolist() for a in _steps(ids, ids + 1, hi, chunk))
+        i, j, x = (int(a[0]) for a in _steps(ids, np.array([origin + p * page + int(pdf["entry"].iloc[0])]), hi, chunk))
+        got = []
+        while x < 0:
+            got.append((i, j))
+            i, j, x = begin[j - 1], after[j - 1], leave[j - 1]
         first = int(pdf["done"].iloc[0])
         return pd.DataFrame(
             [(first + k, ids[i], ids[j - 1], ids[i:j].tolist(), labels[(start_config + first + k) % len(labels)])
-             for k, (i, j, _) in enumerate(got)],
+             for k, (i, j) in enumerate(got)],
             columns=["chunk", "first_id", "last_id", "case_ids", "config"])
 
     out = paged.join(F.broadcast(entries), "page").groupBy("page").applyInPandas(emit, schema)  # entries: <= 4096 rows

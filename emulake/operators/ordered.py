@@ -18,35 +18,55 @@ from emulake.operators.rank import rank_in_cells
 from emulake.session import bounded
 
 BUCKETS = 64
+CELL_ROWS = 500_000  # rows one window partition should hold
+MAX_PARTS = 16_384
 SPLITTERS = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
 
 
-def _tree(c: Column, bounds: list[float], lo: int, hi: int) -> Column:
-    """Balanced comparisons giving the number of bounds below the value."""
+def _tree(c: Column, bounds: list, leaves: list[Column], lo: int, hi: int) -> Column:
+    """Balanced comparisons choosing leaf k, where k bounds lie below the value."""
     if lo == hi:
-        return F.lit(lo)
+        return leaves[lo]
     mid = (lo + hi) // 2
-    return F.when(c <= F.lit(bounds[mid]), _tree(c, bounds, lo, mid)).otherwise(_tree(c, bounds, mid + 1, hi))
+    return F.when(c <= F.lit(bounds[mid]), _tree(c, bounds, leaves, lo, mid)).otherwise(_tree(c, bounds, leaves, mid + 1, hi))
 
 
-def order_bucket(df: DataFrame, order: Column, ties: Column | None = None, buckets: int = BUCKETS) -> Column:
-    """An expression numbering rows by quantile bucket of ``order`` (a number).
+def _cells(c: Column, bounds: list, low, high, parts: int) -> Column:
+    """Quantile bucket, each cut into ``parts`` equal-width cells; never decreases with the value."""
+    edges = [low, *bounds, high]
+    leaves = []
+    for k in range(len(bounds) + 1):
+        cell = F.lit(k * parts).cast("bigint")
+        if parts > 1 and edges[k + 1] > edges[k]:
+            at = F.floor((c - F.lit(edges[k])) * F.lit(parts / (edges[k + 1] - edges[k])))
+            cell = cell + F.greatest(F.least(at, F.lit(parts - 1)), F.lit(0))
+        leaves.append(cell)
+    return _tree(c, bounds, leaves, 0, len(bounds))
 
-    A value so frequent that it fills whole buckets is split further at quantiles of ``ties`` (a number too).
+
+def order_bucket(df: DataFrame, order: Column, ties: Column | None = None, buckets: int = BUCKETS, cell_rows: int = CELL_ROWS) -> Column:
+    """An expression numbering rows by consecutive cells of ``order`` (a number).
+
+    Cells are quantile buckets, cut finer by width as the table grows so that one holds about ``cell_rows``
+    rows. A value so frequent that it fills whole buckets is split at quantiles of ``ties`` (a number too).
     """
     probs = [i / buckets for i in range(1, buckets)]
-    got = df.agg(F.percentile_approx(order, probs, 1000).alias("q")).first().q or []
-    bounds = sorted(set(got))
-    coarse = _tree(order, bounds, 0, len(bounds))
-    heavy = [v for v in bounds if got.count(v) > 1]
+    got = df.agg(F.percentile_approx(order, probs, 1000).alias("q"), F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
+    quantiles = got.q or []
+    bounds = sorted(set(quantiles))
+    parts = max(1, min(MAX_PARTS, got.n // (buckets * cell_rows)))
+    coarse = _cells(order, bounds, got.lo, got.hi, parts)
+    heavy = [v for v in bounds if quantiles.count(v) > 1]
     if not heavy or ties is None:
         return coarse
-    finer = F.lit(0)
-    asked = df.agg(*[F.percentile_approx(F.when(order == F.lit(v), ties), probs, 1000).alias(f"q{i}") for i, v in enumerate(heavy)]).first()
+    asked = df.agg(*[F.struct(F.percentile_approx(F.when(order == F.lit(v), ties), probs, 1000).alias("q"), F.min(F.when(order == F.lit(v), ties)).alias("lo"),
+                                F.max(F.when(order == F.lit(v), ties)).alias("hi")).alias(f"t{i}") for i, v in enumerate(heavy)]).first()
+    finer = F.lit(0).cast("bigint")
     for i, v in enumerate(heavy):
-        inner = sorted(set(asked[f"q{i}"] or []))
-        finer = F.when(order == F.lit(v), _tree(ties, inner, 0, len(inner)) + 1).otherwise(finer)
-    return coarse * (buckets + 2) + finer
+        t = asked[f"t{i}"]
+        inner = sorted(set(t.q or []))
+        finer = F.when(order == F.lit(v), _cells(ties, inner, t.lo, t.hi, parts) + 1).otherwise(finer)
+    return coarse * (buckets * parts + 2) + finer
 
 
 def ordered_rank(

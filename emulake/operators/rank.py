@@ -7,6 +7,7 @@ table; they cost counting scans of the key columns and end as literals in a plai
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,21 +18,38 @@ from emulake.functions.hashing import seeded_hash
 from emulake.session import bounded, join_on
 
 FIRST, NEXT = 3, 4  # hex digits added per counting pass: at most 4096 cells, then 65,536 per cut, reach the driver
+CELL_ROWS = 100_000  # rows one ranking task sorts
+MAX_WIDTH = 6  # hex digits of the finest cell: 16.8 million cells
 LEAF = 4096  # stop refining once the cell holding a cut has this few rows
 
 
+def _with_cells(df: DataFrame, strata: Sequence[str], cell_rows: int) -> DataFrame:
+    """Add ``__b``, a prefix of ``__h`` as long as the row's stratum needs for cells of about ``cell_rows`` rows.
+
+    Small strata get one cell, a hot one up to 16^6; the number of cells stays near rows / cell_rows.
+    """
+    def width(n: Column) -> Column:
+        return F.greatest(F.least(F.ceil(F.log(16.0, F.greatest(n / cell_rows, F.lit(1.0)))), F.lit(MAX_WIDTH)), F.lit(0))
+
+    if not strata:
+        n = df.count()
+        return df.withColumn("__b", F.substring("__h", 1, max(1, min(MAX_WIDTH, math.ceil(math.log(max(n / cell_rows, 1), 16))))))
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n")).select(*strata, width(F.col("__n")).cast("int").alias("__w"))
+    return join_on(df, bounded(sizes), strata, "inner").withColumn("__b", F.col("__h").substr(F.lit(1), F.col("__w"))).drop("__w")
+
+
 def hash_rank(
     df: DataFrame, keys: Sequence[str], seed: int | Column = 42, strata: Sequence[str] = (), rank: str = "rank",
-    digits: int = 3,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row in hash order, per stratum.
 
-    ``keys`` must be unique inside a stratum. Rows are spread over ``16**digits`` hash cells per
-    stratum, so one huge stratum still sorts in many tasks.
+    ``keys`` must be unique inside a stratum. Rows are spread over hash cells of about ``cell_rows`` rows,
+    so one huge stratum still sorts in many tasks.
     """
     strata = list(strata)
-    hashed = df.withColumn("__h", seeded_hash(seed, *keys))
-    return rank_in_cells(hashed, F.substring("__h", 1, digits), strata, ["__h", *keys], rank).drop("__h")
+    celled = _with_cells(df.withColumn("__h", seeded_hash(seed, *keys)), strata, cell_rows)
+    return rank_in_cells(celled, F.col("__b"), strata, ["__h", *keys], rank).drop("__h", "__b")
 
 
 def rank_in_cells(df: DataFrame, cell: Column, group: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
@@ -136,7 +154,7 @@ def sample_exact(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) ->
 
 def stratum_cuts(
     df: DataFrame, keys: Sequence[str], strata: Sequence[str], seed: int | Column, targets: dict[str, Column],
-    digits: int = 4,
+    cell_rows: int = LEAF,
 ) -> DataFrame:
     """One row per stratum with the threshold hash of each target rank (an expression over ``n``).
 
@@ -144,7 +162,7 @@ def stratum_cuts(
     and only rows in the cell that holds a cut are ordered.
     """
     strata = list(strata)
-    hashed = df.select(*strata, seeded_hash(seed, *keys).alias("__h")).withColumn("__b", F.substring("__h", 1, digits))
+    hashed = _with_cells(df.select(*strata, seeded_hash(seed, *keys).alias("__h")), strata, cell_rows)
     cells = hashed.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*strata)

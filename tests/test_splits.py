@@ -125,6 +125,22 @@ def test_ordered_rank_splits_a_frequent_value_by_its_ties(spark):
     assert cells < 200  # half the rows share one value, yet no cell holds more than a tenth
 
 
+def test_order_cells_stay_ordered_when_cut_by_width(spark):
+    base = spark.range(3000).select("id", ((F.col("id") * 7919) % 3001).alias("o"), F.pow(F.lit(1.01), F.col("id") % 1000).alias("e"))
+    for c in ("o", "e"):
+        cell = ordered.order_bucket(base, F.col(c), buckets=8, cell_rows=20)
+        rows = base.select(c, cell.alias("b")).orderBy(c).collect()
+        assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows}) > 60
+
+
+def test_hash_rank_cells(spark):
+    base = spark.range(2000).withColumn("g", F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 50))
+    a = rank.hash_rank(base, ["id"], 1, strata=["g"], cell_rows=3).orderBy("id").collect()
+    b = rank.hash_rank(base, ["id"], 1, strata=["g"]).orderBy("id").collect()
+    assert a == b
+    assert rank.hash_rank(base, ["id"], 1, cell_rows=5).select("id", "rank").orderBy("id").collect() == rank.hash_rank(base, ["id"], 1).select("id", "rank").orderBy("id").collect()
+
+
 def test_running_matches_a_plain_window(spark):
     from pyspark.sql import Window
 
