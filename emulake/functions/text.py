@@ -92,10 +92,6 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit("0.0%")).otherwise(shown)
 
 
-def iso_time(epoch_seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch_seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-
-
 def number_text(value: Column) -> Column:
     """Value as written into an input file: integers without a decimal point."""
     whole = F.abs(value - F.bround(value)) < 1e-10

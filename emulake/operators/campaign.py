@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emulake.functions import text
+from emulake.functions import text, times
 from emulake.operators.ordered import ordered_rank
 from emulake.session import join_on
 
@@ -114,7 +114,7 @@ def runtime_stats(cases: DataFrame) -> DataFrame:
     g = _timed(cases).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("avg_s"), F.min(d).alias("min_s"), F.max(d).alias("max_s"),
                           F.max("finished_ts").alias("last"))
     return g.select("n", "avg_s", "min_s", "max_s", text.duration(F.floor("avg_s")).alias("avg"), text.duration(F.col("min_s")).alias("min"),
-                    text.duration(F.col("max_s")).alias("max"), text.iso_time(F.col("last")).alias("last_finish"))
+                    text.duration(F.col("max_s")).alias("max"), times.iso_time(F.col("last")).alias("last_finish"))
 
 
 def throughput(cases: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:

@@ -33,26 +33,18 @@ def training_ranges(train: DataFrame, inputs: Sequence[str], outputs: Sequence[s
 
 def ranges_from_predictions(train_pred: DataFrame, data: DataFrame, key: str, inputs: Sequence[str], outputs: Sequence[str]) -> DataFrame:
     """Rebuild ranges from the stored training predictions by joining their keys to the data."""
-    keys = train_pred.select(key).distinct()
-    return training_ranges(data.join(keys, key, "left_semi"), inputs, outputs)
-
-
-def block_of(row_idx: str, size: int, first: int = 0, max_blocks: int | None = None) -> tuple[Column, Column]:
-    """(block number, keep condition): fixed-size blocks starting at block ``first``; the last may be short."""
-    block = F.floor(F.col(row_idx) / size).cast("bigint")
-    keep = block >= first
-    if max_blocks is not None:
-        keep = keep & (block < first + max_blocks)
-    return block, keep
+    return training_ranges(data.join(train_pred.select(key), key, "left_semi"), inputs, outputs)
 
 
 def with_blocks(df: DataFrame, row_idx: str, size: int, first: int = 0, max_blocks: int | None = None) -> DataFrame:
-    """Rows of the chosen blocks. The row filter is a range on ``row_idx`` so the scan can prune."""
-    block, _ = block_of(row_idx, size)
+    """Rows with their fixed-size ``block`` number, from block ``first`` on; the last block may be short.
+
+    The row filter is a range on ``row_idx``, so file statistics prune the scan.
+    """
     rows = df.where(F.col(row_idx) >= first * size)
     if max_blocks is not None:
         rows = rows.where(F.col(row_idx) < (first + max_blocks) * size)
-    return rows.withColumn("block", block)
+    return rows.withColumn("block", F.floor(F.col(row_idx) / size).cast("bigint"))
 
 
 def block_extremes(df: DataFrame, ranges: DataFrame, by: Sequence[str] = ("block",)) -> DataFrame:
@@ -99,8 +91,8 @@ def drift_policy(report: DataFrame, metrics: DataFrame, reference: DataFrame, ou
     """Triggers per block: input_ood, output_ood, accuracy_drop, and the flag they imply.
 
     ``metrics`` has one row per (block, model, output); ``reference`` has (model, ord, r2, rmse) of the
-    training split. By default the first model with a reference judges every model, as the reference
-    system does; ``per_model_reference`` compares each model with itself.
+    training split. By default the first model that has training metrics sets the bar for every model;
+    ``per_model_reference`` compares each model with itself.
     """
     m = metrics.where(F.col("output") == output)
     if per_model_reference:

@@ -85,9 +85,9 @@ class HashCuts:
     def hash(self) -> Column:
         return seeded_hash(self.seed, *self.keys)
 
-    def piece(self) -> Column:
+    def piece(self, h: Column) -> Column:
         """0-based piece number when the cuts divide the table into consecutive pieces."""
-        h, number = self.hash(), F.lit(0)
+        number = F.lit(0)
         for i in range(len(self.ranks)):
             number = number + F.when(self.at_most(i, h), 0).otherwise(1)
         return number

@@ -166,8 +166,9 @@ def dataset_spec(df: DataFrame, metadata: Mapping | None = None, hints: Mapping
     groups: dict[str, list] = {}
     for r in sorted((r for r in rows if r["output_group"]), key=lambda r: r["pos"]):
         groups.setdefault(r["output_group"], []).append(r["column"])
-    for name, members in {**metadata.get("output_groups", {}), **metadata.get("profile_groups", {})}.items():
-        groups[name] = [c for c in members if c in have]
+    for source in (metadata, hints or {}):
+        for name, members in {**source.get("output_groups", {}), **source.get("profile_groups", {})}.items():
+            groups[name] = [c for c in members if c in have]
     if metadata.get("inputs"):
         inputs = [c for c in metadata["inputs"] if c in have]
     if metadata.get("outputs"):

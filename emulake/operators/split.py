@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulake.functions.hashing import seeded_hash
@@ -35,12 +35,10 @@ class SplitPlan:
     def __init__(self, cuts: HashCuts, sizes: tuple[int, int, int]):
         self.cuts, self.sizes = cuts, sizes
 
-    def column(self) -> Column:
-        h = self.cuts.hash()
-        return F.when(self.cuts.at_most(0, h), "test").when(self.cuts.at_most(1, h), "val").otherwise("train")
-
     def apply(self, df: DataFrame, name: str = "split") -> DataFrame:
-        return df.withColumn(name, self.column())
+        h = F.col("__h")  # hashed once per row, compared twice
+        label = F.when(self.cuts.at_most(0, h), "test").when(self.cuts.at_most(1, h), "val").otherwise("train")
+        return df.withColumn("__h", self.cuts.hash()).withColumn(name, label).drop("__h")
 
 
 def fit_split(df: DataFrame, keys: Sequence[str], test: float = 0.2, val: float = 0.2, seed: int = 42) -> SplitPlan:
@@ -72,14 +70,15 @@ def _fold_ends(n: int, k: int) -> list[int]:
 def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """Shuffled k-fold assignment with exact fold sizes; no shuffle of the table."""
     cuts = hash_cuts(df, keys, seed, lambda n: _fold_ends(n, k))
-    return df.withColumn(name, cuts.piece())
+    return df.withColumn("__h", cuts.hash()).withColumn(name, cuts.piece(F.col("__h"))).drop("__h")
 
 
 def repeated_kfold(df: DataFrame, keys: Sequence[str], k: int = 5, repeats: int = 3, seed: int = 42) -> DataFrame:
     """One row per (row, repeat) with its fold; repeat r shuffles with seed + r."""
     parts = [hash_cuts(df, keys, seed + r, lambda n: _fold_ends(n, k)) for r in range(repeats)]
-    folds = F.array(*[F.struct(F.lit(r).alias("repeat"), c.piece().alias("fold")) for r, c in enumerate(parts)])
-    return df.withColumn("__f", F.explode(folds)).select("*", "__f.repeat", "__f.fold").drop("__f")
+    hashed = df.withColumns({f"__h{r}": c.hash() for r, c in enumerate(parts)})
+    folds = F.array(*[F.struct(F.lit(r).alias("repeat"), c.piece(F.col(f"__h{r}")).alias("fold")) for r, c in enumerate(parts)])
+    return hashed.select(*df.columns, F.inline(folds))
 
 
 def split_stratified(
@@ -90,10 +89,10 @@ def split_stratified(
     n_test = F.ceil(F.lit(test) * n)
     n_val = F.ceil(F.lit(val / (1.0 - test)) * (n - n_test))
     cuts = stratum_cuts(df, keys, [label], seed, {"__t": n_test, "__v": n_test + n_val})
-    h = seeded_hash(seed, *keys)
-    joined = join_on(df, bounded(cuts), [label], "left")
+    joined = join_on(df, bounded(cuts), [label], "left").withColumn("__h", seeded_hash(seed, *keys))
+    h = F.col("__h")
     split = F.when(h <= F.col("__t"), "test").when(h <= F.col("__v"), "val").otherwise("train")
-    return joined.withColumn("split", split).drop("__t", "__v")
+    return joined.withColumn("split", split).drop("__t", "__v", "__h")
 
 
 def epoch_sample(df: DataFrame, keys: Sequence[str], fraction: float, epoch: int, seed: int = 42) -> DataFrame:

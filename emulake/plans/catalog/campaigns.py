@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emulake.functions import text
+from emulake.functions import text, times
 from emulake.operators import campaign, design
 from emulake.plans.catalog.base import S, register, sig, sig_all, table
 
@@ -20,7 +20,7 @@ def snapshot(spark, sf):
     run = F.col("o_custkey") % 40 + 1
     st = F.when(F.col("o_orderstatus") == "F", "finished").when(F.col("o_orderstatus") == "P", "pending").when(
         F.col("o_orderkey") % 3 == 0, "inflight").otherwise("started")
-    t0 = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    t0 = times.epoch_of(F.col("o_orderdate"))
     rows = o.select(F.concat(F.lit("run"), run).alias("run"), F.concat(F.lit("sparc_"), F.col("o_orderkey")).alias("case"), st.alias("status"),
                     t0.alias("started_ts"), F.when(F.col("o_orderstatus") == "F", t0 + F.bround("o_totalprice").cast("bigint")).alias("finished_ts"))
     return campaign.number_cases(rows).withColumnRenamed("case", "eq")
@@ -31,7 +31,7 @@ def listing(spark, sf):
     o = table(spark, sf, "orders")
     base = F.concat(F.lit("/batch/run"), F.col("o_custkey") % 40 + 1, F.lit("/sparc_"), F.col("o_orderkey"), F.lit("/"))
     k = F.col("o_orderkey")
-    t0 = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    t0 = times.epoch_of(F.col("o_orderdate"))
     files = F.array_compact(F.array(
         F.struct(F.concat(base, F.lit("C1input")).alias("path"), F.lit(10).cast("bigint").alias("length"), t0.alias("mtime")),
         F.when(F.col("o_orderstatus") != "P", F.struct(F.concat(base, F.lit("started")).alias("path"), F.lit(0).cast("bigint").alias("length"), t0.alias("mtime"))),
@@ -227,7 +227,7 @@ def _(spark, sf):
 @register("x15_iso_time", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM orders")
 def _(spark, sf):
     o = table(spark, sf, "orders")
-    return o.select("o_orderkey", text.iso_time(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("iso"))
+    return o.select("o_orderkey", times.iso_time(times.epoch_of(F.col("o_orderdate"))).alias("iso"))
 
 
 # --- designs ------------------------------------------------------------------------------------------

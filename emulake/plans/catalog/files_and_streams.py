@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from emulake.functions import times
 from emulake.operators import drift, nested, split
 from emulake.plans.catalog.base import CASES, S, cases, register, sig, sig_all, split_sql, table, two_models, two_models_sql
 from emulake.plans.catalog.campaigns import SNAP, snapshot
@@ -130,8 +131,7 @@ def _(spark, sf):
     pred = two_models(split.split_shuffled(cases(spark, sf), ["row_key"], 0.2, 0.1), ["row_key", "split"])
     path = new_path(spark, "predictions")
     artifacts.write_predictions(pred, path, "csv")
-    # the CSV reader matches columns by position, so ask for the file's own order
-    back = spark.read.option("header", True).schema("row_key string, output string, y_true double, y_pred double, model string, split string").csv(path)
+    back = artifacts.read_predictions(spark, path, "csv")
     return back.groupBy("model", "split").agg(F.count(F.lit(1)).alias("n"), sig(F.sum("y_pred")).alias("predicted"))
 
 
@@ -240,7 +240,7 @@ def _(spark, sf):
  r AS (SELECT max(value) AS hi, min(value) AS lo FROM events WHERE event_id < 4000)
  SELECT window_start::TIMESTAMP AS window_start, count(*) AS n, max(value) > max(r.hi) OR min(value) < min(r.lo) AS drift_detected FROM w, r, m GROUP BY window_start, last HAVING window_start + INTERVAL 1 DAY <= last - INTERVAL 2 HOUR""")
 def _(spark, sf):
-    ev = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    ev = table(spark, sf, "events").select(times.instant_of(F.col("ts")).alias("ts"), "event_id", "value")
     ranges = drift.training_ranges(ev.where("event_id < 4000"), ["value"], [])
     src, out, state = (new_path(spark, t) for t in ("windows", "windowed", "window-state"))
     ev.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(src)
@@ -249,7 +249,7 @@ def _(spark, sf):
         "path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     w = spark.read.parquet(out)
-    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "drift_detected")
+    return w.select(times.wall_of(F.col("window_start")).alias("window_start"), "n", "drift_detected")
 
 
 @register("r3_snapshot_log", f"WITH {SNAP} SELECT printf('finished=%d inflight=%d started=%d pending=%d', count(*) FILTER (status = 'finished'), count(*) FILTER (status = 'inflight'), count(*) FILTER (status = 'started'), count(*) FILTER (status = 'pending')) AS line FROM snap GROUP BY case_id % 3")

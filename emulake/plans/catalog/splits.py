@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emulake.functions import times
 from emulake.operators import ordered, rank, scale, split
 from emulake.plans.catalog.base import (
     CASES, INPUTS, OUTPUTS, S, cases, hash_sql, ranked_sql, register, sig, sig_all, split_sql, table,
@@ -23,7 +24,7 @@ def _(spark, sf):
  m AS (SELECT n, nt, ceil(0.125::DOUBLE * (n - nt))::BIGINT AS nv FROM n)
  SELECT event_id, CASE WHEN i < n - nt - nv THEN 'train' WHEN i < n - nt THEN 'val' ELSE 'test' END AS split FROM r, m""")
 def _(spark, sf):
-    ev = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ev = table(spark, sf, "events").withColumn("us", times.epoch_of(F.col("ts"), "MICROSECOND"))
     ranked = ordered.ordered_rank(ev, "us", ties=["event_id"]).withColumn("row_idx", F.col("rank") - 1)
     return split.split_tail(ranked, "row_idx", 0.2, 0.1).select("event_id", "split")
 

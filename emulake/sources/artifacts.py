@@ -27,7 +27,8 @@ def write_predictions(pred: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One dataset for all models and splits, partitioned by both."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown prediction format {fmt!r}")
-    writer = pred.write.mode("overwrite").partitionBy("model", "split")
+    names = [c.split()[0] for c in PREDICTION_SCHEMA.split(", ")]
+    writer = pred.select(*names).write.mode("overwrite").partitionBy("model", "split")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
