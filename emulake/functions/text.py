@@ -40,7 +40,8 @@ def assigned_number(line: Column) -> Column:
 
 def slug(c: Column, default: str = "model") -> Column:
     """Letters, digits, '_', '.', '-' only; at most 120 characters."""
-    safe = F.substring(F.regexp_replace(c, "[^a-zA-Z0-9_.-]+", "_"), 1, 120)
+    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
+    safe = F.substring(F.regexp_replace(bare, "[^a-zA-Z0-9_.-]+", "_"), 1, 120)
     return F.coalesce(F.nullif(safe, F.lit("")), F.lit(default))
 
 

@@ -36,6 +36,10 @@ class Model:
     def score_std(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         raise NotImplementedError(f"{self.key} has no uncertainty")
 
+    def predictor(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """The scorer as a numpy function (rows, inputs) -> (rows, outputs), where there is one."""
+        return None
+
     def size(self) -> dict[str, int]:
         """Counts that describe the model: weights, nodes, ..."""
         return {}

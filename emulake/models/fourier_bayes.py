@@ -158,8 +158,11 @@ class FourierBayes(Model):
 
         return predict, std
 
+    def predictor(self):
+        return self._predictors()[0]
+
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        return numpy_scores(df, self.inputs, self.outputs, keep, self._predictors()[0])
+        return numpy_scores(df, self.inputs, self.outputs, keep, self.predictor())
 
     def score_std(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         return numpy_scores(df, self.inputs, self.outputs, keep, *self._predictors())

@@ -49,6 +49,10 @@ class LinearModel(Model):
             cells.append(F.struct(F.lit(o).alias("output"), y.alias("y_pred")))
         return df.select(*keep, F.inline(F.array(*cells)))
 
+    def predictor(self):
+        w, b = self.weights, self.bias
+        return lambda x: x @ w + b
+
     def shapley(self, df: DataFrame, keep: Sequence[str], means: dict[str, float] | None = None) -> DataFrame:
         """Exact attributions w_j (x_j - E x_j): (keep..., output, feature, phi)."""
         mu = means or dict(zip(self.inputs, map(float, self.centre)))

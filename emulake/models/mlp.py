@@ -157,9 +157,12 @@ class MLP(Model):
         self.weights = best_w if val is not None and patience and math.isfinite(best) else w
         return self
 
-    def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    def predictor(self):
         net, w, mx, sx, my, sy = self._net(), self.weights, self.mx, self.sx, self.my, self.sy
-        return numpy_scores(df, self.inputs, self.outputs, keep, lambda x: net.forward(w, (x - mx) / sx) * sy + my)
+        return lambda x: net.forward(w, (x - mx) / sx) * sy + my
+
+    def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return numpy_scores(df, self.inputs, self.outputs, keep, self.predictor())
 
     def size(self) -> dict[str, int]:
         return {"weights": int(self.weights.size)}

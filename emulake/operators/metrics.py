@@ -50,9 +50,36 @@ def error_sums(pred: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def wide_error_sums(df: DataFrame, by: Sequence[str], outputs: dict[str, tuple[Column | str, Column | str]]) -> DataFrame:
+    """``error_sums`` for truth/prediction pairs that sit side by side in one row.
+
+    All pairs are summed in one aggregate and only its few result rows are unpivoted, so the table is not
+    multiplied by the number of outputs. For very many outputs use the long form instead.
+    """
+    names = list(outputs)
+
+    def as_col(c):
+        return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+    rows = df.select(*by, *[as_col(t).alias(f"__t{i}") for i, (t, _) in enumerate(outputs.values())],
+                     *[(as_col(p) - as_col(t)).alias(f"__e{i}") for i, (t, p) in enumerate(outputs.values())])
+    aggs = []
+    for i, o in enumerate(names):
+        t, e = F.col(f"__t{i}"), F.col(f"__e{i}")
+        aggs.append(F.struct(
+            F.lit(o).alias("output"), F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.sum(F.abs(e)).alias("sae"),
+            F.sum(F.abs(e) / F.greatest(F.abs(t), F.lit(EPS))).alias("spe"), (F.var_pop(t) * F.count(t)).alias("sst"),
+            F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error")).alias(f"__s{i}"))
+    return rows.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*[F.col(f"__s{i}") for i in range(len(names))])))
+
+
 def output_metrics(pred: DataFrame, by: Sequence[str]) -> DataFrame:
     """R2, MSE, RMSE, MAE, MAPE and error moments per group of ``by`` (which should include ``output``)."""
-    s = error_sums(pred, by)
+    return from_sums(error_sums(pred, by), by)
+
+
+def from_sums(s: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics from error sums."""
     n = F.col("n")
     return s.select(
         *by, "n",

@@ -70,6 +70,16 @@ def _profiles(spark, sf):
                     v.alias("y_true"), (v * 0.9 + 0.01).alias("y_pred"))
 
 
+@register("a4_output_metrics_wide", f"""WITH {CASES}, {SPLIT}, {PRED}, a AS (SELECT * FROM pred WHERE model = 'A'), {output_metrics_sql('a', 'split, output')}
+ SELECT split, output, n, {S('r2')} AS r2, {S('rmse')} AS rmse, {S('mae')} AS mae, {S('mape')} AS mape, {S('mean_error')} AS mean_error FROM om""")
+def _(spark, sf):
+    s = split.split_shuffled(cases(spark, sf), KEY, 0.2, 0.1)
+    p = F.col("l_extendedprice")
+    sums = metrics.wide_error_sums(s, ["split"], {"revenue": ("revenue", p * 0.95), "charge": ("charge", p * 0.99)})
+    m = metrics.from_sums(sums, ["split", "output"])
+    return sig_all(m, "r2", "rmse", "mae", "mape", "mean_error").select("split", "output", "n", "r2", "rmse", "mae", "mape", "mean_error")
+
+
 @register("a5_profile_group_metrics", f"""WITH {EMB_PRED}, {output_metrics_sql('pred', 'model, output, pos')},
  g AS (SELECT *, CASE WHEN pos < 32 THEN 'core' ELSE 'edge' END AS grp FROM om)
  SELECT model, grp, {S('sqrt(avg(mse))')} AS rmse, {S('avg(mae)')} AS mae, {S('avg(r2)')} AS r2, count(*) AS n_outputs FROM g GROUP BY 1, 2""")

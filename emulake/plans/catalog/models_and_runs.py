@@ -170,6 +170,13 @@ def _(spark, sf):
     return REGISTRY.create("rf", INPUTS, ["revenue"], **FOREST).fit(part(df, "train")).score_std(part(df, "val"), KEY)
 
 
+@register("m6_seeded_ensemble")
+def _(spark, sf):
+    df = ready(spark, sf)
+    m = REGISTRY.create("ensemble", INPUTS, ["revenue"], base="gp", n_members=3, base_params={"n_features": 32}).fit(part(df, "train"))
+    return m.score_std(part(df, "val"), KEY)
+
+
 @register("m13_feature_importance")
 def _(spark, sf):
     df = ready(spark, sf)

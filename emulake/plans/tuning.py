@@ -28,9 +28,9 @@ def scored_long(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return wide.select(*keep, "output", truth.alias("y_true"), "y_pred")
 
 
-def split_scores(model: Model, df: DataFrame) -> dict[str, dict[str, float]]:
+def split_scores(model: Model, df: DataFrame, key: Sequence[str] = ()) -> dict[str, dict[str, float]]:
     """{split: {metric: value}} of a fitted model over a table with a ``split`` column."""
-    rows = metrics.split_metrics(scored_long(model, df, ["split"]), ["split"]).collect()
+    rows = metrics.split_metrics(scored_long(model, df, [*key, "split"]), ["split"]).collect()
     return {r["split"]: r.asDict() for r in rows}
 
 
@@ -45,6 +45,7 @@ class TuneResult:
     best_params: dict[str, Any]
     best_value: float
     best_number: int
+    epochs: list[dict]
 
 
 def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Sequence[str], key: Sequence[str], workers: int = 2) -> TuneResult:
@@ -57,13 +58,15 @@ def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Seque
     trials = design.sample_space(data.sparkSession, t.space, t.n_trials, t.seed).orderBy("number").collect()
     train, val = data.where("split = 'train'"), data.where("split = 'val'")
     cls = REGISTRY.get(spec.key)
+    epochs: list[dict] = []
 
     def one(row) -> tuple:
         began = time.time()
         params = {**spec.params, **trial_params(row, t.space)}
         try:
             model = cls(inputs, outputs, **params).fit(train, val)
-            got = split_scores(model, data.where(F.col("split").isin(which, "val")))
+            epochs.extend({**h, "hpo_trial": row["number"]} for h in model.history)
+            got = split_scores(model, data.where(F.col("split").isin(which, "val")), key)
             value = got[which][metric]
             return (row["number"], float(value), row["params"], "complete", time.time() - began, got["val"]["r2"], got["val"]["rmse"])
         except (ValueError, ArithmeticError) as exc:
@@ -77,7 +80,7 @@ def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Seque
     sign = 1 if t.direction == "minimize" else -1
     best = min(done, key=lambda r: (sign * r[1], r[0]))
     row = next(r for r in trials if r["number"] == best[0])
-    return TuneResult(data.sparkSession.createDataFrame(rows, TRIAL_SCHEMA), {**spec.params, **trial_params(row, t.space)}, best[1], best[0])
+    return TuneResult(data.sparkSession.createDataFrame(rows, TRIAL_SCHEMA), {**spec.params, **trial_params(row, t.space)}, best[1], best[0], epochs)
 
 
 def cross_validate(spec: ModelSpec, df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], key: Sequence[str], k: int = 5, seed: int = 42,
@@ -91,6 +94,6 @@ def cross_validate(spec: ModelSpec, df: DataFrame, inputs: Sequence[str], output
             scaler = fit_standard(train, inputs)
             train, held = scaler.transform(train), scaler.transform(held)
         model = REGISTRY.create(spec.key, inputs, outputs, **spec.params).fit(train)
-        per = metrics.split_metrics(scored_long(model, held, ["fold"]), ["fold"]).withColumn("model", F.lit(spec.label))
+        per = metrics.split_metrics(scored_long(model, held, [*key, "fold"]), ["fold"]).withColumn("model", F.lit(spec.label))
         out = per if out is None else out.unionByName(per)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import statistics
 import time
@@ -23,6 +24,7 @@ from emulake.session import materialize, spread_small
 from emulake.sources import artifacts
 from emulake.sources.readers import load_table
 from emulake.spec import DatasetSpec, ModelSpec, RunSpec
+from emulake.streaming.progress import append_epochs
 
 
 @dataclass
@@ -150,8 +152,16 @@ def _fit(spark: SparkSession, m: ModelSpec, result: RunResult, train: DataFrame,
 
 
 def _store(spark: SparkSession, result: RunResult, out: str) -> None:
+    scores = {(r["model"], r["split"]): r.asDict() for r in result.metrics.collect()}
+    cards = []
     for name, model in result.models.items():
         model.save(spark, os.path.join(out, "models", name))
+        append_epochs(spark, model.history, os.path.join(out, "epochs", name))
+        body = {k: v for k, v in model.params.items() if isinstance(v, (str, int, float, bool, list, type(None)))}
+        cards.append((name, model.key, json.dumps(body), model.inputs, model.outputs,
+                      json.dumps({s: {m: got[m] for m in ("n", "r2", "rmse", "mae", "mape")} for (n, s), got in scores.items() if n == name})))
+    schema = "model string, key string, params string, inputs array<string>, outputs array<string>, metrics string"
+    artifacts.write_small_json(spark.createDataFrame(cards, schema).coalesce(1), os.path.join(out, "model_cards"))
     for name, s in (("inputs", result.input_scaler), ("outputs", result.output_scaler)):
         if s:
             s.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(os.path.join(out, "scalers", name))
@@ -161,6 +171,7 @@ def _store(spark: SparkSession, result: RunResult, out: str) -> None:
     spark.createDataFrame(result.timings, "model string, name string, value double").coalesce(1).write.mode("overwrite").json(os.path.join(out, "profile"))
     for name, found in result.tuning.items():
         found.trials.coalesce(1).write.mode("overwrite").json(os.path.join(out, "tuning", name))
+        append_epochs(spark, found.epochs, os.path.join(out, "epochs_by_trial", name))
     for name in ("uncertainty", "folds"):
         if getattr(result, name) is not None:
             getattr(result, name).write.mode("overwrite").parquet(os.path.join(out, name))

@@ -15,7 +15,7 @@ from emulake.sources.readers import EPOCH_SCHEMA, SNAPSHOT_SCHEMA
 def append_epochs(spark: SparkSession, history: Sequence[dict], folder: str, trial: int | None = None) -> None:
     """Append epoch records as JSON lines, tagged with their trial."""
     names = [c.split()[0] for c in EPOCH_SCHEMA.split(", ")]
-    rows = [tuple({**h, "hpo_trial": trial}.get(n) for n in names) for h in history]
+    rows = [tuple({"hpo_trial": trial, **h}.get(n) for n in names) for h in history]
     if rows:
         spark.createDataFrame(rows, EPOCH_SCHEMA).coalesce(1).write.mode("append").json(folder)
 

@@ -91,6 +91,22 @@ def test_forest_mean_over_trees_is_the_prediction(spark, table):
     assert abs(REGISTRY.load(spark, path).score(table, []).agg(F.sum("y_pred")).first()[0] - m.score(table, []).agg(F.sum("y_pred")).first()[0]) < 1e-6
 
 
+def test_ensemble_is_the_mean_of_its_members(spark, table):
+    m = REGISTRY.create("ensemble", X, ["y2"], base="gp", n_members=3, base_params={"n_features": 30}).fit(part(table, "train"))
+    assert [b.params["seed"] for b in m.members] == [42, 43, 44]
+    got = m.score_std(part(table, "val"), ["k"])
+    want = m.member_scores(part(table, "val"), ["k"]).groupBy("k").agg(F.avg("y_pred").alias("a"), F.stddev_pop("y_pred").alias("s"))
+    assert got.join(want, "k").where((F.abs(F.col("y_pred") - F.col("a")) > 1e-9) | (F.abs(F.col("std") - F.col("s")) > 1e-9)).count() == 0
+    trees = REGISTRY.create("ensemble", X, ["y2"], base="rf", n_members=2, key=["k"], base_params={"n_estimators": 3, "max_depth": 4}).fit(part(table, "train"))
+    assert trees.score(part(table, "val"), ["k"]).count() == 120
+    with pytest.raises(ValueError, match="key"):
+        trees.score(part(table, "val"), ["split"])
+    path = new_path(spark, "ensemble")
+    m.save(spark, path)
+    again = REGISTRY.load(spark, path).score(part(table, "val"), ["k"])
+    assert got.join(again.withColumnRenamed("y_pred", "again"), ["k", "output"]).where(F.abs(F.col("y_pred") - F.col("again")) > 1e-9).count() == 0
+
+
 def test_gradient_matches_differences():
     for act in ("tanh", "sigmoid", "relu", "leaky_relu"):
         net = Net([3, 5, 2], act)
@@ -159,6 +175,8 @@ def test_workflow_writes_and_reloads(spark, table):
     assert got[("line", "train")].n == 360 and got[("line", "test")].n == 120
     assert res.predictions.where("model = 'line' AND output = 'y1' AND abs(y_true - y_pred) > 1e-6").count() == 0  # original units
     assert res.uncertainty.count() == 120 * 2 and res.folds.count() == 9
+    assert spark.read.json(f"{out}/model_cards").where("model = 'line' AND metrics LIKE '%rmse%'").count() == 1
+    assert spark.read.json(f"{out}/epochs/mlp").count() == 2
     again = REGISTRY.load(spark, f"{out}/models/line")
     assert np.allclose(again.weights, res.models["line"].weights)
     tuned = workflow.run_workflow(spark, {**raw, "models": [raw["models"][2]], "output_dir": None, "finetune_from": out, "cv_folds": None}, table.drop("split"))
