@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emulake.functions import text, times
 from emulake.operators.ordered import ordered_rank
-from emulake.session import join_on
+from emulake.session import join_on, materialize
 
 # Directory names, marker files and states of a campaign.
 CASE_PREFIX = "sparc_"
@@ -24,10 +24,9 @@ TOLERANCE = 1e-6
 
 def parse_paths(files: DataFrame, path: str = "path", prefix: str = CASE_PREFIX) -> DataFrame:
     """Split ``.../run<k>/<case>/<leaf>`` into run, case and leaf; other paths are dropped."""
-    form = rf"/(run[^/]*)/({prefix}[^/]*)/([^/]+)$"
-    p = F.concat(F.lit("/"), F.col(path))
-    parts = files.withColumns({"run": F.regexp_extract(p, form, 1), "case": F.regexp_extract(p, form, 2), "leaf": F.regexp_extract(p, form, 3)})
-    return parts.where("run <> ''")
+    parts = files.withColumn("__p", F.split(path, "/"))
+    named = parts.withColumns({n: F.try_element_at("__p", F.lit(at)) for n, at in (("run", -3), ("case", -2), ("leaf", -1))})
+    return named.where(F.col("run").startswith("run") & F.col("case").startswith(prefix) & (F.col("leaf") != "")).drop("__p")
 
 
 def natural(c: Column) -> Column:
@@ -55,7 +54,7 @@ def scan_cases(files: DataFrame, queued: DataFrame | None = None) -> DataFrame:
         F.bool_or(leaf == "started").alias("begun"),
         F.min(F.when(leaf == "started", F.col("mtime"))).alias("started_ts"),
         F.min(F.when(leaf == "finished", F.col("mtime"))).alias("finished_ts"))
-    numbered = number_cases(cases)
+    numbered = number_cases(materialize(cases, "cases"))  # numbering reads the cases three times
     if queued is not None:
         numbered = numbered.join(queued.select("case_id").distinct().withColumn("__q", F.lit(True)), "case_id", "left")
     else:
@@ -206,7 +205,7 @@ def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_conf
     taken, an empty window is skipped whole, and configurations rotate. Where a window starts depends on
     the one before, but a start can enter an id page at only ``chunk`` offsets. So each page works out
     where every possible entry leaves it (in parallel), those small maps are chained in page order, and
-    each page then emits its chunks from its known entry.
+    each page then emits its chunks from its known entry. ``cases`` is read three times, so pass a stored table.
     """
     if chunk <= 0:
         raise ValueError("the chunk size must be positive")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulake.operators.ordered import order_bucket, running
+from emulake.session import materialize
 
 
 def best_so_far(trials: DataFrame, by: Sequence[str] = ("study",), order: str = "number", value: str = "value",
@@ -24,9 +25,9 @@ def patience(epochs: DataFrame, by: Sequence[str] = ("trial",), epoch: str = "ep
     cell = order_bucket(epochs, F.col(epoch))
     prev = running(epochs, epoch, by, {"__pos": ("count", epoch, True), "__prev": ("min", loss, False)}, cell=cell)
     better = F.coalesce(F.col("__prev").isNull() | (F.col(loss) < F.col("__prev")), F.lit(False))
-    marked = prev.withColumn("__hit", F.when(better, F.col("__pos")))
+    marked = materialize(prev.withColumn("__hit", F.when(better, F.col("__pos"))).drop("__prev"), "patience")  # read twice below
     last = running(marked, epoch, by, {"__last": ("max", "__hit", True)}, cell=cell)
-    return last.withColumn("bad_epochs", F.col("__pos") - F.coalesce(F.col("__last"), F.lit(0))).drop("__pos", "__prev", "__hit", "__last")
+    return last.withColumn("bad_epochs", F.col("__pos") - F.coalesce(F.col("__last"), F.lit(0))).drop("__pos", "__hit", "__last")
 
 
 def stop_epochs(watched: DataFrame, limit: int, by: Sequence[str] = ("trial",), epoch: str = "epoch") -> DataFrame:

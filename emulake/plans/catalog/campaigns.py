@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emulake.functions import text, times
 from emulake.operators import campaign, design
+from emulake.session import materialize
 from emulake.plans.catalog.base import S, register, sig, sig_all, table
 
 # --- a campaign: each order is a case of run 1..40 --------------------------------------------------------
@@ -23,7 +24,7 @@ def snapshot(spark, sf):
     t0 = times.epoch_of(F.col("o_orderdate"))
     rows = o.select(F.concat(F.lit("run"), run).alias("run"), F.concat(F.lit("sparc_"), F.col("o_orderkey")).alias("case"), st.alias("status"),
                     t0.alias("started_ts"), F.when(F.col("o_orderstatus") == "F", t0 + F.bround("o_totalprice").cast("bigint")).alias("finished_ts"))
-    return campaign.number_cases(rows).withColumnRenamed("case", "eq")
+    return materialize(campaign.number_cases(rows).withColumnRenamed("case", "eq"), "snapshot")
 
 
 def listing(spark, sf):
