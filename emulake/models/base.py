@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +61,18 @@ class Model:
         spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Equal-length number lists as a 2-D array, without a Python object per row."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def list_column(values: np.ndarray) -> pa.Array:
+    """Rows of a 2-D array as number lists."""
+    flat = np.ascontiguousarray(values, dtype=np.float64)
+    offsets = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+
+
 def numpy_scores(
     df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], keep: Sequence[str],
     predict: Callable[[np.ndarray], np.ndarray], std: Callable[[np.ndarray], np.ndarray] | None = None,
@@ -71,19 +83,18 @@ def numpy_scores(
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "__y array<double>", *(["__s array<double>"] if std else [])])
     wanted = df.select(*keep, F.array(*[F.col(c).cast("double") for c in inputs]).alias("__x"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["__x"].to_numpy())
-            out = pdf[keep].copy()
-            out["__y"] = list(predict(x))
+            x = matrix(batch.column("__x"))
+            cols = [batch.column(k) for k in keep] + [list_column(predict(x))]
             if std:
-                out["__s"] = list(std(x))
-            yield out
+                cols.append(list_column(std(x)))
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "__y", *(["__s"] if std else [])])
 
     names = F.array(*[F.lit(o) for o in outputs])
-    scored = wanted.mapInPandas(run, schema)
+    scored = wanted.mapInArrow(run, schema)
     if std:
         z = scored.select(*keep, F.inline(F.arrays_zip(names.alias("output"), F.col("__y").alias("y_pred"), F.col("__s").alias("std"))))
     else:

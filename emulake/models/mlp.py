@@ -13,10 +13,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulake.models.base import REGISTRY, Model, numpy_scores
+from emulake.models.base import REGISTRY, Model, matrix, numpy_scores
 from emulake.models.sums import MERGERS
 from emulake.operators.scale import column_stats
 from emulake.operators.split import epoch_sample
@@ -179,19 +180,22 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
            shards: int) -> dict:
     """One pass: every task steps through its training rows and sums the validation error of the incoming weights."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         a, m1, m2, t = w.copy(), m.copy(), v.copy(), steps
         rows, sse, vrows, vsse = 0, 0.0, 0, 0.0
-        for pdf in batches:
-            flags = pdf["is_val"].to_numpy(dtype=bool)
+        for got in batches:
+            if not got.num_rows:
+                continue
+            flags = got.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+            all_x, all_y = matrix(got.column("x")), matrix(got.column("y"))
             if flags.any():
-                x, y = (np.stack(pdf.loc[flags, c].to_numpy()) for c in ("x", "y"))
+                x, y = all_x[flags], all_y[flags]
                 vsse += float(np.mean((net.forward(w, x) - y) ** 2) * len(x))
                 vrows += len(x)
             if not train or flags.all():
                 continue
-            x, y = (np.stack(pdf.loc[~flags, c].to_numpy()) for c in ("x", "y"))
+            x, y = all_x[~flags], all_y[~flags]
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 pick = order[at:at + batch]
@@ -202,8 +206,8 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
                 sse += e / y.shape[1]
                 rows += len(pick)
         if rows or vrows:
-            yield pd.DataFrame({"rows": [rows], "sse": [sse], "vrows": [vrows], "vsse": [vsse], "steps": [t],
-                                "state": [(np.concatenate([a, m1, m2]) * rows).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"rows": [rows], "sse": [sse], "vrows": [vrows], "vsse": [vsse], "steps": [t],
+                                              "state": [(np.concatenate([a, m1, m2]) * rows).tobytes()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, state = None, 0.0
@@ -216,7 +220,7 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
             yield pd.DataFrame({"rows": [int(total[0])], "sse": [total[1]], "vrows": [int(total[2])], "vsse": [total[3]], "steps": [top], "state": [state.tobytes()]})
 
     schema = "rows bigint, sse double, vrows bigint, vsse double, steps bigint, state binary"
-    merged = data.mapInPandas(task, schema)
+    merged = data.select("is_val", "x", "y").mapInArrow(task, schema)
     if shards > DIRECT_SHARDS:
         merged = merged.repartition(MERGERS).mapInPandas(merge, schema)
     got = sorted(merged.collect(), key=lambda r: (r.rows, r.sse))  # at most DIRECT_SHARDS rows

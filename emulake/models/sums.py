@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emulake.models.base import matrix
+
 MERGERS = 8
 
 
@@ -21,14 +24,14 @@ def summed(df: DataFrame, columns: dict[str, Sequence[str]], block: Callable[...
     packed = df.select(*[F.array(*[F.col(c).cast("double") for c in cols]).alias(name) for name, cols in columns.items()])
     names = list(columns)
 
-    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for pdf in batches:
-            if len(pdf):
-                part = block(**{n: np.stack(pdf[n].to_numpy()) for n in names})
+        for batch in batches:
+            if batch.num_rows:
+                part = block(**{n: matrix(batch.column(n)) for n in names})
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"b": [np.ascontiguousarray(total, dtype=np.float64).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"b": [np.ascontiguousarray(total, dtype=np.float64).tobytes()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -39,7 +42,7 @@ def summed(df: DataFrame, columns: dict[str, Sequence[str]], block: Callable[...
         if total is not None:
             yield pd.DataFrame({"b": [total.tobytes()]})
 
-    parts = packed.mapInPandas(per_task, "b binary")
+    parts = packed.mapInArrow(per_task, "b binary")
     got = parts.repartition(MERGERS).mapInPandas(merge, "b binary").collect()
     if not got:
         return None
