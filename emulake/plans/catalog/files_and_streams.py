@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,11 +68,16 @@ def _(spark, sf):
     return readers.read_snapshot(spark, path).drop("path")
 
 
+def _mounted(path: str) -> str:
+    """The shared folder as a mounted path, which array files and links need."""
+    return re.sub("^file:/*", "/", path)
+
+
 def _stacked(spark, sf) -> str:
     """Write events as a stacked array pair: every task fills its own rows of the two files."""
     ev = table(spark, sf, "events").select(F.col("event_id").alias("row_idx"), F.col("value").alias("a"), (F.col("value") * 2).alias("b"), F.col("user_id").cast("double").alias("y"))
     n = ev.count()
-    folder = new_path(spark, "stacked")
+    folder = _mounted(new_path(spark, "stacked"))
     os.makedirs(folder)
     paths = {k: os.path.join(folder, f"data_nprev5_set1_{k}.npy") for k in ("data", "target")}
     for k, width in (("data", 2), ("target", 1)):
@@ -137,7 +143,7 @@ def _(spark, sf):
 
 @register("s13_prediction_files", "SELECT 'forest' AS model, s AS split, o_orderkey AS row_key, 0::INTEGER AS output, o_totalprice AS y_true, o_custkey::DOUBLE AS y_pred FROM orders, (SELECT unnest(['train', 'val']) AS s) WHERE (o_orderkey % 2 = 0) = (s = 'val')")
 def _(spark, sf):
-    path = new_path(spark, "prediction-files")
+    path = _mounted(new_path(spark, "prediction-files"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("index"), F.col("o_totalprice").alias("y_true_00"), F.col("o_custkey").cast("double").alias("y_pred_00"))
     for name, rows in (("train", o.where("index % 2 = 1")), ("val", o.where("index % 2 = 0")), ("val_uq", o.where("index % 5 = 0"))):
         rows.coalesce(1).write.parquet(f"{path}/tmp_{name}")
