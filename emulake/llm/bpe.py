@@ -29,6 +29,7 @@ TABLE_UNITS = 400_000
 KEPT_UNITS = 200_000
 #: Units counted in a task before the counts are passed on.
 COUNTED_UNITS = 200_000
+SHIFT = 20  # bits of an id in the key of a pair
 TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -37,76 +38,88 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """The merges of a rank file: which two adjacent ids make which token, and the ids of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = (
+            (left << SHIFT | right, rank)
+            for token, rank in ranks.items() for k in range(1, len(token))
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+        )
+        self.pairs: dict[int, int] = dict(found)
+        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.made = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        if (self.single < 0).any():
+            raise ValueError("the rank file lacks single bytes")
+
+
+def replay(words: list[bytes], merges: Merges) -> list[np.ndarray]:
     """Ids of each word after all merges, applied in rank order to all words at once.
 
-    Positions are bytes of the concatenated words, linked to their neighbours. ``at[r]`` lists the positions whose token and
-    right neighbour together are the token of rank r. A position may be outdated; it counts only if its pair still
-    makes r. A merge that opens a smaller rank sends the rest of its list back, so the order is exact.
+    Positions are bytes of the concatenated words, linked to their neighbours. ``index[r]`` lists the positions whose id and
+    right neighbour's id make r. A position may be outdated; it counts only if its pair still makes r. A merge that
+    opens a smaller rank sends the rest of its list back, so the order is exact.
     """
-    n = sum(map(len, words))
-    token: list[bytes | None] = [None] * n
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    index: dict[int, list[int]] = {}
-    at = 0
-    single = [bytes([b]) for b in range(256)]
-    rank_of = ranks.get
-    for word in words:
-        end = at + len(word)
-        for i, b in enumerate(word, at):
-            token[i] = single[b]
-        left[at], right[end - 1] = -1, -1
-        for i in range(at, end - 1):
-            r = rank_of(word[i - at : i - at + 2])
-            if r is not None:
-                index.setdefault(r, []).append(i)
-        at = end
-    heap = list(index)
-    heapq.heapify(heap)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    n = int(ends[-1]) if len(words) else 0
+    ids = merges.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+    links = np.arange(n + 1)
+    left, right = links[:n] - 1, links[:n] + 1
+    full = sizes > 0
+    left[(ends - sizes)[full]] = -1
+    right[ends[full] - 1] = -1
+    keys = np.where(right >= 0, ids << SHIFT | np.append(ids[1:], 0)[:n], -1)
+    spot = np.minimum(np.searchsorted(merges.keys, keys), max(0, len(merges.keys) - 1))
+    place = np.flatnonzero(merges.keys[spot] == keys) if n and len(merges.keys) else np.zeros(0, dtype=np.int64)
+    made = merges.made[spot[place]] if len(place) else place
+    order = np.argsort(made, kind="stable")
+    place, made = place[order], made[order]
+    cuts = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1]])) if len(made) else made
+    index = {int(made[a]): place[a:b].tolist() for a, b in zip(cuts, [*cuts[1:], len(made)])}
+    heap = sorted(index)
+    token, left, right, rank_of = ids.tolist(), left.tolist(), right.tolist(), merges.pairs.get
     while heap:
         r = heapq.heappop(heap)
-        places = index.pop(r, None)
-        if places is None:
-            continue
+        places = index.pop(r)
         places.sort()
         for k, i in enumerate(places):
-            a, j = token[i], right[i]
-            if a is None or j < 0 or rank_of(a + token[j]) != r:
+            j = right[i]
+            if j < 0 or token[i] < 0 or rank_of(token[i] << SHIFT | token[j]) != r:
                 continue
-            merged = a + token[j]
-            token[i], token[j] = merged, None
+            token[i], token[j] = r, -1
             right[i] = after = right[j]
             smaller = False
             if after >= 0:
                 left[after] = i
-                s = rank_of(merged + token[after])
+                s = rank_of(r << SHIFT | token[after])
                 if s is not None:
-                    if s not in index:
-                        index[s] = []
+                    if s in index:
+                        index[s].append(i)
+                    else:
+                        index[s] = [i]
                         heapq.heappush(heap, s)
-                    index[s].append(i)
                     smaller = s < r
             before = left[i]
             if before >= 0:
-                s = rank_of(token[before] + merged)
+                s = rank_of(token[before] << SHIFT | r)
                 if s is not None:
-                    if s not in index:
-                        index[s] = []
+                    if s in index:
+                        index[s].append(before)
+                    else:
+                        index[s] = [before]
                         heapq.heappush(heap, s)
-                    index[s].append(before)
-                    smaller |= s < r
+                    smaller = smaller or s < r
             if smaller and k + 1 < len(places):
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(heap, r)
-                index[r] += places[k + 1 :]
+                index[r] = places[k + 1 :]
+                heapq.heappush(heap, r)
                 break
-    out, at = [], 0
-    for word in words:
-        end = at + len(word)
-        out.append([ranks[t] for t in token[at:end] if t is not None])
-        at = end
-    return out
+    done = np.array(token, dtype=np.int64)
+    kept = np.concatenate([[0], np.cumsum(done >= 0)])
+    flat, edges = done[done >= 0].astype("<u4"), kept[np.append(0, ends)]
+    return [flat[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
@@ -129,14 +142,15 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes, from the corpus table and what a worker has met so far."""
 
     def __init__(self, ranks_path: str, pattern: str, table: dict[str, bytes]) -> None:
-        self.ranks, self.split, self.known, self.room = read_ranks(ranks_path), splitter(pattern), dict(table), len(table) + KEPT_UNITS
+        self.merges, self.split, self.known, self.room = Merges(read_ranks(ranks_path)), splitter(pattern), dict(table), len(table) + KEPT_UNITS
 
     def learn(self, units: Iterable[str]) -> dict[str, bytes]:
-        """Replay the distinct words of ``units`` together."""
+        """Ids of ``units``; those of their distinct words that are no known unit themselves are replayed together."""
         cut = {u: self.split(u) for u in units}
-        words = list({w for ws in cut.values() for w in ws})
-        ids = {w: np.array(i, dtype="<u4").tobytes() for w, i in zip(words, replay([w.encode("utf-8", "surrogatepass") for w in words], self.ranks))}
-        return {u: b"".join(map(ids.__getitem__, ws)) for u, ws in cut.items()}
+        words = list({w for ws in cut.values() for w in ws if w not in self.known})
+        ids = {w: i.tobytes() for w, i in zip(words, replay([w.encode("utf-8", "surrogatepass") for w in words], self.merges))}
+        known = self.known
+        return ids | {u: b"".join([known[w] if w in known else ids[w] for w in ws]) for u, ws in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [units_of(t) for t in texts]
@@ -184,7 +198,9 @@ def unit_table(units: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, pattern, {})
         for batch in slices(batches, 50_000):
-            got = encoder.learn(batch.column(0).to_pylist())
+            units = batch.column(0).to_pylist()
+            learnt = encoder.learn(units)
+            got = {u: learnt[u] for u in units}
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), binary_column(list(got.values()))], names=["unit", "ids"])
 
     return units.mapInArrow(run, "unit string, ids binary")
@@ -202,7 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_value("bpe", (name,), lambda: Encoder(ranks_path, pattern, dict(zip(*table.value))))
-        for batch in slices(batches, 200):
+        for batch in slices(batches):
             parts = encoder.encode(texts_of(batch))
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
@@ -217,16 +233,19 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "by
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make() -> list[bytes]:
+        def make() -> np.ndarray:
             ranks = read_ranks(ranks_path)
             table = [b""] * (max(ranks.values()) + 1)
             for token, rank in ranks.items():
                 table[rank] = token
-            return table
+            return np.array(table, dtype=object)
 
-        token = worker_value("bpe_tokens", (ranks_path,), make).__getitem__
+        token = worker_value("bpe_tokens", (ranks_path,), make)
         for batch in slices(batches, 200):
-            texts = [b"".join(map(token, i or ())) for i in batch.column(ids).to_pylist()]
+            lists = batch.column(ids)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            texts = [b"".join(token[flat[a:b]].tolist()) for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), binary_column(texts)], names=[*names, out])
 
     return encoded.mapInArrow(run, f"{typed(encoded, *names)}, `{out}` binary")

@@ -27,7 +27,7 @@ def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
 
 def worker_value(kind: str, key: tuple, make: Callable[[], Any]) -> Any:
-    """A value made once per Python worker process and kept across its tasks, until one of the same kind has another key.
+    """A value made once per Python worker process and kept across its tasks, until another kind or key is asked for.
 
     The package travels to the executors by value, so its own modules are new in each task; a module object made
     in the worker is not.
@@ -35,7 +35,7 @@ def worker_value(kind: str, key: tuple, make: Callable[[], Any]) -> Any:
     home = sys.modules.setdefault("_emulake_llm_worker", types.ModuleType("_emulake_llm_worker"))
     values = home.__dict__.setdefault("values", {})
     if kind not in values or values[kind][0] != key:
-        values.pop(kind, None)
+        values.clear()
         values[kind] = key, make()
     return values[kind][1]
 
