@@ -24,6 +24,7 @@ TRAIN_ROWS = 40_000
 STEPS = 20  # evaluations of the loss, each a pass over the training rows
 SMOOTH = 1.0
 MIN_TEXTS = 3  # training texts that a bucket needs
+MIN_RATIO = 0.5  # of a log ratio; buckets nearer to 0 say little and take no part
 PENALTY = 1.0
 _MIX = np.uint32(0x9E3779B1)
 
@@ -88,19 +89,40 @@ def fit_toxicity(
 ) -> ToxicModel | None:
     """Fit on at most ``rows`` labelled rows whose key's crc32 is not 0 modulo ``held_out``; None if there are none.
 
-    A key with several labels counts with the greatest; NULL labels and NULL keys don't count; a key that several rows
+    A key with several labels counts with the greatest; a label over 0 is toxic; NULL labels and NULL keys don't count; a key that several rows
     of ``docs`` have trains with each of them. The chosen keys are bounded by ``rows`` and therefore broadcast.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(fold(key, held_out) != 0).groupBy(key).agg(F.max(label).cast("double").alias("__y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(fold(key, held_out) != 0).groupBy(key).agg((F.max(label) > 0).cast("double").alias("__y"))
     chosen = store(known.orderBy(F.xxhash64(key), key).limit(rows), "chosen")
     picked = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", F.col("__y").alias("y"))
 
+    tasks = scan_tasks(picked)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in slices(batches):
+            total = np.zeros((2, BUCKETS + 1)) if total is None else total
+            for y, t in zip(batch.column("y").to_pylist(), texts_of(batch)):
+                total[1 if y > 0 else 0, ngrams_of(t)] += 1  # the buckets of a text are distinct
+                total[1 if y > 0 else 0, -1] += 1
+        return None if total is None else total.ravel()
+
+    found = summed(picked, counts, tasks)
+    if found is None:
+        return None
+    found = found.reshape(2, BUCKETS + 1)
+    good, bad, n_good, n_bad = found[0, :-1], found[1, :-1], found[0, -1], found[1, -1]
+    n = n_good + n_bad
+    ratio = np.log((bad + SMOOTH) / (n_bad + 2 * SMOOTH)) - np.log((good + SMOOTH) / (n_good + 2 * SMOOTH))
+    prior = float(np.log((n_bad + SMOOTH) / (n_good + SMOOTH)))
+    ratio[(good + bad < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO)] = 0.0
+    useful = ratio != 0
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lists = [ngrams_of(t).astype(np.int32) for t in texts_of(batch)]
+            lists = [g[useful[g]].astype(np.int32) for g in map(ngrams_of, texts_of(batch))]
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), grams], names=["y", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], names=["y", "grams"])
 
     train = store(picked.mapInArrow(extract, "y double, grams array<int>"), "grams")
     tasks = scan_tasks(train)
@@ -111,33 +133,13 @@ def fit_toxicity(
         flat = grams.flatten().to_numpy(zero_copy_only=False)
         return batch.column("y").to_numpy(zero_copy_only=False), flat, np.repeat(np.arange(len(grams)), grams.value_lengths().to_numpy(zero_copy_only=False))
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        total = None
-        for batch in slices(batches, 2000):
-            y, flat, row = arrays(batch)
-            total = np.zeros(2 * BUCKETS + 2) if total is None else total
-            total[:BUCKETS] += np.bincount(flat, weights=y[row], minlength=BUCKETS)
-            total[BUCKETS : 2 * BUCKETS] += np.bincount(flat, minlength=BUCKETS)
-            total[-2:] += y.sum(), len(y)
-        return total
-
-    found = summed(train, counts, tasks)
-    if found is None:
-        return None
-    bad, every = found[:BUCKETS], found[BUCKETS : 2 * BUCKETS]
-    n_bad, n = found[-2:]
-    ratio = np.log((bad + SMOOTH) / (n_bad + 2 * SMOOTH)) - np.log((every - bad + SMOOTH) / (n - n_bad + 2 * SMOOTH))
-    prior = float(np.log((n_bad + SMOOTH) / (n - n_bad + SMOOTH)))
-
-    ratio[every < MIN_TEXTS] = 0.0
-
     def loss(point: np.ndarray) -> tuple[float, np.ndarray]:
         """Penalised loss and gradient at (w, bias), both divided by the number of rows."""
         scaled, bias = point[:-1] * ratio, point[-1]
 
         def block(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
             total = None
-            for batch in slices(batches, 2000):
+            for batch in slices(batches, 1000):
                 y, flat, row = arrays(batch)
                 margin = np.bincount(row, weights=scaled[flat], minlength=len(y)) + bias
                 error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y
