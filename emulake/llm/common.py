@@ -52,6 +52,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name = stem
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def typed(df: DataFrame, *names: str) -> str:
     """DDL of the named columns, for the schema of mapInArrow."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

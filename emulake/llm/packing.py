@@ -161,9 +161,11 @@ def pack(pieces: DataFrame, size: int = 4096, order: Sequence[str] = ("doc_id",
         (F.col("__offset") + F.col("__j") % F.col("__each") * F.col("__length")).alias("offset"),
     )
     cells = spark.createDataFrame([(n, -(-c // CELL_ROWS)) for n, c in counts.items()], "__length long, __cells long")
-    celled = pieces.withColumn("__length", F.col(length)).join(F.broadcast(cells), "__length").withColumn("__cell", F.pmod(F.xxhash64(*order), "__cells"))
-    ranked = rank_in_cells(celled.drop("__cells"), F.col("__cell"), ["__length"], list(order), "__rank")
-    return ranked.join(slots, ["__length", "__rank"]).drop("__length", "__rank", "__cell")
+    by = [f"__by{i}" for i in range(len(order))]
+    rows = pieces.select(F.struct(*pieces.columns).alias("__row"), F.col(length).cast("long").alias("__length"), *(F.col(c).alias(b) for c, b in zip(order, by)))
+    celled = rows.join(F.broadcast(cells), "__length").withColumn("__cell", F.pmod(F.xxhash64(*by), "__cells"))
+    ranked = rank_in_cells(celled.drop("__cells"), F.col("__cell"), ["__length"], by, "__rank")
+    return ranked.join(slots, ["__length", "__rank"]).select("__row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:

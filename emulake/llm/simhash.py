@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import content_key, slices, store, texts_of, typed
+from emulake.llm.common import content_key, fresh, slices, store, texts_of, typed
 from emulake.llm.components import component_roots
 from emulake.session import join_on
 
@@ -120,12 +120,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     in both one stays.
     """
     found = near_duplicates(docs, key, text)
-    keep = store(found.select("keeper").distinct().select(F.col("keeper.id").alias("__id"), F.col("keeper.text").alias("__text")), "keepers")
+    own = [fresh(docs, "__id"), fresh(docs, "__text")]
+    keep = store(found.select("keeper").distinct().select(F.col("keeper.id").alias(own[0]), F.col("keeper.text").alias(own[1])), "keepers")
     repeated = found.groupBy(key, "__text").count().where("count > 1").limit(1).count()
-    tagged = docs.withColumn("__id", F.col(key)).withColumn("__text", content_key(key, text)["text"])
-    kept = join_on(tagged, keep, ["__id", "__text"], "left_semi")
+    tagged = docs.withColumn(own[0], F.col(key)).withColumn(own[1], content_key(key, text)["text"])
+    kept = join_on(tagged, keep, own, "left_semi")
     if repeated:
-        kept = kept.dropDuplicates(["__id", "__text"])
+        kept = kept.dropDuplicates(own)
     return kept.select(*docs.columns)
 
 

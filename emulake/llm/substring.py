@@ -1,6 +1,6 @@
 """Repeated passages across documents, found by hashing lines and the sentences in them.
 
-A text is cut into units at line breaks, after sentence ends, and before capitalised words, so that a passage set into
+A text is cut into units at line breaks, after sentence ends, and before words with a capital only in front, so that a passage set into
 the middle of a foreign line still falls into the same units. Units are normalised (white space, case) and hashed to
 128 bits. All units of all documents are grouped by digest; the earliest by (document, place) is kept. A later one goes
 if the repeated units around it that stand together have ``min_words`` words or more: short phrases that happen to
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import SLICE_ROWS, binary_column, content_key, slices, store, texts_of
+from emulake.llm.common import SLICE_ROWS, binary_column, content_key, fresh, slices, store, texts_of
 from emulake.session import join_on
 
 #: Words that repeated units standing together need.
 MIN_WORDS = 8
-UPPER, LOWER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я", "a-zß-öø-ÿα-ωа-я"
-BREAK = re.compile(rf"\n\s*|(?<=\w[.!?])[^\S\n]+|[^\S\n]+(?=[{UPPER}][{LOWER}])")
+UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
+BREAK = re.compile(rf"\n\s*|(?<=\w[.!?])[^\S\n]+|[^\S\n]+(?=[{UPPER}](?![{UPPER}]))")
 
 
 def units_of(text: str) -> list[tuple[int, int, str]]:
@@ -80,31 +80,32 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return store(later, "later").groupBy("doc").agg(F.collect_set("unit").alias("units"))
 
 
-def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` without repeated passages, and ``removed``, the removed (start, end) of the original text.
+def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", spans: str = "removed") -> DataFrame:
+    """``docs`` with ``text`` without repeated passages, and the column ``spans``, the removed (start, end) of the original text.
 
     Every row stays, with all its columns; a text that repeats wholly becomes empty, and NULL text stays NULL. Rows
     equal in key and text act as one document. Rows without a key rank last, rows with the same key by their text's hash.
-    A column ``removed`` that is already there is replaced.
+    A column ``spans`` that is already there is replaced.
     """
-    later = repeated_units(docs, key, text).withColumnRenamed("doc", "__doc").withColumnRenamed("units", "__units")
-    tagged = docs.drop("removed").withColumn("__doc", content_key(key, text))
-    joined = join_on(tagged, later, ["__doc"], "left").drop("__doc")
-    out = joined.withColumn("removed", F.lit(None).cast("array<struct<start:int,end:int>>")).drop("__units")
+    docs = docs.drop(spans)
+    own, again_in = fresh(docs, "__doc"), fresh(docs, "__units")
+    later = repeated_units(docs, key, text).select(F.col("doc").alias(own), F.col("units").alias(again_in))
+    joined = join_on(docs.withColumn(own, content_key(key, text)), later, [own], "left").drop(own)
+    out = joined.withColumn(spans, F.lit(None).cast("array<struct<start:int,end:int>>")).drop(again_in)
     at, names = out.columns.index(text), out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, spans = batch.column(text).to_pylist(), []
-            for i, again in enumerate(batch.column("__units").to_pylist()):
+            texts, cuts = batch.column(text).to_pylist(), []
+            for i, again in enumerate(batch.column(again_in).to_pylist()):
                 gone = removed_spans(units_of(texts[i]), set(again), min_words) if again and texts[i] else []
                 if gone:
                     edges = [0, *(e for s in gone for e in s), len(texts[i])]
                     texts[i] = "".join(texts[i][a:b] for a, b in zip(edges[::2], edges[1::2]))
-                spans.append([{"start": a, "end": b} for a, b in gone])
+                cuts.append([{"start": a, "end": b} for a, b in gone])
             cols = [batch.column(c) for c in names[:-1]]
             cols[at] = pa.array(texts, pa.string())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], names=names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cuts, kind)], names=names)
 
     return joined.mapInArrow(run, out.schema)
