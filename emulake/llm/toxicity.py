@@ -117,10 +117,12 @@ def fit_toxicity(
     prior = float(np.log((n_bad + SMOOTH) / (n_good + SMOOTH)))
     ratio[(good + bad < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO)] = 0.0
     useful = ratio != 0
+    number = np.cumsum(useful, dtype=np.int32) - np.int32(1)  # of each useful bucket; training works on these alone
+    ratio, size = ratio[useful], int(useful.sum())
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lists = [g[useful[g]].astype(np.int32) for g in map(ngrams_of, texts_of(batch))]
+            lists = [number[g[useful[g]]].astype(np.int32) for g in map(ngrams_of, texts_of(batch))]
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], names=["y", "grams"])
 
@@ -143,18 +145,19 @@ def fit_toxicity(
                 y, flat, row = arrays(batch)
                 margin = np.bincount(row, weights=scaled[flat], minlength=len(y)) + bias
                 error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y
-                total = np.zeros(BUCKETS + 2) if total is None else total
-                total[:BUCKETS] += np.bincount(flat, weights=error[row], minlength=BUCKETS)
+                total = np.zeros(size + 2) if total is None else total
+                total[:size] += np.bincount(flat, weights=error[row], minlength=size)
                 total[-2:] += error.sum(), np.logaddexp(0, np.where(y > 0, -margin, margin)).sum()
             return total
 
         g = summed(train, block, tasks)
         w = point[:-1]
-        return (g[-1] + PENALTY / 2 * w @ w) / n, np.append(g[:BUCKETS] * ratio + PENALTY * w, g[-2]) / n
+        return (g[-1] + PENALTY / 2 * w @ w) / n, np.append(g[:size] * ratio + PENALTY * w, g[-2]) / n
 
-    point = minimise(loss, np.append(np.zeros(BUCKETS), prior), STEPS)
-    w, bias = point[:-1], float(point[-1])
-    return ToxicModel(w * ratio, bias)
+    point = minimise(loss, np.append(np.zeros(size), prior), STEPS)
+    weights = np.zeros(BUCKETS)
+    weights[useful] = point[:-1] * ratio
+    return ToxicModel(weights, float(point[-1]))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicModel | None, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
