@@ -12,16 +12,15 @@ from emulake.models.base import Model
 from emulake.operators.rank import hash_rank, sample_exact
 
 BACKGROUND_ROWS = 100  # fixed value: rows that stand for "feature absent"
-EXPLAINED_ROWS = 500  # fixed value: rows explained unless told otherwise
 
 
 def shapley(model: Model, df: DataFrame, key: Sequence[str], background: DataFrame | None = None, permutations: int = 10,
-            max_rows: int | None = EXPLAINED_ROWS, background_rows: int = BACKGROUND_ROWS, seed: int = 42) -> DataFrame:
+            max_rows: int | None = None, background_rows: int = BACKGROUND_ROWS, seed: int = 42) -> DataFrame:
     """(key..., output, feature, phi): mean marginal effect of switching a feature from background to the row.
 
     Rows are exploded into permutations and switch steps, and the model scores them all in one pass. The sum
     of a row's phi equals its prediction minus the mean prediction of the background rows it met.
-    ``max_rows=None`` explains every row; a number explains an exact seeded sample.
+    Every row is explained; with ``max_rows`` an exact seeded sample is.
     """
     key, d = list(key), len(model.inputs)
     rows = sample_exact(df, max_rows, key, seed) if max_rows else df

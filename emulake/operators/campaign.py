@@ -36,9 +36,8 @@ def natural(c: Column) -> Column:
 
 def number_cases(cases: DataFrame) -> DataFrame:
     """Add ``case_id``: 1, 2, ... over runs then cases in natural order."""
-    pos = F.coalesce(natural(F.col("run")), F.lit(0)) * F.lit(2**31) + F.coalesce(natural(F.col("case")), F.lit(0))
-    tagged = cases.withColumn("__o", pos)
-    return ordered_rank(tagged, "__o", ties=["run", "case"], rank="case_id").drop("__o")
+    tagged = cases.withColumns({c: F.coalesce(natural(F.col(of)), F.lit(0)) for c, of in (("__o", "run"), ("__c", "case"))})
+    return ordered_rank(tagged, "__o", ties=["__c", "run", "case"], rank="case_id").drop("__o", "__c")
 
 
 def scan_cases(files: DataFrame, queued: DataFrame | None = None) -> DataFrame:

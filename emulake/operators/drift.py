@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emulake.functions.numeric import known
@@ -87,14 +87,16 @@ def block_metrics(pred: DataFrame, by: Sequence[str] = ("block", "model", "outpu
 
 
 def drift_policy(report: DataFrame, metrics: DataFrame, reference: DataFrame, output: str, by: Sequence[str] = ("block",),
-                 r2_drop: float = R2_DROP, rmse_ratio: float = RMSE_RATIO, per_model_reference: bool = False) -> DataFrame:
+                 r2_drop: float = R2_DROP, rmse_ratio: float = RMSE_RATIO, per_model_reference: bool = False, fallback: str = "output_0") -> DataFrame:
     """Triggers per block: input_ood, output_ood, accuracy_drop, and the flag they imply.
 
     ``metrics`` has one row per (block, model, output); ``reference`` has (model, ord, r2, rmse) of the
     training split. By default the first model that has training metrics sets the bar for every model;
-    ``per_model_reference`` compares each model with itself.
+    ``per_model_reference`` compares each model with itself. A model without metrics of ``output`` is judged by
+    its metrics of ``fallback``.
     """
-    m = metrics.where(F.col("output") == output)
+    named = F.max((F.col("output") == output).cast("int")).over(Window.partitionBy("model"))
+    m = metrics.withColumn("__named", named).where((F.col("output") == output) | (F.col("__named") == 0) & (F.col("output") == fallback)).drop("__named")
     if per_model_reference:
         ref = reference.select("model", F.col("r2").alias("ref_r2"), F.col("rmse").alias("ref_rmse"))
         j = m.join(ref, "model", "left")

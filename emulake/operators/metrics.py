@@ -35,16 +35,19 @@ def r2_from(sse: Column, sst: Column, flat: Column | None = None) -> Column:
 
 
 def error_sums(pred: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mergeable sums per group: n, sse, sae, spe (relative), sst, mean and deviation of the error."""
+    """Mergeable sums per group: n, sse, sae, spe (relative), sst, mean and deviation of the error.
+
+    Pairs with a NULL on either side count nowhere, neither in n nor in the spread of the truth.
+    """
     e = F.col("y_pred") - F.col("y_true")
     rel = F.abs(e) / F.greatest(F.abs(F.col("y_true")), F.lit(EPS))
-    rows = pred.withColumns({"__e": e, "__e2": e * e, "__a": F.abs(e), "__p": rel})
+    rows = pred.withColumns({"__e": e, "__e2": e * e, "__a": F.abs(e), "__p": rel, "__t": F.when(e.isNotNull(), F.col("y_true"))})
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("__e").alias("n"),
         F.sum("__e2").alias("sse"),
         F.sum("__a").alias("sae"),
         F.sum("__p").alias("spe"),
-        (F.var_pop("y_true") * F.count("y_true")).alias("sst"),
+        (F.var_pop("__t") * F.count("__t")).alias("sst"),
         F.avg("__e").alias("mean_error"),
         F.stddev_pop("__e").alias("std_error"),
     )
@@ -61,13 +64,13 @@ def wide_error_sums(df: DataFrame, by: Sequence[str], outputs: dict[str, tuple[C
     def as_col(c):
         return (F.col(c) if isinstance(c, str) else c).cast("double")
 
-    rows = df.select(*by, *[as_col(t).alias(f"__t{i}") for i, (t, _) in enumerate(outputs.values())],
+    rows = df.select(*by, *[F.when(as_col(p).isNotNull(), as_col(t)).alias(f"__t{i}") for i, (t, p) in enumerate(outputs.values())],
                      *[(as_col(p) - as_col(t)).alias(f"__e{i}") for i, (t, p) in enumerate(outputs.values())])
     aggs = []
     for i, o in enumerate(names):
         t, e = F.col(f"__t{i}"), F.col(f"__e{i}")
         aggs.append(F.struct(
-            F.lit(o).alias("output"), F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.sum(F.abs(e)).alias("sae"),
+            F.lit(o).alias("output"), F.count(e).alias("n"), F.sum(e * e).alias("sse"), F.sum(F.abs(e)).alias("sae"),
             F.sum(F.abs(e) / F.greatest(F.abs(t), F.lit(EPS))).alias("spe"), (F.var_pop(t) * F.count(t)).alias("sst"),
             F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error")).alias(f"__s{i}"))
     return rows.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*[F.col(f"__s{i}") for i in range(len(names))])))

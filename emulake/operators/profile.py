@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emulake.functions.numeric import known
+from emulake.functions.numeric import finite, known
 from emulake.operators.scale import WIDE, column_stats, long_values
 from emulake.session import bounded
 
@@ -202,13 +202,13 @@ PAIRS_IN_ONE_AGG = 400
 
 
 def correlations(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson r of every input with every output: (input, output, n, r)."""
+    """Pairwise-complete Pearson r of every input with every output: (input, output, n, r). Only finite values count."""
     pairs = [(a, b) for a in inputs for b in outputs]
     if len(pairs) > PAIRS_IN_ONE_AGG:
         return _correlations_wide(df, inputs, outputs)
     names = list(dict.fromkeys([*inputs, *outputs]))
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    clean = df.select(*[known(F.col(c).cast("double")).alias(at[c]) for c in names])
+    clean = df.select(*[finite(F.col(c).cast("double")).alias(at[c]) for c in names])
     aggs = []
     for k, (a, b) in enumerate(pairs):
         aggs.append(F.struct(
@@ -225,8 +225,9 @@ def _correlations_wide(df: DataFrame, inputs: Sequence[str], outputs: Sequence[s
     Values are shifted by the column mean first, which keeps the sums of squares well conditioned.
     """
     names = list(dict.fromkeys([*inputs, *outputs]))
-    centre = column_stats(df, names, {"m": F.avg})
-    shifted = df.select(*[(F.col(c).cast("double") - F.lit(centre[c]["m"] or 0.0)).alias(f"c{i}") for i, c in enumerate(names)])
+    clean = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in names])
+    centre = column_stats(clean, names, {"m": F.avg})
+    shifted = clean.select(*[(F.col(c) - F.lit(centre[c]["m"] or 0.0)).alias(f"c{i}") for i, c in enumerate(names)])
     xi, yi = [names.index(c) for c in inputs], [names.index(c) for c in outputs]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

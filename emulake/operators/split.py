@@ -123,12 +123,11 @@ def batch_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def row_chunks(df: DataFrame, row_idx: str, chunk: int | None = None, max_mb: float | None = None) -> DataFrame:
-    """``chunk_id`` by row count, or by megabytes estimated from the first (at most 1000) rows."""
+    """``chunk_id`` by row count, or by megabytes from the mean size of all rows."""
     if chunk is None:
         if max_mb is None:
             raise ValueError("give chunk or max_mb")
-        probe = df.where(F.col(row_idx) < 1000)
-        bytes_per_row = probe.agg(F.avg(F.length(F.to_json(F.struct("*"))))).first()[0]
+        bytes_per_row = df.agg(F.avg(F.length(F.to_json(F.struct("*"))))).first()[0]
         chunk = max(1, math.floor(max_mb * 1024 * 1024 / bytes_per_row)) if bytes_per_row else 1
     return df.withColumn("chunk_id", F.floor(F.col(row_idx) / chunk).cast("bigint"))
 

@@ -39,6 +39,10 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet", split
     return df.where(F.col("split").isin(*splits)) if splits else df
 
 
+#: A file, or a folder of part files, whose stem ends so holds uncertainties.
+UNCERTAIN = r"_uq\.[A-Za-z]+(/part-[^/]*)?$"
+
+
 def read_prediction_files(spark: SparkSession, path: str, n_outputs: int, fmt: str = "parquet") -> DataFrame:
     """One-file-per-model-and-split layout with columns ``index, y_true_00.., y_pred_00..`` to long form.
 
@@ -49,7 +53,7 @@ def read_prediction_files(spark: SparkSession, path: str, n_outputs: int, fmt: s
     reader = spark.read.schema(schema).option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
     file = F.col("_metadata.file_path")
-    tagged = df.select("*", file.alias("__f")).where(~F.col("__f").contains("_uq"))
+    tagged = df.select("*", file.alias("__f")).where(~F.col("__f").rlike(UNCERTAIN))
     cells = F.array(*[F.struct(F.lit(i).alias("output"), F.col(f"y_true_{i:02d}").alias("y_true"), F.col(f"y_pred_{i:02d}").alias("y_pred")) for i in range(n_outputs)])
     return tagged.select(file_model(F.col("__f")).alias("model"), file_split(F.col("__f")).alias("split"), F.col("index").alias("row_key"), F.inline(cells))
 

@@ -18,15 +18,23 @@ EPOCH_SCHEMA = "epoch bigint, train_loss double, train_rmse_scaled double, train
 FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "npy": "npy", "stacked": "npy"}
 
 
-def pick_format(path: str, fmt: str = "auto") -> str:
+def _names_in(spark: SparkSession, path: str) -> list[str] | None:
+    """File names directly in a folder of any store that Spark reads; None if there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(hadoop) or not store.getFileStatus(hadoop).isDirectory():
+        return None
+    return [s.getPath().getName() for s in store.listStatus(hadoop)]
+
+
+def pick_format(path: str, fmt: str = "auto", spark: SparkSession | None = None) -> str:
     """Explicit format, else by suffix, else a directory of stacked arrays or of parquet parts."""
     name = (fmt or "auto").lower()
     if name == "auto":
         suffix = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
         if suffix:
             name = suffix
-        elif os.path.isdir(path):
-            entries = os.listdir(path)
+        elif (entries := _names_in(spark or SparkSession.active(), path)) is not None:
             name = "npy" if any(e.endswith(".npy") for e in entries) else "parquet"
     if name not in FORMATS:
         raise ValueError(f"unsupported dataset format {name!r} for {path}")
@@ -36,7 +44,7 @@ def pick_format(path: str, fmt: str = "auto") -> str:
 def load_table(spark: SparkSession, path: str, fmt: str = "auto", schema: str | None = None, sample: int | None = None,
                key: list[str] | None = None, seed: int = 42, **options) -> DataFrame:
     """One reader for every supported format; ``sample`` keeps an exact seeded number of rows by ``key``."""
-    kind = pick_format(path, fmt)
+    kind = pick_format(path, fmt, spark)
     reader = spark.read.options(**options)
     if schema:
         reader = reader.schema(schema)
