@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emulake.functions import text, times
-from emulake.operators.ordered import ordered_rank
+from emulake.operators.ordered import order_bucket
+from emulake.operators.rank import rank_in_cells
 from emulake.session import join_on, materialize
 
 # Directory names, marker files and states of a campaign.
@@ -37,7 +38,9 @@ def natural(c: Column) -> Column:
 def number_cases(cases: DataFrame) -> DataFrame:
     """Add ``case_id``: 1, 2, ... over runs then cases in natural order."""
     tagged = cases.withColumns({c: F.coalesce(natural(F.col(of)), F.lit(0)) for c, of in (("__o", "run"), ("__c", "case"))})
-    return ordered_rank(tagged, "__o", ties=["__c", "run", "case"], rank="case_id").drop("__o", "__c")
+    span = float((tagged.agg(F.max("__c")).first()[0] or 0) + 1)
+    about = F.col("__o").cast("double") * span + F.col("__c").cast("double")  # never decreases along the exact order; it only forms cells
+    return rank_in_cells(tagged, order_bucket(tagged, about), [], ["__o", "__c", "run", "case"], "case_id").drop("__o", "__c")
 
 
 def scan_cases(files: DataFrame, queued: DataFrame | None = None) -> DataFrame:
