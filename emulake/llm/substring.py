@@ -76,7 +76,8 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     units = store(digests(docs, key, text), "units")
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "unit")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = units.join(first.select("digest", "first"), "digest").where(F.struct("doc", "unit") > F.col("first")).select("doc", "unit")
+    first = store(first.select("digest", "first"), "firsts")  # so that the join stands alone and a hot digest can be split
+    later = units.join(first, "digest").where(F.struct("doc", "unit") > F.col("first")).select("doc", "unit")
     return store(later, "later").groupBy("doc").agg(F.collect_set("unit").alias("units"))
 
 
