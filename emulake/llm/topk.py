@@ -22,6 +22,8 @@ LEVELS = (2, 8)  # segments, coarse to fine
 #: Rows of a block. A task holds one block of queries and passes candidates of one block by it.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
 STRIP = 1024  # candidates bounded at a time
+DENSE = 1 / 32  # share of surviving pairs above which a strip is computed as one matrix product
+PAIRS = 500_000  # pairs computed at a time otherwise
 EXACT = 2.0**53
 
 
@@ -54,6 +56,19 @@ def padded(lists: list[list[float]], width: int) -> np.ndarray:
     return out
 
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix; shorter ones are filled up with zeros."""
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(widths) and (widths == widths[0]).all():
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(widths), int(widths[0]))
+    return padded(column.to_pylist(), int(widths.max(initial=0)))
+
+
+def stacked(parts: list[np.ndarray]) -> np.ndarray:
+    width = max(x.shape[1] for x in parts)
+    return np.vstack([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in parts])
+
+
 def exact_products(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
     """Integer inner products of the pairs. In floating point where every partial sum is exact, else in Python's integers,
     kept to the range of a long."""
@@ -97,22 +112,40 @@ class Best:
         self.full[own] = np.minimum(self.full[own] + np.bincount(at, minlength=len(own)), self.k)
 
 
+def pair_products(a: np.ndarray, b: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+    parts = [np.einsum("ij,ij->i", a[qi[at : at + PAIRS]], b[ci[at : at + PAIRS]]) for at in range(0, len(qi), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def search_block(best: Best, q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray) -> None:
-    """Pass one strip of candidates by all queries of a block."""
+    """Pass one strip of candidates by all queries of a block.
+
+    Where many pairs survive a level the next one is one matrix product over the strip, else it is computed pair by
+    pair; both give the same survivors. Of the exact scores only those that reach the k-th best are merged.
+    """
     width = max(q.shape[1], c.shape[1])
     q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (q, c))
     bar = best.bar()
     slack = 1e-9 * (1 + np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0))
-    qi = ci = None
+    alive = q_id[:, None] != c_id[None, :]
     for parts in LEVELS:
         sq, sc = segments(q, parts), segments(c, parts)
-        if qi is None:
-            qi, ci = np.nonzero((sq @ sc.T >= bar[:, None] - slack) & (q_id[:, None] != c_id[None, :]))
+        if alive.mean() > DENSE:
+            alive &= sq @ sc.T >= bar[:, None] - slack
         else:
-            alive = np.concatenate([np.einsum("ij,ij->i", sq[qi[a : a + 500_000]], sc[ci[a : a + 500_000]]) for a in range(0, len(qi), 500_000)] or [np.zeros(0)]) >= bar[qi] - slack
-            qi, ci = qi[alive], ci[alive]
-    for a in range(0, len(qi), 500_000):
-        x, y = qi[a : a + 500_000], ci[a : a + 500_000]
+            qi, ci = np.nonzero(alive)
+            alive[qi, ci] = pair_products(sq, sc, qi, ci) >= bar[qi] - slack
+    if alive.mean() > DENSE and np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width < EXACT:
+        score = q @ c.T  # integers, exact in any order of summation
+        score[~alive] = -np.inf
+        if best.k <= len(c) and np.isinf(bar).any():
+            bar = np.maximum(bar, np.partition(score, -best.k, axis=1)[:, -best.k])  # k pairs of this strip reach it
+        qi, ci = np.nonzero(alive & (score >= bar[:, None]))
+        best.add(qi, c_id[ci], score[qi, ci].astype(np.int64))
+        return
+    qi, ci = np.nonzero(alive)
+    for at in range(0, len(qi), PAIRS):
+        x, y = qi[at : at + PAIRS], ci[at : at + PAIRS]
         best.add(x, c_id[y], exact_products(q, c, x, y))
 
 
@@ -137,7 +170,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     dealt = met.repartition(q_blocks * c_blocks, "qb", "cb").sortWithinPartitions("qb", "cb", "candidate", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, q_lists, q_ids, best, q, q_id = None, [], [], None, None, None
+        block, q_parts, q_ids, best, q, q_id = None, [], [], None, None, None
 
         def out() -> pa.RecordBatch:
             row, col = np.nonzero(np.arange(k)[None, :] < best.full[:, None]) if best else (np.zeros(0, dtype=int),) * 2
@@ -152,18 +185,18 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 while end < len(pairs) and pairs[end] == pairs[at]:
                     end += 1
                 part = batch.slice(at, end - at)
-                ids, lists = part.column("vec_id").to_numpy(), part.column("v").to_pylist()
+                ids, rows = part.column("vec_id").to_numpy(), rows_of(part.column("v"))
                 if pairs[at][:2] != block:
                     if best:
                         yield out()
-                    block, q_lists, q_ids, best = pairs[at][:2], [], [], None
+                    block, q_parts, q_ids, best = pairs[at][:2], [], [], None
                 if not pairs[at][2]:
-                    q_lists += lists
+                    q_parts.append(rows)
                     q_ids += ids.tolist()
-                elif q_lists:
+                elif q_parts:
                     if best is None:
-                        q, q_id, best = padded(q_lists, max(map(len, q_lists))), np.array(q_ids, dtype=np.int64), Best(len(q_ids), k)
-                    search_block(best, q, q_id, padded(lists, max(map(len, lists))), ids)
+                        q, q_id, best = stacked(q_parts), np.array(q_ids, dtype=np.int64), Best(len(q_ids), k)
+                    search_block(best, q, q_id, rows, ids)
                 at = end
         if best:
             yield out()

@@ -229,6 +229,22 @@ def test_top_k_matches_brute_force(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("share", [-1.0, 1 / 32, 2.0])
+@pytest.mark.parametrize("n", [3, 40, 300])
+def test_strip_search_is_the_same_dense_or_by_pairs(monkeypatch, share, n):
+    monkeypatch.setattr(topk, "DENSE", share)
+    draw = np.random.default_rng(n)
+    c, q = draw.integers(-9, 9, (n, 12)).astype(float), draw.integers(-9, 9, (7, 12)).astype(float)
+    c[n // 2 :] = c[: n - n // 2]  # ties
+    best = topk.Best(7, 5)
+    for a in range(0, n, 50):
+        topk.search_block(best, q, np.arange(7), c[a : a + 50], np.arange(a, min(n, a + 50)))
+    for i in range(7):
+        want = sorted((-int(q[i] @ c[j]), j) for j in range(n) if j != i)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(best.score[i], best.id[i])][: len(want)] == want
+        assert best.full[i] == len(want)
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e3, 2.0]), (2, [-1e3, 2.0])]
     got = topk.top_k(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))).collect()
