@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ class MLP(Model):
             w, first, second, steps = got["w"], got["m"], got["v"], got["steps"]
             self.history.append({"epoch": epoch, "train_loss": got["train_loss"], "train_rmse_scaled": math.sqrt(got["train_loss"]),
                                  "train_rows_this_epoch": got["rows"], "val_loss": None, "val_rmse_scaled": None})
-        self.weights = best_w if val is not None and patience and math.isfinite(best) else w
+        self.weights = best_w if val is not None and math.isfinite(best) else w
         return self
 
     def predictor(self):
@@ -181,7 +182,7 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
     """One pass: every task steps through its training rows and sums the validation error of the incoming weights."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])  # tasks shuffle and drop out differently
         a, m1, m2, t = w.copy(), m.copy(), v.copy(), steps
         rows, sse, vrows, vsse = 0, 0.0, 0, 0.0
         for got in batches:

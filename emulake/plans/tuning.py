@@ -70,7 +70,7 @@ def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Seque
             value = got[which][metric]
             return (row["number"], float(value), row["params"], "complete", time.time() - began, got["val"]["r2"], got["val"]["rmse"])
         except (ValueError, ArithmeticError) as exc:
-            return (row["number"], None, row["params"], f"failed: {exc}"[:200], time.time() - began, None, None)
+            return (row["number"], None, row["params"], f"failed: {exc}", time.time() - began, None, None)
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         rows = list(pool.map(one, trials))
