@@ -257,7 +257,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = ready(spark, sf)
     m = REGISTRY.create("rf", INPUTS, ["revenue"], **FOREST).fit(part(df, "train"))
-    return explain.shapley(m, part(df, "test"), KEY, background=part(df, "train"), permutations=4, max_rows=200)
+    return explain.shapley(m, part(df, "test"), KEY, background=part(df, "train"), permutations=4)
 
 
 @register("m11_tuning")
