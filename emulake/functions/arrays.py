@@ -49,3 +49,9 @@ def at_fraction(profile: Column, grid: Column, fraction: float = 0.95) -> Column
     """profile[int(fraction * (len(grid) - 1))], clipped to the profile; NULL for one-point grids."""
     i = F.floor(F.lit(fraction) * (F.size(grid) - 1)).cast("int")
     return F.when(F.size(grid) > 1, F.get(profile, F.least(i, F.size(profile) - 1)))
+
+
+def only(array: str, i: int, n: int) -> Column:
+    """Position ``i`` of an array that has ``n`` positions at most (NULL past its end); a longer one is an error."""
+    longer = F.raise_error(F.lit(f"{array} has more than {n} positions"))
+    return F.when(F.size(array) > n, longer).otherwise(F.get(array, F.lit(i)))

@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulake.models.base import REGISTRY, Model, matrix, numpy_scores
-from emulake.models.sums import MERGERS
+from emulake.models.sums import merged
 from emulake.operators.scale import column_stats
 from emulake.operators.split import epoch_sample
 from emulake.session import materialize
 
-DIRECT_SHARDS = 64  # up to this many shards send their weights to the driver themselves
 ACTIVATIONS = ("relu", "tanh", "leaky_relu", "sigmoid")
 
 
@@ -139,7 +138,7 @@ class MLP(Model):
                     raise ValueError("epoch_fraction needs the key columns in params['key']")
                 chosen = epoch_sample(data.where("NOT is_val"), key, fraction, epoch, seed)
                 rows = chosen.unionByName(data.where("is_val"))
-            got = _epoch(rows, net, w, first, second, steps, lr, batch, seed + epoch, epoch <= epochs, shards)
+            got = _epoch(rows, net, w, first, second, steps, lr, batch, seed + epoch, epoch <= epochs)
             if epoch > 1 and self.history:  # the incoming weights are those the last epoch produced
                 last = self.history[-1]
                 last["val_loss"] = got["val_loss"]
@@ -177,8 +176,7 @@ class MLP(Model):
         return self
 
 
-def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int, lr: float, batch: int, seed: int, train: bool,
-           shards: int) -> dict:
+def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int, lr: float, batch: int, seed: int, train: bool) -> dict:
     """One pass: every task steps through its training rows and sums the validation error of the incoming weights."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +219,8 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
             yield pd.DataFrame({"rows": [int(total[0])], "sse": [total[1]], "vrows": [int(total[2])], "vsse": [total[3]], "steps": [top], "state": [state.tobytes()]})
 
     schema = "rows bigint, sse double, vrows bigint, vsse double, steps bigint, state binary"
-    merged = data.select("is_val", "x", "y").mapInArrow(task, schema)
-    if shards > DIRECT_SHARDS:
-        merged = merged.repartition(MERGERS).mapInPandas(merge, schema)
-    got = sorted(merged.collect(), key=lambda r: (r.rows, r.sse))  # at most DIRECT_SHARDS rows
+    states = merged(data.select("is_val", "x", "y").mapInArrow(task, schema), merge)
+    got = sorted(states.collect(), key=lambda r: (r.rows, r.sse))
     n = sum(r.rows for r in got)
     nv = sum(r.vrows for r in got)
     out = {"rows": n, "val_loss": sum(r.vsse for r in got) / nv if nv else None}

@@ -1,7 +1,8 @@
-"""Sum numpy blocks over a DataFrame: per task, then over a few merge tasks, then on the driver."""
+"""Sum numpy blocks over a DataFrame: per task, then in rounds of merge tasks, then on the driver."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,14 +13,29 @@ from pyspark.sql import functions as F
 
 from emulake.models.base import matrix
 
-MERGERS = 8
+FAN_IN = 64  # blocks that one merge task adds up on average
+LAST = 8  # blocks that the driver adds up at most
+
+
+def merged(parts: DataFrame, merge: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], tasks: int | None = None) -> DataFrame:
+    """``parts``, at most one row per task, brought down to ``LAST`` rows or fewer.
+
+    The number of rounds grows with the logarithm of the number of tasks, so no merge task and no driver sees more
+    blocks because the input has more splits. ``tasks`` is counted where it is not given; a table that takes a shuffle
+    to make should be stored first.
+    """
+    left = parts.rdd.getNumPartitions() if tasks is None else tasks
+    while left > LAST:
+        left = math.ceil(left / FAN_IN)
+        parts = parts.repartition(left).mapInPandas(merge, parts.schema)
+    return parts
 
 
 def summed(df: DataFrame, columns: dict[str, Sequence[str]], block: Callable[..., np.ndarray]) -> np.ndarray | None:
     """Total of ``block(**arrays)`` over all Arrow batches; ``columns`` names the matrices handed to it.
 
-    Each task returns one block, merge tasks add them, so the driver receives ``MERGERS`` blocks whatever
-    the number of input partitions. The block's size depends on the model, never on the rows.
+    Each task returns one block and rounds of merge tasks add them, so the driver receives ``LAST`` blocks at most.
+    The block's size depends on the model, never on the rows.
     """
     packed = df.select(*[F.array(*[F.col(c).cast("double") for c in cols]).alias(name) for name, cols in columns.items()])
     names = list(columns)
@@ -43,7 +59,7 @@ def summed(df: DataFrame, columns: dict[str, Sequence[str]], block: Callable[...
             yield pd.DataFrame({"b": [total.tobytes()]})
 
     parts = packed.mapInArrow(per_task, "b binary")
-    got = parts.repartition(MERGERS).mapInPandas(merge, "b binary").collect()
+    got = merged(parts, merge).collect()
     if not got:
         return None
     return np.sum([np.frombuffer(r.b, dtype=np.float64) for r in got], axis=0)

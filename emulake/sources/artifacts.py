@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emulake.functions.arrays import only
+
 SPLITS = "train|val|test"
 PREDICTION_SCHEMA = "row_key string, output string, y_true double, y_pred double, model string, split string"
 
@@ -59,8 +61,10 @@ def read_prediction_files(spark: SparkSession, path: str, n_outputs: int, fmt: s
 
 
 def spread_payload(df: DataFrame, key: str, arrays: dict[str, int]) -> DataFrame:
-    """Array payloads to ``<name>_00, <name>_01, ...`` columns, as the wide file layout wants."""
-    cols = [F.get(a, i).alias(f"{a}_{i:02d}") for a, n in arrays.items() for i in range(n)]
+    """Array payloads to ``<name>_00, <name>_01, ...`` columns, as the wide file layout wants.
+
+    An array with more positions than ``arrays`` gives it is an error."""
+    cols = [only(a, i, n).alias(f"{a}_{i:02d}") for a, n in arrays.items() for i in range(n)]
     return df.select(key, *cols)
 
 

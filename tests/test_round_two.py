@@ -57,3 +57,22 @@ def test_models_without_the_named_output_are_judged(spark):
     m = spark.createDataFrame([(1, "a", "output_0", 0.1, 1.0)], "block int, model string, output string, r2 double, rmse double")
     ref = spark.createDataFrame([("a", 0, 0.9, 1.0)], "model string, ord int, r2 double, rmse double")
     assert drift.drift_policy(report, m, ref, "gamma").first().triggers == ["accuracy_drop"]
+
+
+def test_arrays_longer_than_asked_are_an_error(spark):
+    from emulake.operators import nested
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0]), (3, None)], "k int, a array<double>")
+    assert [tuple(r) for r in nested.spread(df, "a", 2).orderBy("k").collect()] == [(1, 1.0, 2.0), (2, 3.0, None), (3, None, None)]
+    assert artifacts.spread_payload(df, "k", {"a": 3}).columns == ["k", "a_00", "a_01", "a_02"]
+    for wrong in (nested.spread(df, "a", 1), artifacts.spread_payload(df, "k", {"a": 1}).select("a_00")):
+        with pytest.raises(Exception, match="more than 1 positions"):
+            wrong.collect()
+
+
+@pytest.mark.parametrize("tasks", [1, 8, 9, 700])
+def test_blocks_merge_in_rounds(spark, tasks):
+    from emulake.models.sums import summed
+
+    df = spark.range(0, 3000, 1, tasks).select((F.col("id") * 1.0).alias("x"))
+    assert summed(df, {"x": ["x"]}, lambda x: x.sum(axis=0)).tolist() == [3000 * 2999 / 2]
