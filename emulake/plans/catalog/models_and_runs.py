@@ -8,7 +8,7 @@ from emulake.models import REGISTRY, explain
 from emulake.models.base import FunctionModel
 from emulake.operators import metrics, profile, split, trials
 from emulake.operators.scale import fit_standard
-from emulake.plans import reports, tuning, workflow
+from emulake.plans import evaluation, reports, tuning, workflow
 from emulake.plans.catalog.base import (
     CASES, INPUTS, OUTPUTS, S, cases, hash_sql, output_metrics_sql, register, sig, sig_all, split_sql, table,
 )
@@ -143,6 +143,24 @@ def _(spark, sf):
     return sig_all(m, "r2", "r2_uniform_average", "rmse", "mae").select("model", "split", "n", "r2", "r2_uniform_average", "rmse", "mae")
 
 
+@register("e3_stored_run", f"""WITH {ONE}, pred AS (SELECT split, l_linenumber // 2 AS block, 'revenue' AS output, revenue AS y_true, a * l_extendedprice + b AS y_pred FROM s, w UNION ALL
+  SELECT split, l_linenumber // 2, 'charge', charge, c * l_extendedprice + d FROM s, w), {output_metrics_sql('pred', 'block, output')}, {output_metrics_sql('pred', 'split, output', 'tm')},
+ ref AS (SELECT 1 - sum(sse) / sum(sst) AS r2, sqrt(avg(mse)) AS rmse FROM tm WHERE split = 'train'),
+ tr AS (SELECT min(l_extendedprice) AS xl, max(l_extendedprice) AS xh, min(revenue) AS rl, max(revenue) AS rh, min(charge) AS cl, max(charge) AS ch FROM s WHERE split = 'train'),
+ ext AS (SELECT l_linenumber // 2 AS block, (min(l_extendedprice) < any_value(xl) OR max(l_extendedprice) > any_value(xh))::BIGINT AS n_inputs_out,
+  (min(revenue) < any_value(rl) OR max(revenue) > any_value(rh))::BIGINT + (min(charge) < any_value(cl) OR max(charge) > any_value(ch))::BIGINT AS n_outputs_out FROM s, tr GROUP BY 1),
+ dr AS (SELECT block, om.r2 < ref.r2 - 0.1 OR om.rmse > 1.5 * ref.rmse AS dropped FROM om, ref WHERE output = 'revenue')
+ SELECT block::BIGINT AS block, 'line' AS model, output, n, {S('r2')} AS r2, {S('rmse')} AS rmse, n_inputs_out, n_outputs_out, concat_ws(',', CASE WHEN n_inputs_out > 0 THEN 'input_ood' END,
+  CASE WHEN n_outputs_out > 0 THEN 'output_ood' END, CASE WHEN dropped THEN 'accuracy_drop' END) AS triggers FROM om JOIN ext USING (block) JOIN dr USING (block)""")
+def _(spark, sf):
+    """A run is fitted and stored, restored from its folder, and judges the blocks of the whole table."""
+    df, out = cases(spark, sf).select("row_key", "l_linenumber", "l_extendedprice", *OUTPUTS), new_path(spark, "run")
+    spec = RunSpec(key=KEY, metadata={"inputs": ["l_extendedprice"], "outputs": OUTPUTS}, models=[ModelSpec("linear", "line")], standardize_outputs=True, output_dir=out)
+    workflow.run_workflow(spark, spec, df.drop("l_linenumber"))
+    e = evaluation.evaluate_run(spark, out, df, "l_linenumber", 2, "revenue").withColumn("triggers", F.array_join("triggers", ","))
+    return sig_all(e, "r2", "rmse").select("block", "model", "output", "n", "r2", "rmse", "n_inputs_out", "n_outputs_out", "triggers")
+
+
 @register("e2_analysis_suite", f"WITH {CASES}, l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM cases" for c in INPUTS + OUTPUTS) + f""")
  SELECT 'median' AS part, c AS name, {S('quantile_cont(v, 0.5)')} AS value FROM l GROUP BY 2 UNION ALL SELECT 'snr', c, {S('avg(abs(v)) / stddev_pop(v)')} FROM l GROUP BY 2 UNION ALL """
           + " UNION ALL ".join(f"SELECT 'r', '{a}~{b}', {S(f'corr({a}, {b})')} FROM cases" for a in INPUTS for b in OUTPUTS))

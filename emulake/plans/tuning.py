@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emulake.models import REGISTRY, Model
 from emulake.operators import design, metrics, split
-from emulake.operators.scale import fit_standard
+from emulake.operators.scale import Scaler, fit_standard, original_units
 from emulake.spec import ModelSpec, TuneSpec
 
 TRIAL_SCHEMA = "number bigint, value double, params map<string,string>, state string, seconds double, val_r2 double, val_rmse double"
@@ -28,9 +28,10 @@ def scored_long(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return wide.select(*keep, "output", truth.alias("y_true"), "y_pred")
 
 
-def split_scores(model: Model, df: DataFrame, key: Sequence[str] = ()) -> dict[str, dict[str, float]]:
-    """{split: {metric: value}} of a fitted model over a table with a ``split`` column."""
-    rows = metrics.split_metrics(scored_long(model, df, [*key, "split"]), ["split"]).collect()
+def split_scores(model: Model, df: DataFrame, key: Sequence[str] = (), output_scaler: Scaler | None = None) -> dict[str, dict[str, float]]:
+    """{split: {metric: value}} of a fitted model over a table with a ``split`` column, in the outputs' original units."""
+    pred = original_units(scored_long(model, df, [*key, "split"]), output_scaler)
+    rows = metrics.split_metrics(pred, ["split"]).collect()
     return {r["split"]: r.asDict() for r in rows}
 
 
@@ -48,9 +49,12 @@ class TuneResult:
     epochs: list[dict]
 
 
-def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Sequence[str], key: Sequence[str], workers: int = 2) -> TuneResult:
+def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Sequence[str], key: Sequence[str], workers: int = 2,
+         output_scaler: Scaler | None = None) -> TuneResult:
     """Fit every trial on train, score ``<split>_<metric>``, keep the best. Trials are independent Spark jobs.
 
+    Where the outputs of ``data`` are scaled, ``output_scaler`` brings them back, so that trials compete in original units.
+
     ``data`` has a ``split`` column and should be a stored or cached table: every trial reads it.
     """
     t: TuneSpec = spec.tune
@@ -66,7 +70,7 @@ def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Seque
         try:
             model = cls(inputs, outputs, **params).fit(train, val)
             epochs.extend({**h, "hpo_trial": row["number"]} for h in model.history)
-            got = split_scores(model, data.where(F.col("split").isin(which, "val")), key)
+            got = split_scores(model, data.where(F.col("split").isin(which, "val")), key, output_scaler)
             value = got[which][metric]
             return (row["number"], float(value), row["params"], "complete", time.time() - began, got["val"]["r2"], got["val"]["rmse"])
         except (ValueError, ArithmeticError) as exc:
@@ -84,8 +88,8 @@ def tune(spec: ModelSpec, data: DataFrame, inputs: Sequence[str], outputs: Seque
 
 
 def cross_validate(spec: ModelSpec, df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], key: Sequence[str], k: int = 5, seed: int = 42,
-                   standardize: bool = True) -> DataFrame:
-    """Metrics per fold, in original units; the scaler is fitted inside each fold's training part."""
+                   standardize: bool = True, standardize_outputs: bool = False) -> DataFrame:
+    """Metrics per fold, in original units; the scalers are fitted inside each fold's training part."""
     folds = split.kfold(df, key, k, seed)
     out = None
     for f in range(k):
@@ -93,7 +97,10 @@ def cross_validate(spec: ModelSpec, df: DataFrame, inputs: Sequence[str], output
         if standardize:
             scaler = fit_standard(train, inputs)
             train, held = scaler.transform(train), scaler.transform(held)
+        y_scaler = fit_standard(train, outputs) if standardize_outputs else None
+        if y_scaler:
+            train, held = y_scaler.transform(train), y_scaler.transform(held)
         model = REGISTRY.create(spec.key, inputs, outputs, **spec.params).fit(train)
-        per = metrics.split_metrics(scored_long(model, held, [*key, "fold"]), ["fold"]).withColumn("model", F.lit(spec.label))
+        per = metrics.split_metrics(original_units(scored_long(model, held, [*key, "fold"]), y_scaler), ["fold"]).withColumn("model", F.lit(spec.label))
         out = per if out is None else out.unionByName(per)
     return out

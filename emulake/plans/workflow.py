@@ -18,7 +18,8 @@ from emulake.models.mlp import MLP
 from emulake.operators import drift, metrics, split
 from emulake.operators.rank import duplicate_keys, sample_exact
 from emulake.operators.roles import dataset_spec
-from emulake.operators.scale import Scaler, fit_standard
+from emulake.operators.scale import Scaler, fit_standard, original_units
+from emulake.plans.evaluation import stored_scalers
 from emulake.plans.tuning import TuneResult, cross_validate, scored_long, tune
 from emulake.session import materialize, spread_small
 from emulake.sources import artifacts
@@ -43,6 +44,7 @@ class RunResult:
     timings: list[tuple] = field(default_factory=list)
     tuning: dict[str, TuneResult] = field(default_factory=dict)
     folds: DataFrame | None = None
+    raw: DataFrame | None = None  # the rows of ``data`` in original units
 
 
 def prepare(df: DataFrame, spec: RunSpec, scalers: tuple[Scaler | None, Scaler | None] | None = None) -> RunResult:
@@ -71,16 +73,7 @@ def prepare(df: DataFrame, spec: RunSpec, scalers: tuple[Scaler | None, Scaler |
     for s in (x_scaler, y_scaler):
         data = s.transform(data) if s else data
     ranges = drift.training_ranges(data.where("split = 'train'"), roles.inputs, roles.outputs)
-    return RunResult(roles, data, x_scaler, y_scaler, ranges)
-
-
-def original_units(pred: DataFrame, scaler: Scaler | None, columns: tuple[str, ...] = ("y_true", "y_pred")) -> DataFrame:
-    """Undo the output scaling of long predictions."""
-    if scaler is None:
-        return pred
-    table = F.create_map(*[x for o, (m, s) in scaler.params.items() for x in (F.lit(o), F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")))])
-    p = table[F.col("output")]
-    return pred.withColumns({c: F.col(c) * p["s"] + p["m"] for c in columns})
+    return RunResult(roles, data, x_scaler, y_scaler, ranges, raw=marked)
 
 
 def run_workflow(spark: SparkSession, spec: RunSpec | Mapping[str, Any], df: DataFrame | None = None) -> RunResult:
@@ -91,14 +84,14 @@ def run_workflow(spark: SparkSession, spec: RunSpec | Mapping[str, Any], df: Dat
         df = load_table(spark, spec.path, spec.format)
     if not spec.models:
         raise ValueError("the run names no models")
-    stored = _stored_scalers(spark, spec.finetune_from) if spec.finetune_from else None
+    stored = stored_scalers(spark, spec.finetune_from) if spec.finetune_from else None
     result = prepare(df, spec, stored)
     roles, data = result.dataset, result.data
     train, val = data.where("split = 'train'"), data.where("split = 'val'")
     preds, sigmas, folds = [], [], []
     for m in spec.models:
         if m.tune:
-            found = tune(m, data, roles.inputs, roles.outputs, spec.key)
+            found = tune(m, data, roles.inputs, roles.outputs, spec.key, output_scaler=result.output_scaler)
             result.tuning[m.label] = found
             m = replace(m, params=found.best_params, tune=None)
         began = time.time()
@@ -117,7 +110,8 @@ def run_workflow(spark: SparkSession, spec: RunSpec | Mapping[str, Any], df: Dat
                     "std", F.col("std") * F.create_map(*[x for o, (_, s) in scaler.params.items() for x in (F.lit(o), F.lit(float(s)))])[F.col("output")])
             sigmas.append(u)
         if spec.cv_folds:
-            folds.append(cross_validate(m, materialize(df.na.drop(subset=[*roles.inputs, *roles.outputs]), "cv"), roles.inputs, roles.outputs, spec.key, spec.cv_folds, spec.seed))
+            folds.append(cross_validate(m, result.raw.drop("split"), roles.inputs, roles.outputs, spec.key, spec.cv_folds, spec.seed,
+                                        spec.standardize_inputs, spec.standardize_outputs))
     stored = preds[0]
     for p in preds[1:]:
         stored = stored.unionByName(p)
@@ -177,19 +171,6 @@ def _store(spark: SparkSession, result: RunResult, out: str) -> None:
             getattr(result, name).write.mode("overwrite").parquet(os.path.join(out, name))
 
 
-def _stored_scalers(spark: SparkSession, run: str) -> tuple[Scaler | None, Scaler | None]:
-    def read(name: str) -> Scaler | None:
-        path = os.path.join(run, "scalers", name)
-        try:
-            return Scaler.from_frame(spark.read.parquet(path))
-        except Exception as exc:  # noqa: BLE001 - an absent scaler means that side was not scaled
-            if "PATH_NOT_FOUND" in str(exc):
-                return None
-            raise
-
-    return read("inputs"), read("outputs")
-
-
 def scoring_profile(model: Model, df: DataFrame, label: str, trials: int = 5) -> DataFrame:
     """Timed scoring jobs over the whole table: (model, metric, value) with the median over trials."""
     n = df.count()

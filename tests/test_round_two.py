@@ -76,3 +76,42 @@ def test_blocks_merge_in_rounds(spark, tasks):
 
     df = spark.range(0, 3000, 1, tasks).select((F.col("id") * 1.0).alias("x"))
     assert summed(df, {"x": ["x"]}, lambda x: x.sum(axis=0)).tolist() == [3000 * 2999 / 2]
+
+
+def _unequal(spark):
+    x = F.col("id") / 40.0
+    return spark.range(200).select(F.col("id").cast("string").alias("k"), F.col("id").alias("i"), x.alias("x"), (F.sin(x) * 1000).alias("big"), (x * x * 0.01).alias("small"))
+
+
+def test_folds_and_trials_score_in_original_units(spark):
+    from emulake.operators.scale import fit_standard
+    from emulake.plans import tuning
+    from emulake.spec import ModelSpec
+
+    df = _unequal(spark)
+    a, b = (tuning.cross_validate(ModelSpec("linear"), df, ["x"], ["big", "small"], ["k"], 2, standardize_outputs=s).orderBy("fold").collect() for s in (False, True))
+    assert [r.rmse for r in a] == pytest.approx([r.rmse for r in b])
+    train = df.withColumn("split", F.lit("train"))
+    from emulake.models import REGISTRY
+
+    scaler = fit_standard(train, ["big", "small"])
+    plain, scaled = (REGISTRY.create("linear", ["x"], ["big", "small"]).fit(t) for t in (train, scaler.transform(train)))
+    assert tuning.split_scores(scaled, scaler.transform(train), output_scaler=scaler)["train"]["rmse"] == pytest.approx(tuning.split_scores(plain, train)["train"]["rmse"])
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_stored_run_judges_new_blocks(spark, tmp_path, monkeypatch, lost):
+    from emulake.plans import evaluation, workflow
+
+    df, out = _unequal(spark), f"{tmp_path}/run"
+    workflow.run_workflow(spark, {"key": ["k"], "metadata": {"inputs": ["x"], "outputs": ["big", "small"]}, "models": [{"key": "linear"}, {"key": "linear", "name": "other"}],
+                                  "standardize_outputs": True, "shuffle": False, "row_idx": "i", "cv_folds": 2, "output_dir": out}, df)
+    assert set(evaluation.load_run(spark, out).models) == {"linear", "other"}
+    if lost:
+        whole = evaluation.load_run
+        monkeypatch.setattr(evaluation, "load_run", lambda *a: (r := whole(*a), setattr(r, "ranges", None))[0])
+        with pytest.raises(ValueError, match="key columns"):
+            evaluation.evaluate_run(spark, out, df, "i", 60)
+    got = evaluation.evaluate_run(spark, out, df, "i", 60, key=["k"]).orderBy("block", "model", "output").collect()
+    assert [(r.block, r.n) for r in got] == [(b, n) for b, n in ((0, 60), (1, 60), (2, 60), (3, 20)) for _ in range(4)]
+    assert [r.n_inputs_out for r in got[::4]] == [0, 0, 1, 1] and "input_ood" in got[-1].triggers
