@@ -1,10 +1,11 @@
-"""Repeated passages across documents, found by hashing lines and the sentences in them.
-
-A text is cut into units at line breaks, after sentence ends, and before words with a capital only in front, so that a passage set into
-the middle of a foreign line still falls into the same units. Units are normalised (white space, case) and hashed to
-128 bits. All units of all documents are grouped by digest; the earliest by (document, place) is kept. A later one goes
-if the repeated units around it that stand together have ``min_words`` words or more: short phrases that happen to
-be equal stay. What remains is the original text without the removed stretches, whose original offsets are returned.
+"""Repeated passages across documents, found by hashing short chains of the cells that a text falls into.
+
+A text is cut into cells at line breaks, after sentence ends, and before words with a capital only in front, so that a passage set into
+the middle of a foreign line falls into the same cells. From each cell on, and back from each cell, the
+shortest chain of neighbouring cells that has ``min_words`` words is a unit. Units are normalised (white space, case) and hashed to
+128 bits. All units of all documents are grouped by digest; the earliest by (document, place) is kept, and later ones go. Short
+phrases that happen to be equal stay, as no unit is shorter than ``min_words`` and its cells stood together before.
+What remains is the original text without the removed stretches, whose original offsets are returned.
 """
 
 from __future__ import annotations
@@ -19,36 +20,64 @@ from pyspark.sql import functions as F
 from emulake.llm.common import SLICE_ROWS, binary_column, content_key, fresh, slices, store, texts_of
 from emulake.session import join_on
 
-#: Words that repeated units standing together need.
+#: Words that a repeated passage needs.
 MIN_WORDS = 8
 UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
 BREAK = re.compile(rf"\n\s*|(?<=\w[.!?])[^\S\n]+|[^\S\n]+(?=[{UPPER}](?![{UPPER}]))")
-
-
-def units_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of the units of a text; end includes the break that follows. Blank units are left out."""
-    out, at = [], 0
-    for m in BREAK.finditer(text):
-        out.append((at, m.end(), text[at : m.start()]))
-        at = m.end()
-    out.append((at, len(text), text[at:]))
-    return [(a, b, n) for a, b, s in out if (n := " ".join(s.lower().split()))]
+WORD = re.compile(r"\S+")
+
+
+def cells_of(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, normalised, half words) of the cells of a text; end includes the break that follows."""
+    at = [m.span() for m in WORD.finditer(text)]
+    if not at:
+        return []
+    words = [text[a:b].lower() for a, b in at]
+    starts = {m.end() for m in BREAK.finditer(text)}
+    edges = [0, *(i for i in range(1, len(at)) if at[i][0] in starts), len(at)]
+    place = [0, *(at[i][0] for i in edges[1:-1]), len(text)]
+    out = []
+    for n, (i, j) in enumerate(zip(edges, edges[1:])):
+        out.append((place[n], place[n + 1], " ".join(words[i:j]), 2 * (j - i)))
+    return out
+
+
+def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of the units of a text: the shortest chains of cells with ``min_words`` words, from each cell on
+    and back from each cell. They overlap and are sorted by start."""
+    cells, need = cells_of(text), 2 * min_words
+    chains, i, total = set(), 0, 0
+    for j, cell in enumerate(cells):
+        total += cell[3]
+        while i <= j and total >= need:  # cells i to j - 1 have too few
+            chains.add((i, j))
+            total -= cells[i][3]
+            i += 1
+        if i and total < need:  # back from j, over cells that are done as starts
+            back, k = total, i
+            while back < need:
+                k -= 1
+                back += cells[k][3]
+            chains.add((k, j))
+    return [(cells[i][0], cells[j][1], " ".join(c[2] for c in cells[i : j + 1])) for i, j in sorted(chains)]
 
 
 def removed_spans(units: list[tuple[int, int, str]], repeated: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the runs of repeated units that have ``min_words`` words or more."""
-    spans, i = [], 0
-    while i < len(units):
-        j = i
-        while j < len(units) and j in repeated:
-            j += 1
-        if j > i and sum(u[2].count(" ") + 1 for u in units[i:j]) >= min_words:
-            spans.append((units[i][0], units[j - 1][1]))
-        i = j + 1
+    """Spans that the repeated units cover, but for those that overlap the kept first one. Units have ``min_words`` already."""
+    spans: list[tuple[int, int]] = []
+    kept: dict[str, int] = {}
+    for i, (a, b, words) in enumerate(units):
+        if i not in repeated:
+            kept[words] = b
+        elif kept.get(words, 0) <= a:
+            if spans and a <= spans[-1][1]:
+                spans[-1] = spans[-1][0], max(b, spans[-1][1])
+            else:
+                spans.append((a, b))
     return spans
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, unit, digest) of every unit; doc is the content key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +86,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for batch in slices(batches, SLICE_ROWS // 5):
             rows, unit, parts = [], [], []
             for i, t in enumerate(texts_of(batch)):
-                found = units_of(t)
+                found = units_of(t, min_words)
                 rows += [i] * len(found)
                 unit += range(len(found))
                 parts += [xxh3_128_digest(u[2].encode("utf-8", "surrogatepass")) for u in found]
@@ -68,13 +97,13 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         run, f"doc struct<none:boolean,id:{kind},text:bigint>, unit int, digest binary")
 
 
-def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, units): for each document, the units that occur earlier, in it or in another document.
 
     Digests are counted map-side, so a line that a third of all documents share is one row per task. Only digests that
     occur again are joined back; their join has no aggregate above it, so adaptive execution may split a hot one.
     """
-    units = store(digests(docs, key, text), "units")
+    units = store(digests(docs, key, text, min_words), "units")
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "unit")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = store(first.select("digest", "first"), "firsts")  # so that the join stands alone and a hot digest can be split
     later = units.join(first, "digest").where(F.struct("doc", "unit") > F.col("first")).select("doc", "unit")
@@ -90,7 +119,7 @@ def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     """
     docs = docs.drop(spans)
     own, again_in = fresh(docs, "__doc"), fresh(docs, "__units")
-    later = repeated_units(docs, key, text).select(F.col("doc").alias(own), F.col("units").alias(again_in))
+    later = repeated_units(docs, key, text, min_words).select(F.col("doc").alias(own), F.col("units").alias(again_in))
     joined = join_on(docs.withColumn(own, content_key(key, text)), later, [own], "left").drop(own)
     out = joined.withColumn(spans, F.lit(None).cast("array<struct<start:int,end:int>>")).drop(again_in)
     at, names = out.columns.index(text), out.columns
@@ -99,7 +128,7 @@ def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         for batch in slices(batches):
             texts, cuts = batch.column(text).to_pylist(), []
             for i, again in enumerate(batch.column(again_in).to_pylist()):
-                gone = removed_spans(units_of(texts[i]), set(again), min_words) if again and texts[i] else []
+                gone = removed_spans(units_of(texts[i], min_words), set(again), min_words) if again and texts[i] else []
                 if gone:
                     edges = [0, *(e for s in gone for e in s), len(texts[i])]
                     texts[i] = "".join(texts[i][a:b] for a, b in zip(edges[::2], edges[1::2]))

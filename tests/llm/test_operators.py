@@ -322,6 +322,25 @@ def test_repeated_passages_go_but_for_the_first(spark):
     assert got[4].text == "" and got[5].text == "End of one."
 
 
+def test_short_units_go_only_where_they_stood_together(spark):
+    texts = ["Of course. Seven trees grew.", "In the town. Nobody spoke there.", "The end came. Then it rained.", "Of course. In the town. The end came. Of course.", "Of course. In the town. The end came. Of course. More."]
+    got = {r.doc_id: r for r in substring.drop_repeated(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i].text for i in range(4)] == texts[:4]  # each phrase is known, their sequence isn't
+    assert got[4].text == "More."
+
+
+def test_units_are_the_shortest_chains_of_cells():
+    text = "One two. Three four five six seven eight nine ten. Eleven.\nTwelve thirteen fourteen fifteen sixteen seventeen. Eighteen nineteen."
+    cells, want = substring.cells_of(text), set()
+    for i in range(len(cells)):
+        for j in range(i, len(cells)):
+            n = [c[3] for c in cells[i : j + 1]]
+            if sum(n) >= 16 and (sum(n[:-1]) < 16 or sum(n[1:]) < 16):
+                want.add((i, j))
+    fewest = {(i, j) for i, j in want if j == min(b for a, b in want if a == i) or i == max(a for a, b in want if b == j)}
+    assert [(a, b) for a, b, _ in substring.units_of(text)] == [(cells[i][0], cells[j][1]) for i, j in sorted(fewest)]
+
+
 def test_repeats_match_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen, want = set(), {}
