@@ -1,7 +1,8 @@
 """Repeated passages across documents, found by hashing short chains of the cells that a text falls into.
 
-A text is cut into cells at line breaks, after sentence ends, and before words with a capital only in front, so that a passage set into
-the middle of a foreign line falls into the same cells. From each cell on, and back from each cell, the
+A text is cut into cells at line breaks, after sentence ends, and before words with a capital only in front; a cell that is
+still long is cut further after pairs of words whose hash says so, which needs neither case nor punctuation. A passage set into
+the middle of a foreign line thus falls into the same cells, but for its ends. From each cell on, and back from each cell, the
 shortest chain of neighbouring cells that has ``min_words`` words is a unit. Units are normalised (white space, case) and hashed to
 128 bits. All units of all documents are grouped by digest; the earliest by (document, place) is kept, and later ones go. Short
 phrases that happen to be equal stay, as no unit is shorter than ``min_words`` and its cells stood together before.
@@ -11,6 +12,7 @@ What remains is the original text without the removed stretches, whose original
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,25 +22,49 @@ from pyspark.sql import functions as F
 from emulake.llm.common import SLICE_ROWS, binary_column, content_key, fresh, slices, store, texts_of
 from emulake.session import join_on
 
-#: Words that a repeated passage needs.
+#: Words that a repeated passage needs. A character of a script without spaces counts as half a word.
 MIN_WORDS = 8
 UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
 BREAK = re.compile(rf"\n\s*|(?<=\w[.!?])[^\S\n]+|[^\S\n]+(?=[{UPPER}](?![{UPPER}]))")
-WORD = re.compile(r"\S+")
+#: Thai, Lao, Burmese, Khmer, Chinese and Japanese: every character is a word of its own.
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u319f\u31c0-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{DENSE}]|[^\s{DENSE}]+")
+IS_DENSE = re.compile(f"[{DENSE}]")
+ASCII_WORD = re.compile(r"\S+")
+#: Words from which on a cell is cut further, the mean distance of these cuts, and the words after which one is made anyway.
+LONG, MEAN, MOST = 25, 8, 64
+
+
+def _inner_cuts(words: list[str]) -> list[int]:
+    """Places before which a long cell is cut; they depend only on the words shortly before."""
+    cuts, last = [], 0
+    for k in range(2, len(words)):
+        if zlib.crc32(f"{words[k - 2]} {words[k - 1]}".encode("utf-8", "surrogatepass")) % MEAN == 0 or k - last == MOST:
+            cuts.append(k)
+            last = k
+    return cuts
 
 
 def cells_of(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised, half words) of the cells of a text; end includes the break that follows."""
-    at = [m.span() for m in WORD.finditer(text)]
+    plain = text.isascii()
+    at = [m.span() for m in (ASCII_WORD if plain else WORD).finditer(text)]
     if not at:
         return []
     words = [text[a:b].lower() for a, b in at]
     starts = {m.end() for m in BREAK.finditer(text)}
-    edges = [0, *(i for i in range(1, len(at)) if at[i][0] in starts), len(at)]
+    rough = [0, *(i for i in range(1, len(at)) if at[i][0] in starts), len(at)]
+    edges = []
+    for i, j in zip(rough, rough[1:]):
+        edges.append(i)
+        if j - i >= LONG:
+            edges += [i + k for k in _inner_cuts(words[i:j])]
+    edges.append(len(at))
     place = [0, *(at[i][0] for i in edges[1:-1]), len(text)]
     out = []
     for n, (i, j) in enumerate(zip(edges, edges[1:])):
-        out.append((place[n], place[n + 1], " ".join(words[i:j]), 2 * (j - i)))
+        half = 2 * (j - i) if plain else sum(1 if IS_DENSE.match(w) else 2 for w in words[i:j])
+        out.append((place[n], place[n + 1], " ".join(words[i:j]), half))
     return out
 
 

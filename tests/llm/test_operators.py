@@ -322,6 +322,22 @@ def test_repeated_passages_go_but_for_the_first(spark):
     assert got[4].text == "" and got[5].text == "End of one."
 
 
+@pytest.mark.parametrize("kind", ["lower", "caps", "cjk"])
+def test_passages_without_case_or_stops_go_from_the_middle_of_lines(spark, kind):
+    rng = random.Random(kind)
+    sep, window = ("", 100) if kind == "cjk" else (" ", 50)
+    pool = [chr(c) for c in range(0x4E00, 0x5000)] if kind == "cjk" else ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(900)]
+    if kind == "caps":
+        pool = [w.upper() for w in pool]
+    words = lambda n: [w + ("。" if kind == "cjk" and rng.random() < 0.05 else "") for w in rng.choices(pool, k=n)]
+    passages = [words(3 * window // 2) for _ in range(20)]
+    texts = [sep.join([*words(60), *p, *words(60)]) for p in passages for _ in range(2)]
+    got = {r.doc_id: r.text for r in substring.drop_repeated(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert all(got[i] == texts[i] for i in range(0, 40, 2))
+    left = [n for n, p in enumerate(passages) if any(sep.join(p[i : i + window]) in got[2 * n + 1] for i in range(len(p) - window + 1))]
+    assert left == []
+
+
 def test_short_units_go_only_where_they_stood_together(spark):
     texts = ["Of course. Seven trees grew.", "In the town. Nobody spoke there.", "The end came. Then it rained.", "Of course. In the town. The end came. Of course.", "Of course. In the town. The end came. Of course. More."]
     got = {r.doc_id: r for r in substring.drop_repeated(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
