@@ -9,7 +9,7 @@ the radius, so a star per value keeps the components exact with rows in proporti
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -103,14 +103,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     one row each however many there are; their groups are aggregated before any shuffle.
     """
     rows = store(fingerprints(docs, key, text), "fingerprints")
+    return placed_rows(rows, lambda nodes: close_links(nodes.select("fp"), radius), key)
+
+
+def placed_rows(rows: DataFrame, links: Callable[[DataFrame], DataFrame], key: str, *more: Column) -> DataFrame:
+    """``rows`` (key, __text, fp) with component_id and keeper, over ``links`` of the nodes: fp, first row, aggregates ``more``."""
     own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("__text").alias("text"))
-    nodes = store(rows.groupBy("fp").agg(F.min(own).alias("first")), "nodes")
-    roots = component_roots(close_links(nodes.select("fp"), radius))
+    nodes = store(rows.groupBy("fp").agg(F.min(own).alias("first"), *more), "nodes")
+    roots = component_roots(links(nodes))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = store(placed, "placed")
     keeper = placed.groupBy("root").agg(F.min("first").alias("keeper"))
     named = placed.join(keeper, "root").select("fp", "keeper")
-    return rows.join(named, "fp").withColumn("component_id", F.col("keeper")["id"])
+    return rows.select(key, "__text", "fp").join(named, "fp").withColumn("component_id", F.col("keeper")["id"])
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,7 +124,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     The row with the smallest key stays; rows with the same key are told apart by their text's hash, and of rows equal
     in both one stays.
     """
-    found = near_duplicates(docs, key, text)
+    return keep_first(docs, near_duplicates(docs, key, text), key, text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that are keepers in ``found``."""
     own = [fresh(docs, "__id"), fresh(docs, "__text")]
     keep = store(found.select("keeper").distinct().select(F.col("keeper.id").alias(own[0]), F.col("keeper.text").alias(own[1])), "keepers")
     repeated = found.groupBy(key, "__text").count().where("count > 1").limit(1).count()

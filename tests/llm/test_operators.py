@@ -311,6 +311,34 @@ def test_crowded_blocks_link_as_pairs_do(spark, monkeypatch):
     assert classes() == some
 
 
+def test_near_copies_of_four_fifths_of_the_shingles_are_one_group(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    rows = []
+    for g in range(30):
+        base = words(rng.choice([40, 200, 900]))
+        for c in range(70 if g == 0 else 3):
+            own = base.copy()
+            for at in rng.sample(range(len(own)), rng.randint(0, len(own) // 40)):
+                own[at] = words(1)[0]
+            rows.append((1000 * (g + 1) + c, " ".join(own), "en", "s", 1))
+    docs = awkward(spark, [*AWKWARD, *rows])
+    sets = {}
+    for key, text, *_ in rows:
+        w = text.split()
+        sets[key] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    root = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 1000 == b // 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert any((simhash.fingerprint_of(t) ^ simhash.fingerprint_of(u)).bit_count() > 2 for (a, t, *_), (b, u, *_) in zip(rows, rows[1:]) if (a, b) in pairs)
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = p.one_of_near_copies(spark, docs, "").where("doc_id >= 1000").collect()
+    assert {r.doc_id for r in kept} == {k for k in root if root[k] == k}
+
+
 def test_repeated_passages_go_but_for_the_first(spark):
     passage = "A passage of many words is repeated here. It goes on, as passages do, for quite a while. Then it ends."
     rows = [(1, f"Start.\n{passage}\nEnd of one.", "en", "s", 1), (2, f"some other words {passage} and more words", "en", "s", 1), (3, f"Own line.\n{passage.upper()}", "en", "s", 1), (4, passage, "en", "s", 1), (5, "End of one.", "en", "s", 1)]
