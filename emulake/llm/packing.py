@@ -34,14 +34,17 @@ PLAIN = re.compile(r"[!-~]+\Z")
 
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins over
-    it, so a text's ids are the ids of its words, and a word's ids need computing only once."""
+    it, so a text's ids are the ids of its words, and a word's ids need computing only once. With ``control``, the names
+    of added tokens in a text become these tokens, as in a plain call of the tokenizer; such texts are encoded whole."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, control: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a document's text never becomes a control token
+        self.tokenizer.encode_special_tokens = not control
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if control else []
+        self.whole = re.compile("|".join([ODD_SPACE.pattern, *added]), re.IGNORECASE)
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
@@ -57,7 +60,7 @@ class WordIds:
         return got
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        words = [None if ODD_SPACE.search(t) else t.split() for t in texts]
+        words = [None if self.whole.search(t) else t.split() for t in texts]
         new = {w for ws in words if ws for w in set(ws) if w not in self.known}
         learnt = self._learn(new)
         if len(self.known) + len(learnt) <= KEPT_WORDS:
@@ -72,16 +75,17 @@ class WordIds:
         ]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", control: bool = False) -> DataFrame:
     """Tokenise every whole text, add ``end_id``, and cut what is longer than ``size``.
 
     Returns key, piece (from 0), start (ids of the document before the piece), length, and ids as little-endian
     32-bit binary. NULL text is empty and gives the one id ``end_id``; repeated rows each give their own pieces.
+    With ``control``, the names of added tokens in a text become these tokens.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_value("word_ids", (tokenizer,), lambda: WordIds(tokenizer))
+        ids = worker_value("word_ids", (tokenizer, control), lambda: WordIds(tokenizer, control))
         for batch in slices(batches):
             rows, piece, start, length, parts = [], [], [], [], []
             for i, raw in enumerate(ids.encode(texts_of(batch))):
@@ -168,8 +172,8 @@ def pack(pieces: DataFrame, size: int = 4096, order: Sequence[str] = ("doc_id",
     return ranked.join(slots, ["__length", "__rank"]).select("__row.*", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, control: bool = False) -> DataFrame:
     """Pieces of all documents with their place and a checksum; the ids themselves stay in the stored piece table."""
-    pieces = store(token_pieces(docs, tokenizer, size, end_id), "pieces")
+    pieces = store(token_pieces(docs, tokenizer, size, end_id, control=control), "pieces")
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digests, size)

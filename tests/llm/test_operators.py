@@ -63,6 +63,20 @@ def test_packing_rows_match_the_tokenizer(spark):
     assert len(places) <= 1.1 * sum(r.length for r in got) / 512 + 1
 
 
+def test_packing_query_matches_the_plain_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    rows = [(100, "a <|endoftext|> b", "en", "s", 1), (101, "x<|endoftext|>y <|EndOfText|> \x1cz <|startoftext|>", "en", "s", 1), *((i + 200, *r[1:]) for i, r in enumerate(AWKWARD)), *((i + 300, *r[1:]) for i, r in enumerate(random_texts(60, 8)))]
+    awkward(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in queries.op1_best_fit_packing(spark, str(tmp_path)).collect()}
+    want = {}
+    for key, text, *_ in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        want |= {(key, p): (at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for p, at in enumerate(range(0, len(ids), 4096))}
+    assert got == want
+
+
 def test_plan_covers_all_ranks_without_overlap():
     rng = random.Random(5)
     counts = {n: rng.choice([1, 2, 3, 50, 10**9]) for n in rng.sample(range(1, 101), 40)}
