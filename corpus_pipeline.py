@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulake.llm import nearcopies, packing, quality, substring, toxicity
+from emulake.llm import packing, quality, simhash, substring, toxicity
 from emulake.llm.common import fresh, store
 
 
@@ -32,8 +32,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of 5-word shingles), the one with the smallest doc_id."""
-    return nearcopies.drop_near_copies(docs)
+    """One document of each group whose SimHash fingerprints link (3-word shingles, at most 2 differing bits), the one with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
