@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 from emulake.llm.common import slices, store, texts_of, typed, worker_value
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A text without these is cut at every space.
+UNEVEN = re.compile(r"^\s|\s\s|\s$")
 #: Units whose ids a worker keeps, and their characters at most. Others are encoded where they occur.
-KEPT_UNITS, KEPT_CHARS = 300_000, 48
+KEPT_UNITS, KEPT_CHARS = 150_000, 48
+#: Characters of new units encoded together.
+JOINED = 20_000
 #: Tokens of the byte tokenizer aligned together, but for one longer text.
-ALIGNED = 500_000
+ALIGNED = 250_000
 #: The space of sentence pieces, and the form of their byte pieces.
 PIECE_SPACE, BYTE_PIECE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -37,6 +43,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Tokens(NamedTuple):
+    """Ids of one text by both tokenizers, and for each of its units how many of each."""
+
+    a: np.ndarray
+    b: np.ndarray
+    units_a: np.ndarray
+    units_b: np.ndarray
+
+
 class TwoTokenizers:
     """Ids of texts by a byte-level BPE file (A, of space and text) and a sentence-piece model (B), and the bytes of their tokens."""
 
@@ -58,39 +73,76 @@ class TwoTokenizers:
         self.size_a, self.size_b = (np.array([len(t) for t in ts], dtype=np.int64) for ts in (self.bytes_a, self.bytes_b))
         # no piece goes on after a space inside, else texts stay whole
         self.cuts = not any(re.search(f"[^{PIECE_SPACE}]{PIECE_SPACE}", p) for p in pieces)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.odd: set[str] = set()  # units whose tokens stand for other bytes
         comma, bar, semicolon = (np.array([f"{i}{end}" for i in range(max(len(self.bytes_a), len(pieces)))], dtype=object) for end in ",|;")
         self.written = comma, bar, semicolon
 
-    def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of units as little-endian 32-bit bytes; None where the tokens' bytes are not those of the unit behind a space."""
-        spaced = [" " + u for u in units]
-        of_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        of_b = self.b.encode(units, num_threads=1)
-        out = {}
-        for u, s, a, b in zip(units, spaced, of_a, of_b):
-            want = s.encode("utf-8", "surrogatepass")
-            same = b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
-            out[u] = (np.array(a, dtype="<i4").tobytes(), np.array(b, dtype="<i4").tobytes()) if same else None
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text behind a space, None where the tokens stand for other bytes."""
+        spaced = " " + text
+        of_a, of_b, want = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(text), spaced.encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[i] for i in of_a]) != want or b"".join([self.bytes_b[i] for i in of_b]) != want:
+            return None
+        return np.array(of_a, dtype="<i4"), np.array(of_b, dtype="<i4")
+
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of units as little-endian 32-bit bytes; those that are not as they should be go to ``odd``.
+
+        Units are encoded many at a time, as one text in which they stand one space apart, and cut where they end.
+        """
+        out: dict[str, tuple[bytes, bytes]] = {}
+        group, size = [], 0
+        for u in chain(units, [None]):
+            if u is None or size > JOINED:
+                self._learn_group(group, out)
+                group, size = [], 0
+            if u is not None:
+                if self.cuts and not u[0].isspace() and not u[-1].isspace():
+                    group.append(u)
+                    size += len(u)
+                else:
+                    self._learn_group([u], out)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids of A, ids of B) of each text; both empty where the text is or where its tokens have other bytes."""
-        cut = [(CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
+    def _learn_group(self, group: list[str], out: dict[str, tuple[bytes, bytes]]) -> None:
+        found = self._encoded(" ".join(group)) if group else None
+        if found is None:
+            if len(group) == 1:
+                self.odd.add(group[0])
+                out[group[0]] = b"", b""
+            for u in group if len(group) > 1 else []:
+                self._learn_group([u], out)
+            return
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in group])
+        parts = []
+        for ids, sizes in zip(found, (self.size_a, self.size_b)):
+            places = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+            raw, edges = ids.tobytes(), [0, *(4 * places).tolist()]
+            parts.append([raw[p:q] for p, q in zip(edges, edges[1:])])
+        out.update(zip(group, zip(*parts)))
+
+    def encode(self, texts: list[str]) -> list[Tokens]:
+        """Tokens of each text; none where the text is empty or where they stand for other bytes."""
+        cut = [([t] if not self.cuts else CUT.split(t) if UNEVEN.search(t) else t.split(" ")) if t else [] for t in texts]
         known = self.known
-        new = list({u for us in cut for u in us if u not in known})
-        learnt = {}
-        for at in range(0, len(new), 20_000):
-            learnt |= self.learn(new[at : at + 20_000])
+        learnt = self.learn(list(set(chain.from_iterable(cut)).difference(known)))
         short = {u: v for u, v in learnt.items() if len(u) <= KEPT_CHARS}
         if len(known) + len(short) <= KEPT_UNITS:
             known.update(short)
         out = []
-        for us in cut:
-            found = [known[u] if u in known else learnt[u] for u in us]
-            if None in found:
-                found = []
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), dtype="<i4"), np.frombuffer(b"".join([f[1] for f in found]), dtype="<i4")))
+        for units in cut:
+            if self.odd and not self.odd.isdisjoint(units):
+                units = []
+            try:
+                found = [known[u] for u in units]
+            except KeyError:
+                found = [known[u] if u in known else learnt[u] for u in units]
+            of_a, of_b = zip(*found) if found else ((), ())
+            counts = [np.fromiter(map(len, part), dtype=np.int64, count=len(part)) // 4 for part in (of_a, of_b)]
+            out.append(Tokens(np.frombuffer(b"".join(of_a), dtype="<i4"), np.frombuffer(b"".join(of_b), dtype="<i4"), *counts))
+        if len(self.odd) > KEPT_UNITS:
+            self.odd.difference_update({u for u in self.odd if u not in known})
         return out
 
 
@@ -145,34 +197,32 @@ def _offsets(sizes: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
 
 
-def aligned(two: TwoTokenizers, tokens: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def aligned(two: TwoTokenizers, tokens: list[Tokens]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Groups of each text as written (``a1,a2|b1;a3|b2,b3``), the ids (a, b) of the links of all texts, and the places where each text's links begin."""
-    full = [t for t in tokens if len(t[0])]
-    a = np.concatenate([t[0] for t in full]) if full else np.zeros(0, dtype=np.int32)
-    b = np.concatenate([t[1] for t in full]) if full else np.zeros(0, dtype=np.int32)
+    a, b = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
     x, y = np.cumsum(two.size_a[a]), np.cumsum(two.size_b[b])
-    # texts end at shared ends
-    cut_x, cut_y = shared_cuts(x, y, _offsets([len(t[0]) for t in full])[1:] - 1, _offsets([len(t[1]) for t in full])[1:] - 1)
+    # units end at shared ends
+    cut_x, cut_y = shared_cuts(x, y, *(np.cumsum(np.concatenate([t[k] for t in tokens])) - 1 for k in (2, 3)))
     comma, bar, semicolon = two.written
     words = np.empty(len(a) + len(b), dtype=object)
-    group_a, group_b = np.searchsorted(cut_x, np.arange(len(a))), np.searchsorted(cut_y, np.arange(len(b)))
-    before_b, before_a = np.append(0, cut_y + 1)[group_a], (cut_x + 1)[group_b]  # tokens of the other side that stand before
+    in_a, in_b = np.diff(cut_x, prepend=-1), np.diff(cut_y, prepend=-1)  # tokens of each group
+    before_b, before_a = np.repeat(np.cumsum(in_b) - in_b, in_a), np.repeat(np.cumsum(in_a), in_b)  # those of the other side that stand before
     text_a, text_b = comma[a], comma[b]
     text_a[cut_x], text_b[cut_y] = bar[a[cut_x]], semicolon[b[cut_y]]
     words[np.arange(len(a)) + before_b], words[np.arange(len(b)) + before_a] = text_a, text_b
-    edges = _offsets([len(t[0]) + len(t[1]) for t in tokens])
+    edges = _offsets([len(t.a) + len(t.b) for t in tokens])
     groups = ["".join(words[p:q].tolist())[:-1] for p, q in zip(edges, edges[1:])]
-    begins = np.searchsorted(cut_x, _offsets([len(t[0]) for t in tokens]))
+    begins = np.searchsorted(cut_x, _offsets([len(t.a) for t in tokens]))
     return groups, a[cut_x], b[cut_y], begins
 
 
-def _blocks(tokens: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+def _blocks(tokens: list[Tokens]) -> Iterator[tuple[int, int]]:
     start = total = 0
-    for i, (a, _) in enumerate(tokens):
-        if total and total + len(a) > ALIGNED:
+    for i, t in enumerate(tokens):
+        if total and total + len(t.a) > ALIGNED:
             yield start, i
             start, total = i, 0
-        total += len(a)
+        total += len(t.a)
     yield start, len(tokens)
 
 
@@ -185,7 +235,7 @@ def align(docs: DataFrame, bpe_path: str, piece_path: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = worker_value("two_tokenizers", (bpe_path, piece_path), lambda: TwoTokenizers(bpe_path, piece_path))
-        for batch in slices(batches, 250):
+        for batch in slices(batches, 200):
             tokens = two.encode(texts_of(batch))
             for p, q in _blocks(tokens):
                 part = tokens[p:q]
