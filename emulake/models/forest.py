@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -54,15 +55,29 @@ class Forest(Model):
             cells.append(F.struct(F.lit(o).alias("output"), F.col(f"__p{k}").alias("y_pred")))
         return out.select(*keep, F.inline(F.array(*cells)))
 
-    def _leaf_values(self, spark: SparkSession, model: RandomForestRegressionModel) -> list[np.ndarray]:
-        """Prediction of every leaf, by tree and leaf number, read from the stored node table."""
+    def nodes(self, spark: SparkSession, output: str | None = None) -> DataFrame:
+        """The node table of one output's trees, as tree_shapley.NODES has it; cover is the weight of the training rows."""
         from emulake.session import new_path
 
         path = new_path(spark, "forest-nodes")
-        model.write().overwrite().save(path)
-        nodes = spark.read.parquet(f"{path}/data").select("treeID", F.inline(F.array("nodeData"))).where("leftChild < 0")
-        per = nodes.groupBy("treeID").agg(F.array_sort(F.collect_list(F.struct("id", "prediction"))).alias("a"))
-        return [np.array([n["prediction"] for n in r["a"]]) for r in per.orderBy("treeID").collect()]
+        self.models[self.outputs.index(output or self.outputs[0])].write().overwrite().save(path)
+        n = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), F.inline(F.array("nodeData")))
+        return n.select(
+            "tree", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
+            F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("prediction").alias("value"), F.get("impurityStats", F.lit(0)).alias("cover"))
+
+    def _leaf_values(self, spark: SparkSession, output: str) -> list[np.ndarray]:
+        """Prediction of every leaf, by tree and leaf number."""
+        per = self.nodes(spark, output).where("left < 0").groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("a"))
+        return [np.array([n["value"] for n in r["a"]]) for r in per.orderBy("tree").collect()]
+
+    def shapley(self, df: DataFrame, key: Sequence[str], background: DataFrame | None = None) -> DataFrame:
+        """Exact attributions (key..., output, feature, phi); ``background`` (few rows) takes the place of the training rows' shares."""
+        from emulake.models.tree_shapley import tree_attributions
+
+        z = None if background is None else np.array(background.select(*[F.col(c).cast("double") for c in self.inputs]).collect(), dtype=float)
+        parts = [tree_attributions(self.nodes(df.sparkSession, o), df, key, self.inputs, o, z) for o in self.outputs]
+        return reduce(DataFrame.unionByName, parts)
 
     def score_std(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean and population deviation over the trees. Spark finds each row's leaf in every tree; a numpy
@@ -73,7 +88,7 @@ class Forest(Model):
         schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "output string, y_pred double, std double"])
         out = None
         for o, m in zip(self.outputs, self.models):
-            values = self._leaf_values(spark, m)
+            values = self._leaf_values(spark, o)
             leaves = m.setPredictionCol("__p").setLeafCol("__leaf").transform(self._assemble(df)).select(*keep, vector_to_array("__leaf").alias("__leaf"))
             m.setLeafCol("")
 

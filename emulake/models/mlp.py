@@ -1,7 +1,9 @@
 """Multi-layer perceptron trained by local mini-batch Adam with weight averaging after every epoch.
 
-Each task reads its share of the training rows once per epoch, takes mini-batch steps from the current
-weights, and returns its weights; the row-weighted average starts the next epoch. The same job scores the
+Rows are dealt by hash to virtual shards of about ``SHARD_ROWS`` rows; how many there are follows from the number of rows, not from the
+cluster. In an epoch every shard takes mini-batch steps from the current weights, in an order that its own seed shuffles, and the
+row-weighted average of their weights starts the next epoch. A task may hold several shards and works on one after the other, so
+the result is the same on any number of cores but for the rounding of the last sum. The same job scores the
 validation rows with the incoming weights, so an epoch is one Spark job. Data stay in Spark throughout.
 """
 
@@ -14,7 +16,6 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from emulake.operators.scale import column_stats
 from emulake.operators.split import epoch_sample
 from emulake.session import materialize
 
+#: Rows of a virtual shard on average; a task holds one shard's rows at a time, and twice as many at most.
+SHARD_ROWS = 50_000
 ACTIVATIONS = ("relu", "tanh", "leaky_relu", "sigmoid")
 
 
@@ -92,7 +95,11 @@ class Net:
 
 
 class MLP(Model):
-    """hidden_layers, activation, learning_rate, n_epochs, batch_size, patience, dropout, seed, shards."""
+    """hidden_layers, activation, learning_rate, n_epochs, batch_size, patience, dropout, seed, shards, shard_rows, key.
+
+    ``shards`` fixes the number of virtual shards; by default it follows from the rows and ``shard_rows``. Rows equal in all inputs
+    and outputs share a shard unless the ``key`` columns tell them apart.
+    """
 
     key = "mlp"
     aliases = ("mlp_regressor", "neural")
@@ -106,7 +113,9 @@ class MLP(Model):
         def z(cols, m, s):
             return F.array(*[(F.col(c).cast("double") - F.lit(float(a))) / F.lit(float(b)) for c, a, b in zip(cols, m, s)])
 
-        return df.select(*keep, z(self.inputs, self.mx, self.sx).alias("x"), z(self.outputs, self.my, self.sy).alias("y"))
+        # the hash is of the values as they came: the scalers' last digits depend on how the rows were summed
+        h = F.xxhash64(F.lit(int(self.params.get("seed", 42))), *keep, *[F.col(c).cast("double") for c in (*self.inputs, *self.outputs)])
+        return df.select(*keep, h.alias("h"), z(self.inputs, self.mx, self.sx).alias("x"), z(self.outputs, self.my, self.sy).alias("y"))
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, start: MLP | None = None, lr_scale: float = 1.0) -> MLP:
         """Fit, or continue from ``start`` (its weights and scalers, learning rate times ``lr_scale``)."""
@@ -122,12 +131,14 @@ class MLP(Model):
         net = self._net()
         seed, lr = int(p.get("seed", 42)), float(p.get("learning_rate", 1e-3)) * lr_scale
         epochs, patience = int(p.get("n_epochs", 200)), p.get("patience")
-        batch, shards = int(p.get("batch_size", 256)), int(p.get("shards", 0)) or train.sparkSession.sparkContext.defaultParallelism
+        batch, shard_rows = int(p.get("batch_size", 256)), int(p.get("shard_rows", SHARD_ROWS))
         w = start.weights.copy() if start is not None else net.start(seed)
         packed = self._pack(train, key).withColumn("is_val", F.lit(False))
         if val is not None:
             packed = packed.unionByName(self._pack(val, key).withColumn("is_val", F.lit(True)))
-        data = materialize(packed.repartition(shards), "mlp-train")
+        shards = int(p.get("shards", 0)) or max(1, math.ceil(packed.count() / shard_rows))
+        dealt = packed.withColumn("shard", F.pmod("h", F.lit(shards)))
+        data = materialize(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", *key, "x", "y"), "mlp-train")
         first, second = np.zeros_like(w), np.zeros_like(w)
         steps, best, best_w, bad = 0, math.inf, w, 0
         self.history = []
@@ -138,7 +149,7 @@ class MLP(Model):
                     raise ValueError("epoch_fraction needs the key columns in params['key']")
                 chosen = epoch_sample(data.where("NOT is_val"), key, fraction, epoch, seed)
                 rows = chosen.unionByName(data.where("is_val"))
-            got = _epoch(rows, net, w, first, second, steps, lr, batch, seed + epoch, epoch <= epochs)
+            got = _epoch(rows, net, w, first, second, steps, lr, batch, seed + epoch, epoch <= epochs, 2 * shard_rows)
             if epoch > 1 and self.history:  # the incoming weights are those the last epoch produced
                 last = self.history[-1]
                 last["val_loss"] = got["val_loss"]
@@ -176,24 +187,49 @@ class MLP(Model):
         return self
 
 
-def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int, lr: float, batch: int, seed: int, train: bool) -> dict:
-    """One pass: every task steps through its training rows and sums the validation error of the incoming weights."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, is_val, x, y) of runs of rows of one shard, in pieces of ``most`` rows, whatever the batches' bounds."""
+    shard, held, size = None, [], 0
+
+    def out() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return (shard, *(np.concatenate(part) for part in zip(*held)))
+
+    for got in batches:
+        if not got.num_rows:
+            continue
+        own, flags = got.column("shard").to_numpy(), got.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+        x, y = matrix(got.column("x")), matrix(got.column("y"))
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(edges, edges[1:]):
+            if held and own[a] != shard:
+                yield out()
+                held, size = [], 0
+            shard = int(own[a])
+            while a < b:
+                c = min(b, a + most - size)
+                held.append((flags[a:c], x[a:c], y[a:c]))
+                size, a = size + c - a, c
+                if size == most:
+                    yield out()
+                    held, size = [], 0
+    if held:
+        yield out()
+
+
+def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int, lr: float, batch: int, seed: int, train: bool, most: int = 2 * SHARD_ROWS) -> dict:
+    """One pass: every shard steps through its training rows and sums the validation error of the incoming weights."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])  # tasks shuffle and drop out differently
-        a, m1, m2, t = w.copy(), m.copy(), v.copy(), steps
-        rows, sse, vrows, vsse = 0, 0.0, 0, 0.0
-        for got in batches:
-            if not got.num_rows:
-                continue
-            flags = got.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
-            all_x, all_y = matrix(got.column("x")), matrix(got.column("y"))
+        rows, sse, vrows, vsse, top, state = 0, 0.0, 0, 0.0, steps, np.zeros(3 * len(w))
+        for shard, flags, all_x, all_y in _shards(batches, most):
             if flags.any():
                 x, y = all_x[flags], all_y[flags]
                 vsse += float(np.mean((net.forward(w, x) - y) ** 2) * len(x))
                 vrows += len(x)
             if not train or flags.all():
                 continue
+            rng = np.random.default_rng([seed, shard])  # shards shuffle and drop out differently
+            a, m1, m2, t = w.copy(), m.copy(), v.copy(), steps
             x, y = all_x[~flags], all_y[~flags]
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
@@ -203,10 +239,10 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
                 m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
                 a = a - lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
                 sse += e / y.shape[1]
-                rows += len(pick)
+            rows, top = rows + len(x), max(top, t)
+            state += np.concatenate([a, m1, m2]) * len(x)
         if rows or vrows:
-            yield pa.RecordBatch.from_pydict({"rows": [rows], "sse": [sse], "vrows": [vrows], "vsse": [vsse], "steps": [t],
-                                              "state": [(np.concatenate([a, m1, m2]) * rows).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"rows": [rows], "sse": [sse], "vrows": [vrows], "vsse": [vsse], "steps": [top], "state": [state.tobytes()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, state = None, 0.0
@@ -219,7 +255,7 @@ def _epoch(data: DataFrame, net: Net, w: np.ndarray, m: np.ndarray, v: np.ndarra
             yield pd.DataFrame({"rows": [int(total[0])], "sse": [total[1]], "vrows": [int(total[2])], "vsse": [total[3]], "steps": [top], "state": [state.tobytes()]})
 
     schema = "rows bigint, sse double, vrows bigint, vsse double, steps bigint, state binary"
-    states = merged(data.select("is_val", "x", "y").mapInArrow(task, schema), merge)
+    states = merged(data.select("shard", "is_val", "x", "y").mapInArrow(task, schema), merge)
     got = sorted(states.collect(), key=lambda r: (r.rows, r.sse))
     n = sum(r.rows for r in got)
     nv = sum(r.vrows for r in got)

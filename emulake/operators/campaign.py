@@ -199,14 +199,64 @@ def _steps(ids: np.ndarray, starts: np.ndarray, hi: int, chunk: int) -> tuple[np
     return np.searchsorted(ids, w), np.searchsorted(ids, w + chunk - 1, side="right"), np.where(leaves, w, -1)
 
 
+PAGE_MAP = "page bigint, out array<int>, n array<bigint>"
+
+
+def page_maps(paged: DataFrame, origin: int, chunk: int, page: int, pages: int) -> DataFrame:
+    """(page, out, n) for every page: the entry into the next page and the chunks begun, for each of the ``chunk`` possible entries.
+
+    ``paged`` has the pending ids of each page, those of the next page's first ``chunk`` places included. A page without
+    pending ids skips whole windows.
+    """
+
+    def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = int(key[0])
+        ids = np.sort(pdf["case_id"].to_numpy())
+        lo, hi = origin + p * page, origin + (p + 1) * page - 1
+        _, after, leave = (a.tolist() for a in _steps(ids, ids + 1, hi, chunk))
+        out, n = list(leave), [0] * len(ids)  # of the chain that goes on after each id, last id first
+        for k in range(len(ids) - 1, -1, -1):
+            if leave[k] < 0:
+                out[k], n[k] = out[after[k] - 1], n[after[k] - 1] + 1
+        _, j, exit_at = _steps(ids, np.arange(lo, lo + chunk), hi, chunk)
+        got = [((x if x >= 0 else out[k - 1]) - hi - 1, 0 if x >= 0 else n[k - 1] + 1) for k, x in zip(j.tolist(), exit_at.tolist())]
+        return pd.DataFrame({"page": [p], "out": [[g[0] for g in got]], "n": [[g[1] for g in got]]})
+
+    full = paged.groupBy("page").applyInPandas(exits, PAGE_MAP)
+    entries = F.sequence(F.lit(0), F.lit(chunk - 1))
+    every = paged.sparkSession.range(pages).withColumnRenamed("id", "page").join(full, "page", "left")
+    return every.select(
+        "page", F.coalesce("out", F.transform(entries, lambda e: F.pmod(e - page, F.lit(chunk)).cast("int"))).alias("out"),
+        F.coalesce("n", F.transform(entries, lambda e: F.lit(0).cast("bigint"))).alias("n"))
+
+
+def page_entries(maps: DataFrame, pages: int) -> DataFrame:
+    """(page, entry, done): where the plan that begins at entry 0 of page 0 enters every page, and the chunks begun before.
+
+    The maps are composed by doubling: after round k a page's map stands for the 2 ** k pages up to it, and joins the map of the page
+    2 ** k before. A round is one join of rows of fixed size; there are as many as the logarithm of the number of pages.
+    """
+    step = 1
+    while step < pages:
+        before = maps.select((F.col("page") + step).alias("page"), F.col("out").alias("out_a"), F.col("n").alias("n_a"))
+        both = maps.join(before, "page", "left")
+        then = lambda c: F.transform("out_a", lambda e: F.get(c, e))
+        maps = materialize(both.select(
+            "page", F.when(F.col("out_a").isNull(), F.col("out")).otherwise(then("out")).alias("out"),
+            F.when(F.col("out_a").isNull(), F.col("n")).otherwise(F.zip_with("n_a", then("n"), lambda x, y: x + y)).alias("n")), "page-maps")
+        step *= 2
+    first = maps.sparkSession.createDataFrame([(0, 0, 0)], "page bigint, entry int, done bigint")
+    return first.unionByName(maps.select((F.col("page") + 1).alias("page"), F.get("out", F.lit(0)).alias("entry"), F.get("n", F.lit(0)).alias("done")))
+
+
 def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_config: int = 0, max_chunks: int | None = None,
                 page: int = 65_536) -> DataFrame:
     """Job chunks over pending cases: (chunk, first_id, last_id, case_ids, config).
 
     A chunk takes the pending ids of a window of ``chunk`` ids; the next window starts after the last id
     taken, an empty window is skipped whole, and configurations rotate. Where a window starts depends on
-    the one before, but a start can enter an id page at only ``chunk`` offsets. So each page works out
-    where every possible entry leaves it (in parallel), those small maps are chained in page order, and
+    the one before, but a start can enter an id page at only ``chunk`` offsets. So each page of ``page`` ids works out
+    where every possible entry leaves it (in parallel), these maps are composed by doubling, and
     each page then emits its chunks from its known entry. ``cases`` is read three times, so pass a stored table.
     """
     if chunk <= 0:
@@ -219,40 +269,14 @@ def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_conf
     schema = "chunk bigint, first_id bigint, last_id bigint, case_ids array<bigint>, config string"
     if span.a is None:
         return spark.createDataFrame([], schema)
-    origin = span.a
-    page = max(page, chunk, (span.b - origin) // 4096 + 1)
+    origin, page = span.a, max(page, chunk)
+    pages = (span.b - origin) // page + 1
     rel = F.col("case_id") - origin
     own = F.floor(rel / page)
     ahead = F.when((rel % page < chunk - 1) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
     paged = pending.withColumn("page", F.explode(ahead))
-
-    def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(key[0])
-        ids = np.sort(pdf["case_id"].to_numpy())
-        lo, hi = origin + p * page, origin + (p + 1) * page - 1
-        _, after, leave = (a.tolist() for a in _steps(ids, ids + 1, hi, chunk))
-        out, n = list(leave), [0] * len(ids)  # of the chain that goes on after each id, last id first
-        for k in range(len(ids) - 1, -1, -1):
-            if leave[k] < 0:
-                out[k], n[k] = out[after[k] - 1], n[after[k] - 1] + 1
-        first = np.arange(lo, lo + (chunk if p else 1))
-        _, j, exit_at = _steps(ids, first, hi, chunk)
-        rows = [(p, e, (x if x >= 0 else out[k - 1]) - hi - 1, 0 if x >= 0 else n[k - 1] + 1) for e, (k, x) in enumerate(zip(j.tolist(), exit_at.tolist()))]
-        return pd.DataFrame(rows, columns=["page", "entry", "out", "n"])
-
-    moves: dict[int, dict[int, tuple[int, int]]] = {}
-    got = paged.groupBy("page").applyInPandas(exits, "page bigint, entry bigint, out bigint, n bigint").collect()
-    for r in got:  # at most 4096 pages x chunk entries
-        moves.setdefault(r.page, {})[r.entry] = (r.out, r.n)
-    entry, done, plan = 0, 0, []
-    for p in range(int((span.b - origin) // page) + 1):
-        if p in moves:
-            plan.append((p, entry, done))
-            entry, n = moves[p][entry]
-            done += n
-        else:  # nothing pending: whole windows are skipped
-            entry = (entry - page) % chunk
-    entries = spark.createDataFrame(plan, "page bigint, entry bigint, done bigint")
+    maps = materialize(page_maps(paged, origin, chunk, page, pages), "page-maps")
+    entries = page_entries(maps, pages)
     labels = list(configs)
 
     def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -271,7 +295,7 @@ def plan_chunks(cases: DataFrame, chunk: int, configs: Sequence[str], start_conf
              for k, (i, j) in enumerate(got)],
             columns=["chunk", "first_id", "last_id", "case_ids", "config"])
 
-    out = paged.join(F.broadcast(entries), "page").groupBy("page").applyInPandas(emit, schema)  # entries: <= 4096 rows
+    out = paged.join(entries, "page").groupBy("page").applyInPandas(emit, schema)
     return out if max_chunks is None or max_chunks <= 0 else out.where(F.col("chunk") < max_chunks)
 
 

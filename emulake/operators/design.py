@@ -46,17 +46,24 @@ def random_design(spark: SparkSession, n: int, params: Sequence[Param], seed: in
     return draws(spark.range(1, n + 1).withColumnRenamed("id", "sample"), params, seed)
 
 
-def latin_design(spark: SparkSession, n: int, params: Sequence[Param], seed: int = 42) -> DataFrame:
-    """Latin hypercube: every parameter has exactly one sample in each of its n equal strata.
+def latin_draws(ids: DataFrame, params: Sequence[Param], seed: int, key: Sequence[str] = ("sample",), n: int | None = None) -> DataFrame:
+    """A Latin hypercube over the rows of ``ids``, whose ``key`` is unique: every parameter has exactly one row in each of its n equal strata.
 
-    The stratum order of each parameter is a hash permutation, ranked for all parameters in one pass.
+    The stratum order of each parameter is a hash permutation, ranked for all parameters in one pass. Other columns are left out.
     """
+    key = list(key)
+    n = ids.count() if n is None else n
     names = F.array(*[F.lit(p.name) for p in params])
-    long = spark.range(1, n + 1).select(F.col("id").alias("sample"), F.explode(names).alias("dim"))
-    placed = hash_rank(long, ["dim", "sample"], seed, strata=["dim"], rank="stratum")
-    u = (F.col("stratum") - 1 + uniform(seed + 1, "dim", "sample")) / F.lit(n)
+    long = ids.select(*key, F.explode(names).alias("dim"))
+    placed = hash_rank(long, ["dim", *key], seed, strata=["dim"], rank="stratum")
+    u = (F.col("stratum") - 1 + uniform(seed + 1, "dim", *key)) / F.lit(n)
     placed = placed.withColumn("u", u)
-    return placed.groupBy("sample").agg(*[p.value(F.max(F.when(F.col("dim") == p.name, F.col("u")))).alias(p.name) for p in params])
+    return placed.groupBy(*key).agg(*[p.value(F.max(F.when(F.col("dim") == p.name, F.col("u")))).alias(p.name) for p in params])
+
+
+def latin_design(spark: SparkSession, n: int, params: Sequence[Param], seed: int = 42) -> DataFrame:
+    """Latin hypercube of samples 1..n, see latin_draws."""
+    return latin_draws(spark.range(1, n + 1).withColumnRenamed("id", "sample"), params, seed, n=n)
 
 
 def design(spark: SparkSession, n: int, params: Sequence[Param], method: str = "lhs", seed: int = 42) -> DataFrame:
@@ -131,11 +138,15 @@ def _log_int(u: Column, low: int, high: int, step: int = 1) -> Column:
 
 
 def sample_space(spark: SparkSession, space: Mapping[str, Mapping[str, Any]], n_trials: int, seed: int = 42) -> DataFrame:
-    """One row per trial: ``number``, a typed column per parameter, and ``params`` (name -> JSON text).
+    """One row per trial: ``number`` from 0, a typed column per parameter, and ``params`` (name -> JSON text).
 
     Lists come back under their own name, so the best trial's list can be used as it is.
     """
-    trials = spark.range(n_trials).withColumnRenamed("id", "number")
+    return sample_rows(spark.range(n_trials).withColumnRenamed("id", "number"), space, seed)
+
+
+def sample_rows(trials: DataFrame, space: Mapping[str, Mapping[str, Any]], seed: int = 42) -> DataFrame:
+    """``sample_space`` for the trials of a table with the column ``number``; a trial's values depend on its number and the seed only."""
 
     def u(name: str) -> Column:
         return uniform(seed, F.lit(name), "number")

@@ -180,15 +180,21 @@ def _(spark, sf):
     return campaign.chunk_lines(plan, s).select("chunk", "array_range", "n_cases", "runs")
 
 
-@register("e5_campaign_report", f"""WITH {SNAP}, {BYRUN}, d AS (SELECT finished_ts - started_ts AS d FROM snap WHERE finished_ts > started_ts)
+@register("e5_campaign_report", f"""WITH {SNAP}, {QUEUE}, {BYRUN}, d AS (SELECT finished_ts - started_ts AS d FROM snap WHERE finished_ts > started_ts),
+ t AS (SELECT finished_ts FROM snap WHERE finished_ts > started_ts AND started_ts <> 0),
+ cp AS (SELECT run, count(*) AS n_cases, bool_and(status = 'finished') AS completed, count(q.case_id) AS n_queued FROM snap LEFT JOIN q USING (case_id) GROUP BY 1),
+ g AS (SELECT count(*) AS total_runs, count(*) FILTER (completed) AS completed_runs, count(*) FILTER (n_queued > 0) AS queued_runs, sum(n_cases) AS total_cases,
+  coalesce(sum(n_cases) FILTER (completed), 0) AS completed_cases, sum(n_queued) AS queued_cases, greatest(count(*) - count(*) FILTER (completed) - count(*) FILTER (n_queued > 0), 0) AS remaining_runs FROM cp)
  SELECT 'status' AS section, status AS name, count(*)::DOUBLE AS value FROM snap GROUP BY 2
  UNION ALL SELECT 'remaining', run, remaining::DOUBLE FROM brr
- UNION ALL SELECT 'runtime', 'avg_s', {S('avg(d)')} FROM d UNION ALL SELECT 'runtime', 'min_s', min(d)::DOUBLE FROM d UNION ALL SELECT 'runtime', 'max_s', max(d)::DOUBLE FROM d""")
+ UNION ALL SELECT 'runtime', 'avg_s', {S('avg(d)')} FROM d UNION ALL SELECT 'runtime', 'min_s', min(d)::DOUBLE FROM d UNION ALL SELECT 'runtime', 'max_s', max(d)::DOUBLE FROM d
+ UNION ALL SELECT 'throughput', 'per_hour', count(*) / 6.0::DOUBLE FROM t WHERE finished_ts >= (SELECT max(finished_ts) FROM t) - 21600
+ {''.join(f"UNION ALL SELECT 'summary', '{c}', {c}::DOUBLE FROM g " for c in ('total_runs', 'completed_runs', 'queued_runs', 'total_cases', 'completed_cases', 'queued_cases', 'remaining_runs'))}""")
 def _(spark, sf):
     from emulake.plans.reports import campaign_report
 
-    r = campaign_report(snapshot(spark, sf))
-    return r.where("section IN ('status', 'remaining', 'runtime')").select("section", "name", F.when(F.col("name") == "avg_s", sig("value")).otherwise(F.col("value")).alias("value"))
+    r = campaign_report(snapshot(spark, sf), queue(spark, sf))
+    return r.select("section", "name", F.when(F.col("name") == "avg_s", sig("value")).otherwise(F.col("value")).alias("value"))
 
 
 # --- text rules ----------------------------------------------------------------------------------------
@@ -250,14 +256,13 @@ def _(spark, sf):
     return sig_all(design.draws(o, PARAMS, 7, ("o_orderkey",)), "pscale", "freq")
 
 
-@register("g2_latin_hypercube", f"""WITH n AS (SELECT count(*) AS n FROM part), s AS (SELECT unnest(range(1, (SELECT n FROM n) + 1)) AS sample), d AS (SELECT unnest(['ntor', 'pscale', 'freq']) AS dim),
- r AS (SELECT sample, dim, row_number() OVER (PARTITION BY dim ORDER BY md5(concat_ws('|', 11, dim, sample))) AS st FROM s, d),
- u AS (SELECT sample, dim, (st - 1 + {_u(12, 'dim', 'sample')}) / (SELECT n FROM n) AS u FROM r),
- w AS (SELECT sample, max(u) FILTER (dim = 'ntor') AS a, max(u) FILTER (dim = 'pscale') AS b, max(u) FILTER (dim = 'freq') AS c FROM u GROUP BY 1)
- SELECT sample, {_vals(lambda d: dict(ntor='a', pscale='b', freq='c')[d])} FROM w""")
+@register("g2_latin_hypercube", f"""WITH n AS (SELECT count(*) AS n FROM part), d AS (SELECT unnest(['ntor', 'pscale', 'freq']) AS dim),
+ r AS (SELECT p_partkey, dim, row_number() OVER (PARTITION BY dim ORDER BY md5(concat_ws('|', 11, dim, p_partkey))) AS st FROM part, d),
+ u AS (SELECT p_partkey, dim, (st - 1 + {_u(12, 'dim', 'p_partkey')}) / (SELECT n FROM n) AS u FROM r),
+ w AS (SELECT p_partkey, max(u) FILTER (dim = 'ntor') AS a, max(u) FILTER (dim = 'pscale') AS b, max(u) FILTER (dim = 'freq') AS c FROM u GROUP BY 1)
+ SELECT p_partkey, {_vals(lambda d: dict(ntor='a', pscale='b', freq='c')[d])} FROM w""")
 def _(spark, sf):
-    n = table(spark, sf, "part").count()
-    return sig_all(design.latin_design(spark, n, PARAMS, 11), "pscale", "freq")
+    return sig_all(design.latin_draws(table(spark, sf, "part").select("p_partkey"), PARAMS, 11, ["p_partkey"]), "pscale", "freq")
 
 
 def _case_names(spark, sf):
@@ -328,7 +333,7 @@ SPACE = {
 
 
 def _trials(spark, sf):
-    return design.sample_space(spark, SPACE, table(spark, sf, "customer").count(), 5)
+    return design.sample_rows(table(spark, sf, "customer").select(F.col("c_custkey").alias("number")), SPACE, 5)
 
 
 def _el(i):
@@ -336,7 +341,7 @@ def _el(i):
     return f"greatest(least(round_even({x} / 16, 0) * 16, 256), 16)::BIGINT"
 
 
-TRIALS = f"""t AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS number FROM customer), v AS (SELECT number, 50 + floor({_u(5, "'n_estimators'", 'number')} * 6)::BIGINT * 50 AS n_estimators,
+TRIALS = f"""t AS (SELECT c_custkey AS number FROM customer), v AS (SELECT number, 50 + floor({_u(5, "'n_estimators'", 'number')} * 6)::BIGINT * 50 AS n_estimators,
  exp({_u(5, "'lr'", 'number')} * (ln(0.1::DOUBLE) - ln(0.0001::DOUBLE)) + ln(0.0001::DOUBLE)) AS lr, {_u(5, "'dropout'", 'number')} * 0.5 AS dropout,
  ['"relu"', '"tanh"', '[1, 2]'][floor({_u(5, "'act'", 'number')} * 3)::BIGINT + 1] AS act, 1 + floor({_u(5, "'hidden_layers_num_layers'", 'number')} * 3)::BIGINT AS nl,
  {_el(0)} AS h0, {_el(1)} AS h1, {_el(2)} AS h2 FROM t)"""

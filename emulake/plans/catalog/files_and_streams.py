@@ -143,19 +143,14 @@ def _(spark, sf):
 
 @register("s13_prediction_files", "SELECT 'forest' AS model, s AS split, o_orderkey AS row_key, 0::INTEGER AS output, o_totalprice AS y_true, o_custkey::DOUBLE AS y_pred FROM orders, (SELECT unnest(['train', 'val']) AS s) WHERE (o_orderkey % 2 = 0) = (s = 'val')")
 def _(spark, sf):
-    path = _mounted(new_path(spark, "prediction-files"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("index"), F.col("o_totalprice").alias("y_true_00"), F.col("o_custkey").cast("double").alias("y_pred_00"))
-    for name, rows in (("train", o.where("index % 2 = 1")), ("val", o.where("index % 2 = 0")), ("val_uq", o.where("index % 5 = 0"))):
-        rows.coalesce(1).write.parquet(f"{path}/tmp_{name}")
-        _single_file(f"{path}/tmp_{name}", f"{path}/out/forest_{name}.parquet")
-    return artifacts.read_prediction_files(spark, f"{path}/out", 1)
-
-
-def _single_file(folder: str, target: str) -> None:
-    """Give the only part file of ``folder`` a name of its own, by a hard link."""
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    name = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
-    os.link(os.path.join(folder, name), target)
+    """One named set of part files per model and split, written by all tasks in one job; the uncertainties are skipped on reading."""
+    path = new_path(spark, "prediction-files")
+    o = table(spark, sf, "orders").select(
+        F.lit("forest").alias("model"), F.when(F.col("o_orderkey") % 2 == 0, "val").otherwise("train").alias("split"),
+        F.col("o_orderkey").alias("index"), F.col("o_totalprice").alias("y_true_00"), F.col("o_custkey").cast("double").alias("y_pred_00"))
+    artifacts.write_prediction_files(o, path)
+    artifacts.write_prediction_files(o.where("index % 10 = 0"), path, uncertain=True)
+    return artifacts.read_prediction_files(spark, path, 1)
 
 
 @register("s14_metric_documents", f"WITH {STORED} SELECT model, split, count(*) // 2 AS n FROM pred GROUP BY 1, 2")
@@ -245,6 +240,29 @@ def _(spark, sf):
     return sig_all(w, "r2", "rmse").select("block", "n", "r2", "rmse", "n_inputs_out", F.array_join("triggers", ",").alias("triggers"))
 
 
+@register("r2_follow_blocks_stream", f"""WITH {STREAM}, {WATCH} SELECT block, n, {S('r2')} AS r2, {S('rmse')} AS rmse, ni::INTEGER AS n_inputs_out, {TRIG} AS triggers, 0::BIGINT AS late_rows FROM t JOIN f USING (block)
+ UNION ALL SELECT row_idx // 1000, 0, NULL, NULL, 0, '', count(*) FROM ev WHERE row_idx % 700 = 0 GROUP BY 1""")
+def _(spark, sf):
+    """Each block once, when it is full; every 700th row comes again afterwards and is counted as late."""
+    ranges, ev = _watch(spark, sf)
+    src, out, state = (new_path(spark, t) for t in ("follow", "followed", "follow-state"))
+    ev.repartition(6, "row_idx").write.parquet(f"{src}/rows")
+    n = ev.count()
+    schema = ev.schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", True).parquet(src)
+        kept = monitor.follow_blocks(stream, "row_idx", 1000, ranges, ("y", "y_hat"), REFERENCE, total_rows=n, shards=8)
+        kept.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    ev.where("row_idx % 700 = 0").coalesce(3).write.parquet(f"{src}/late")
+    run()  # goes on from its checkpoint
+    w = sig_all(spark.read.parquet(out), "r2", "rmse")
+    brief = w.groupBy("block", "n").agg(F.max("r2").alias("r2"), F.max("rmse").alias("rmse"), F.max("n_inputs_out").alias("n_inputs_out"), F.max(F.array_join("triggers", ",")).alias("triggers"), F.sum("late_rows").alias("late_rows"))
+    return brief.select("block", "n", "r2", "rmse", "n_inputs_out", "triggers", "late_rows")
+
+
 @register("r2_watch_windows_stream", """WITH m AS (SELECT max(ts) AS last FROM events), w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, value FROM events),
  r AS (SELECT max(value) AS hi, min(value) AS lo FROM events WHERE event_id < 4000)
  SELECT window_start::TIMESTAMP AS window_start, count(*) AS n, max(value) > max(r.hi) OR min(value) < min(r.lo) AS drift_detected FROM w, r, m GROUP BY window_start, last HAVING window_start + INTERVAL 1 DAY <= last - INTERVAL 2 HOUR""")
@@ -261,12 +279,27 @@ def _(spark, sf):
     return w.select(times.wall_of(F.col("window_start")).alias("window_start"), "n", "drift_detected")
 
 
-@register("r3_snapshot_log", f"WITH {SNAP} SELECT printf('finished=%d inflight=%d started=%d pending=%d', count(*) FILTER (status = 'finished'), count(*) FILTER (status = 'inflight'), count(*) FILTER (status = 'started'), count(*) FILTER (status = 'pending')) AS line FROM snap GROUP BY case_id % 3")
+@register("r3_snapshot_log", f"""WITH {SNAP}, t AS (SELECT unnest([0, 1, 2]) AS k), h AS (SELECT k, case_id, CASE WHEN case_id % 3 <= k THEN status ELSE 'pending' END AS status FROM snap, t),
+ c AS (SELECT *, lag(status) OVER (PARTITION BY case_id ORDER BY k) AS was FROM h)
+ SELECT 'snapshot=' || k AS snapshot, printf('finished=%d inflight=%d started=%d pending=%d', count(*) FILTER (status = 'finished'), count(*) FILTER (status = 'inflight'), count(*) FILTER (status = 'started'), count(*) FILTER (status = 'pending')) AS line,
+ count(*) FILTER (was IS NULL) AS new, count(*) FILTER (was <> status) AS changed, count(*) FILTER (was <> status AND status = 'finished') AS newly_finished FROM c GROUP BY k""")
+def _(spark, sf):
+    """Three snapshots of all cases, of which a third more shows its true status each time."""
+    folder, out, state = (new_path(spark, t) for t in ("snapshots", "snapshot-log", "snapshot-state"))
+    s = snapshot(spark, sf)
+    for i in range(3):
+        s.withColumn("status", F.when(F.col("case_id") % 3 <= i, F.col("status")).otherwise("pending")).write.json(f"{folder}/snapshot={i}")
+    q = progress.log_changes(progress.follow_snapshots(spark, folder), out, state)
+    q.awaitTermination()
+    return progress.snapshot_log(spark, out).select("snapshot", "line", "new", "changed", "newly_finished")
+
+
+@register("r3_snapshot_counts", f"WITH {SNAP} SELECT printf('finished=%d inflight=%d started=%d pending=%d', count(*) FILTER (status = 'finished'), count(*) FILTER (status = 'inflight'), count(*) FILTER (status = 'started'), count(*) FILTER (status = 'pending')) AS line FROM snap GROUP BY case_id % 3")
 def _(spark, sf):
     folder, out, state = (new_path(spark, t) for t in ("snapshots", "snapshot-log", "snapshot-state"))
     s = snapshot(spark, sf)
     for i in range(3):
-        s.where(F.col("case_id") % 3 == i).coalesce(1).write.mode("append").json(folder)
+        s.where(F.col("case_id") % 3 == i).write.json(f"{folder}/snapshot={i}")
     q = progress.log_snapshots(progress.follow_snapshots(spark, folder), out, state)
     q.awaitTermination()
     return spark.read.json(out).select("line")

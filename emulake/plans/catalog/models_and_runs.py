@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emulake.models import REGISTRY, explain
+from emulake.models import REGISTRY, explain, tree_shapley
 from emulake.models.base import FunctionModel
+from emulake.models.fourier_bayes import JITTER, NOISES, Features
 from emulake.operators import metrics, profile, split, trials
 from emulake.operators.scale import fit_standard
 from emulake.plans import evaluation, reports, tuning, workflow
@@ -163,21 +164,29 @@ def _(spark, sf):
 
 @register("e2_analysis_suite", f"WITH {CASES}, l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM cases" for c in INPUTS + OUTPUTS) + f""")
  SELECT 'median' AS part, c AS name, {S('quantile_cont(v, 0.5)')} AS value FROM l GROUP BY 2 UNION ALL SELECT 'snr', c, {S('avg(abs(v)) / stddev_pop(v)')} FROM l GROUP BY 2 UNION ALL """
-          + " UNION ALL ".join(f"SELECT 'r', '{a}~{b}', {S(f'corr({a}, {b})')} FROM cases" for a in INPUTS for b in OUTPUTS))
+          + " UNION ALL ".join(f"SELECT 'r', '{a}~{b}', {S(f'corr({a}, {b})')} FROM cases" for a in INPUTS for b in OUTPUTS)
+          + "".join(f" UNION ALL SELECT 'strongest', 'l_extendedprice~revenue.{n}', {S(f'{f}(revenue, l_extendedprice)')} FROM cases" for n, f in (("r", "corr"), ("slope", "regr_slope"), ("intercept", "regr_intercept")))
+          + "".join(f" UNION ALL SELECT 'profile', '{i}.{n}', {S(f'{f}({c})')} FROM cases" for i, c in enumerate(INPUTS) for n, f in (("mean", "avg"), ("std", "stddev_pop"))))
 def _(spark, sf):
-    t = reports.analysis_suite(cases(spark, sf), INPUTS, OUTPUTS)
+    """All tables of the suite: medians, signal to noise, correlations, the strongest pair and an array profile."""
+    t = reports.analysis_suite(cases(spark, sf).withColumn("profile", F.array(*[F.col(c).cast("double") for c in INPUTS])), INPUTS, OUTPUTS, "profile")
+    best, per = t["strongest_pair"], t["profile_mean_std"]
+    more = best.select(F.lit("strongest").alias("part"), F.inline(F.array(*[F.struct(F.concat("input", F.lit("~"), "output", F.lit(f".{n}")).alias("name"), sig(n).alias("value")) for n in ("r", "slope", "intercept")])))
+    more = more.unionByName(per.select(F.lit("profile").alias("part"), F.inline(F.array(*[F.struct(F.concat(F.col("pos").cast("string"), F.lit(f".{n}")).alias("name"), sig(n).alias("value")) for n in ("mean", "std")]))))
     rows = t["distributions"].select(F.lit("median").alias("part"), F.col("column").alias("name"), sig("median").alias("value"))
     rows = rows.unionByName(t["signal_to_noise"].select(F.lit("snr").alias("part"), F.col("column").alias("name"), sig("snr").alias("value")))
-    return rows.unionByName(t["correlations"].select(F.lit("r").alias("part"), F.concat_ws("~", "input", "output").alias("name"), sig("r").alias("value")))
+    return rows.unionByName(more).unionByName(t["correlations"].select(F.lit("r").alias("part"), F.concat_ws("~", "input", "output").alias("name"), sig("r").alias("value")))
 
 
 @register("e4_dataset_report", f"""WITH {CASES} SELECT 'shape' AS section, 'rows' AS name, count(*)::DOUBLE AS value FROM cases UNION ALL SELECT 'input', unnest(['l_discount', 'l_extendedprice', 'l_quantity', 'l_tax']), unnest([0, 1, 2, 3])
- UNION ALL SELECT 'output', unnest(['revenue', 'charge']), unnest([0, 1]) UNION ALL SELECT 'completeness', 'percent', 100.0 UNION ALL SELECT 'statistic', 'revenue.q50', {S('quantile_cont(revenue, 0.5)')} FROM cases""")
+ UNION ALL SELECT 'output', unnest(['revenue', 'charge']), unnest([0, 1]) UNION ALL SELECT 'shape', 'columns', 7 UNION ALL SELECT 'completeness', 'percent', 100.0 UNION ALL """ + " UNION ALL ".join(
+    f"SELECT 'statistic', '{c}.{name}', {S(f(c))} FROM cases" for c in INPUTS + OUTPUTS for name, f in (
+        ("mean", lambda c: f"avg({c})"), ("std", lambda c: f"stddev_samp({c})"), ("min", lambda c: f"min({c})"), ("q25", lambda c: f"quantile_cont({c}, 0.25)"),
+        ("q50", lambda c: f"quantile_cont({c}, 0.5)"), ("q75", lambda c: f"quantile_cont({c}, 0.75)"), ("max", lambda c: f"max({c})"), ("variance", lambda c: f"var_samp({c})"))))
 def _(spark, sf):
     df = cases(spark, sf).select("row_key", *INPUTS, *OUTPUTS)
     r = reports.dataset_report(df, {"outputs": OUTPUTS}, key=KEY)
-    keep = (F.col("name") == "rows") | F.col("section").isin("input", "output", "completeness") | (F.col("name") == "revenue.q50")
-    return r.where(keep).select("section", "name", F.when(F.col("section") == "statistic", sig("value")).otherwise(F.col("value")).alias("value"))
+    return r.select("section", "name", F.when(F.col("section") == "statistic", sig("value")).otherwise(F.col("value")).alias("value"))
 
 
 # --- learners: SQL states their rows and the laws they obey; property tests do the rest -----------------------------------------------
@@ -279,13 +288,122 @@ def _(spark, sf):
     return sig_all(model.score_std(part(s, "val"), KEY), "y_pred", "std")
 
 
-@register("m4_kernel_search")
+# --- kernel sums: the features' frequencies are constants of both sides, the rest is the Cholesky solution written out in SQL -------------
+
+
+def _num(x):
+    return f"{float(x)!r}::DOUBLE"
+
+
+def _feature_sql(features, z):
+    """SQL of every feature over the standardised inputs ``z``."""
+    out = []
+    for block in features.blocks:
+        if block is None:
+            out += z
+            continue
+        w, b = block
+        out += [f"{_num((2.0 / len(b)) ** 0.5)} * cos({' + '.join(f'{c} * {_num(w[j, k])}' for j, c in enumerate(z))} + {_num(b[k])})" for k in range(len(b))]
+    return out
+
+
+def _sums_sql(d):
+    """Gram, cross and output sums of features f0.. and the target t."""
+    return ", ".join(["count(*)::DOUBLE AS n", "sum(t * t) AS yy", *(f"sum(f{i} * f{j}) AS g{i}_{j}" for i in range(d) for j in range(i + 1)), *(f"sum(f{i} * t) AS c{i}" for i in range(d))])
+
+
+def _solved_sql(priors):
+    """Columns from the sums and the noise to the factor l, the weight means m and the log evidence, each from those before it;
+    see ``_nested``."""
+    d = len(priors)
+    less = lambda terms: "".join(f" - {t}" for t in terms)
+    cols = [f"({' + '.join(f'g{i}_{i} / noise + 1 / ({priors[i]})' for i in range(d))}) / {d} * {_num(JITTER)} AS jitter"]
+    for i in range(d):
+        for j in range(i):
+            cols.append(f"(g{i}_{j} / noise{less(f'l{i}_{k} * l{j}_{k}' for k in range(j))}) / l{j}_{j} AS l{i}_{j}")
+        cols.append(f"sqrt(g{i}_{i} / noise + 1 / ({priors[i]}) + jitter{less(f'l{i}_{k} * l{i}_{k}' for k in range(i))}) AS l{i}_{i}")
+    cols += [f"(c{i} / noise{less(f'l{i}_{k} * u{k}' for k in range(i))}) / l{i}_{i} AS u{i}" for i in range(d)]
+    cols += [f"(u{i}{less(f'l{k}_{i} * m{k}' for k in range(i + 1, d))}) / l{i}_{i} AS m{i}" for i in reversed(range(d))]
+    explained = " + ".join(f"m{i} * m{j} * g{max(i, j)}_{min(i, j)}" for i in range(d) for j in range(d))
+    fit = f"(yy - 2 * ({' + '.join(f'm{i} * c{i}' for i in range(d))}) + {explained}) / noise + {' + '.join(f'm{i} * m{i} / ({p})' for i, p in enumerate(priors))}"
+    logs = " + ".join([*(f"2 * ln(l{i}_{i})" for i in range(d)), *(f"ln({p})" for p in priors)])
+    return [*cols, f"-0.5::DOUBLE * ({fit} + {logs} + n * ln(2 * pi() * noise)) AS ev"]
+
+
+def _nested(source, cols):
+    """``source`` with one more column in each subquery, so that every expression is evaluated once."""
+    for c in cols:
+        source = f"(SELECT *, {c} FROM {source})"
+    return source
+
+
+def _centred_sql(inputs, output):
+    """Columns z0.. and t of every row of s, centred and scaled by the training split."""
+    stats = ", ".join(f"avg({c}) FILTER (WHERE split = 'train') AS m_{c}, stddev_pop({c}) FILTER (WHERE split = 'train') AS s_{c}" for c in [*inputs, output])
+    cols = ", ".join([*(f"({c} - m_{c}) / s_{c} AS z{i}" for i, c in enumerate(inputs)), f"({output} - m_{output}) / s_{output} AS t"])
+    return f"w AS (SELECT {stats} FROM s), z AS MATERIALIZED (SELECT row_key, split, {cols}, m_{output} AS my, s_{output} AS sy FROM s, w)"
+
+
+SEARCH = {"kernels": ("linear", "rbf", "matern32", "rational_quadratic", "rbf+linear"), "lengthscales": (0.5, 1.0, 2.0), "variances": (0.5, 2.0)}
+
+
+def _search_sql():
+    parts = []
+    for kernel in SEARCH["kernels"]:
+        for ls in SEARCH["lengthscales"][: 1 if kernel == "linear" else None]:
+            names = kernel.split("+")
+            f = Features(1, names, ls, 2, 42)
+            # a single linear kernel has a tenth of the variance, in a sum a tenth
+            priors = [("0.1::DOUBLE" if len(names) > 1 else "0.1::DOUBLE * variance") if f.kernels[o] == "linear" else "variance" for o in f.owner]
+            feats = ", ".join(f"{e} AS f{i}" for i, e in enumerate(_feature_sql(f, ["z0"])))
+            parts.append(f"""SELECT '{kernel}' AS kernel, {_num(ls)} AS lengthscale, variance, max(ev) AS log_evidence FROM {_nested(f"""(SELECT * FROM (SELECT {_sums_sql(len(priors))} FROM (SELECT {feats}, t FROM z WHERE split = 'train')) g,
+ (SELECT unnest({list(SEARCH['variances'])})::DOUBLE AS variance) v, (SELECT unnest({list(NOISES)})::DOUBLE AS noise) o)""", _solved_sql(priors))} GROUP BY variance""")
+    return f"WITH {CASES}, {SPLIT}, {_centred_sql(['l_extendedprice'], 'revenue')}, e AS ({' UNION ALL '.join(parts)}) SELECT kernel, lengthscale, variance, {S('log_evidence')} AS log_evidence FROM e"
+
+
+@register("m4_kernel_search", _search_sql())
+def _(spark, sf):
+    """Log evidence of single kernels and a sum, over lengthscales and variances, the noise chosen for each."""
+    df = cases(spark, sf)
+    plan = split.fit_split(df, KEY, 0.2, 0.2)
+    model = REGISTRY.create("gp", ["l_extendedprice"], ["revenue"], n_features=2, linear=False)
+    rows = model.search(part(materialize(spread_small(plan.apply(df), plan.cuts.n), "kernel-search"), "train"), **SEARCH)
+    got = spark.createDataFrame([tuple(r.values()) for r in rows], "kernel string, lengthscale double, variance double, log_evidence double")
+    return sig_all(got, "log_evidence")
+
+
+@register("m4_kernel_search_wide")
 def _(spark, sf):
     df = ready(spark, sf)
     rows = REGISTRY.create("gp", INPUTS, ["revenue"], n_features=48).search(part(df, "train"), lengthscales=(0.5, 1.0, 2.0), variances=(0.5, 1.0))
     return spark.createDataFrame([tuple(r.values()) for r in rows], "kernel string, lengthscale double, variance double, log_evidence double")
 
 
+SUM = {"kernels": ["linear", "rbf", "matern52"], "lengthscale": [1.5, 3.0], "variance": 2.0, "linear_variance": 0.5, "noise": 0.01, "n_features": 2}
+SUM_INPUTS = ["l_extendedprice", "l_discount"]
+
+
+def _sum_sql():
+    f = Features(2, SUM["kernels"], SUM["lengthscale"], SUM["n_features"], 42)
+    priors = [_num(SUM["linear_variance"] if f.kernels[o] == "linear" else SUM["variance"]) for o in f.owner]
+    d = len(priors)
+    feats = ", ".join(f"{e} AS f{i}" for i, e in enumerate(_feature_sql(f, ["z0", "z1"])))
+    q = [f"(f{i}{''.join(f' - l{i}_{k} * q{k}' for k in range(i))}) / l{i}_{i} AS q{i}" for i in range(d)]
+    return f"""WITH {CASES}, {SPLIT}, {_centred_sql(SUM_INPUTS, 'revenue')}, f AS MATERIALIZED (SELECT *, {feats} FROM z), g AS (SELECT {_sums_sql(d)}, {_num(SUM['noise'])} AS noise FROM f WHERE split = 'train'),
+ k AS MATERIALIZED (SELECT * FROM {_nested('g', _solved_sql(priors))}), p AS (SELECT *, {' + '.join(f'm{i} * f{i}' for i in range(d))} AS y FROM {_nested('(SELECT * FROM f, k)', q)})
+ SELECT row_key, split, 'revenue' AS output, {S('y * sy + my')} AS y_pred, {S('sqrt(' + ' + '.join(f'q{i} * q{i}' for i in range(d)) + ') * sy')} AS std, {S('ev')} AS log_evidence FROM p"""
+
+
+@register("m3_kernel_sum", _sum_sql())
+def _(spark, sf):
+    """A sum of three kernels with a lengthscale for each input: mean and deviation of every row, and the log evidence."""
+    df = cases(spark, sf)
+    plan = split.fit_split(df, KEY, 0.2, 0.2)
+    s = materialize(spread_small(plan.apply(df), plan.cuts.n), "kernel-sum")
+    model = REGISTRY.create("gp", SUM_INPUTS, ["revenue"], **SUM).fit(part(s, "train"))
+    return sig_all(model.score_std(s, ["row_key", "split"]).withColumn("log_evidence", F.lit(model.log_evidence[0])), "y_pred", "std", "log_evidence")
+
+
 @register("m5_posterior_samples", f"WITH {CASES}, {SPLIT} SELECT row_key, 'revenue' AS output, 4::BIGINT AS samples, true AS near FROM s WHERE split = 'test'")
 def _(spark, sf):
     """Four draws for every row, none further than eight posterior deviations from the posterior mean."""
@@ -319,6 +437,68 @@ def _(spark, sf):
     return total.join(m.score(part(df, "test"), KEY), [*KEY, "output"]).select("row_key", "output", "features", base.between(low - 1e-6, high + 1e-6).alias("inside"))
 
 
+#: A forest of two trees over cases, the first with a feature twice on a path: (tree, id, left, right, feature, threshold) of its inner nodes.
+SPLITS = [(0, 0, 1, 2, "l_quantity", 25.0), (0, 2, 3, 4, "l_discount", 0.05), (0, 4, 5, 6, "l_quantity", 40.0), (1, 0, 1, 2, "l_tax", 0.03), (1, 2, 3, 4, "l_quantity", 10.0)]
+
+
+def _box_conditions():
+    """Condition of every node of SPLITS as SQL, by (tree, id)."""
+    found = {(0, 0): "true", (1, 0): "true"}
+    for tree, node, left, right, feature, cut in SPLITS:
+        found[tree, left] = f"{found[tree, node]} AND {feature} <= {cut}"
+        found[tree, right] = f"{found[tree, node]} AND {feature} > {cut}"
+    return found
+
+
+def _tree_sql():
+    """All coalitions of the three inputs, the trees' conditional means of each, and the weights of Shapley's sum."""
+    names, boxes = ["l_quantity", "l_discount", "l_tax"], _box_conditions()
+    stats = ", ".join(f"count(*) FILTER (WHERE {c})::DOUBLE AS n{t}_{i}, avg(revenue) FILTER (WHERE {c}) AS v{t}_{i}" for (t, i), c in boxes.items())
+    inner = {(t, i): (left, right, f, cut) for t, i, left, right, f, cut in SPLITS}
+
+    def value(t, i, known):
+        if (t, i) not in inner:
+            return f"v{t}_{i}"
+        left, right, f, cut = inner[t, i]
+        a, b = value(t, left, known), value(t, right, known)
+        return f"CASE WHEN {f} <= {cut} THEN {a} ELSE {b} END" if f in known else f"(n{t}_{left} * ({a}) + n{t}_{right} * ({b})) / n{t}_{i}"
+
+    sets = [[f for k, f in enumerate(names) if m >> k & 1] for m in range(8)]
+    cols = ", ".join(f"(({value(0, 0, s)}) + ({value(1, 0, s)})) / 2 AS s{m}" for m, s in enumerate(sets))
+    parts = []
+    for k, f in enumerate(names):
+        terms = " + ".join(f"(s{m | 1 << k} - s{m}) * {[2, 1, 2][bin(m).count('1')]} / 6" for m in range(8) if not m >> k & 1)
+        parts.append(f"SELECT row_key, 'revenue' AS output, '{f}' AS feature, {S(terms)} AS phi FROM s8")
+    return f"WITH {CASES}, {SPLIT}, st AS (SELECT {stats} FROM s WHERE split = 'train'), s8 AS (SELECT row_key, {cols} FROM s, st) {' UNION ALL '.join(parts)}"
+
+
+@register("m14_tree_shapley", _tree_sql())
+def _(spark, sf):
+    """Exact attributions of every case by two trees with given splits, whose counts and means come from the training split."""
+    df = cases(spark, sf)
+    plan = split.fit_split(df, KEY, 0.2, 0.2)
+    s = materialize(plan.apply(df), "tree-cases")
+    names, boxes, inner = ["l_quantity", "l_discount", "l_tax"], _box_conditions(), {(t, i): r for t, i, *r in SPLITS}
+    got = part(s, "train").agg(*[F.count(F.when(F.expr(c), 1)).alias(f"n{t}_{i}") for (t, i), c in boxes.items()], *[F.avg(F.when(F.expr(c), F.col("revenue"))).alias(f"v{t}_{i}") for (t, i), c in boxes.items()]).first()
+    rows = []
+    for t, i in boxes:
+        left, right, f, cut = inner.get((t, i), (-1, -1, "l_tax", 0.0))
+        rows.append((t, i, left, right, names.index(f), cut, got[f"v{t}_{i}"], float(got[f"n{t}_{i}"])))
+    nodes = spark.createDataFrame(rows, tree_shapley.NODES)
+    return sig_all(tree_shapley.tree_attributions(nodes, s, KEY, names, "revenue"), "phi")
+
+
+@register("m14_forest_shapley", f"WITH {CASES}, {SPLIT} SELECT row_key, 'revenue' AS output, 4::BIGINT AS features, true AS adds_up FROM s WHERE split = 'test'")
+def _(spark, sf):
+    """Exact attributions by a fitted forest: every row's sum to its prediction less the forest's mean."""
+    test = part(df := ready(spark, sf), "test")
+    m = REGISTRY.create("rf", INPUTS, ["revenue"], n_estimators=12, max_depth=6).fit(part(df, "train"))
+    total = m.shapley(test, KEY).groupBy(*KEY, "output").agg(F.count_distinct("feature").alias("features"), F.sum("phi").alias("phi"))
+    base = tree_shapley.base_value(m.nodes(spark), len(INPUTS))
+    both = total.join(m.score(test, KEY), [*KEY, "output"])
+    return both.select("row_key", "output", "features", (F.abs(F.col("y_pred") - base - F.col("phi")) <= 1e-8 * (1 + F.abs("y_pred"))).alias("adds_up"))
+
+
 @register("m11_tuning")
 def _(spark, sf):
     df = ready(spark, sf)

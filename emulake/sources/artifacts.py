@@ -11,8 +11,13 @@ SPLITS = "train|val|test"
 PREDICTION_SCHEMA = "row_key string, output string, y_true double, y_pred double, model string, split string"
 
 
+#: Name of a part file inside a folder that stands for one prediction file, and what precedes that folder's name.
+PART, NAMED = r"/part-[^/]*$", "file="
+
+
 def _stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(\.[A-Za-z]+)*$", 1)
+    """Name without suffixes of a file, or of the folder whose part files stand for it."""
+    return F.regexp_extract(F.regexp_replace(path, PART, ""), rf"(?:{NAMED})?([^/=]+?)(\.[A-Za-z]+)*$", 1)
 
 
 def file_split(path: Column) -> Column:
@@ -45,8 +50,22 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet", split
 UNCERTAIN = r"_uq\.[A-Za-z]+(/part-[^/]*)?$"
 
 
+def write_prediction_files(wide: DataFrame, path: str, fmt: str = "parquet", uncertain: bool = False) -> None:
+    """Wide predictions (model, split, index, y_true_00.., y_pred_00..) as one named set of part files per model and split.
+
+    A set is a folder ``file=<model>_<split>.<fmt>``, with ``_uq`` before the suffix if ``uncertain``. One job writes them all, every task
+    its own part files; Spark's committer makes them visible together, and a task that runs again leaves no second copy. Sets of these
+    names that are there are replaced, others stay.
+    """
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"unknown prediction format {fmt!r}")
+    name = F.concat("model", F.lit("_"), "split", F.lit(f"{'_uq' if uncertain else ''}.{fmt}"))
+    writer = wide.withColumn("file", name).drop("model", "split").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file")
+    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+
+
 def read_prediction_files(spark: SparkSession, path: str, n_outputs: int, fmt: str = "parquet") -> DataFrame:
-    """One-file-per-model-and-split layout with columns ``index, y_true_00.., y_pred_00..`` to long form.
+    """One file, or one folder of part files, per model and split with columns ``index, y_true_00.., y_pred_00..`` to long form.
 
     Model and split come from the file name, uncertainty files are skipped, outputs are numbered, not sorted.
     """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emulake.operators.campaign import STATUSES
 from emulake.sources.readers import EPOCH_SCHEMA, SNAPSHOT_SCHEMA
@@ -33,8 +35,9 @@ def latest_epoch(epochs: DataFrame) -> DataFrame:
 
 
 def follow_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of campaign snapshot lines, each with the file it came from."""
-    return spark.readStream.schema(SNAPSHOT_SCHEMA).json(folder).select("*", F.col("_metadata.file_name").alias("snapshot"))
+    """Stream of campaign snapshot lines, each with the snapshot it belongs to: its file in ``folder``, or the folder of its part files."""
+    lines = spark.readStream.schema(SNAPSHOT_SCHEMA).option("recursiveFileLookup", True).json(folder)
+    return lines.select("*", F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", ""), "([^/]+)$", 1).alias("snapshot"))
 
 
 def snapshot_counts(lines: DataFrame) -> DataFrame:
@@ -47,6 +50,51 @@ def count_line(counts: DataFrame) -> DataFrame:
     return counts.select("snapshot", F.concat_ws(" ", *parts).alias("line"))
 
 
+def status_changes(stream: DataFrame) -> DataFrame:
+    """(case_id, snapshot, status, was) for every line of a snapshot: the status and that of the case's snapshot before, NULL in its first.
+
+    One state row per case holds its last snapshot and status. Snapshots of one batch are taken in order of their names; a line of a
+    snapshot that is not later than the one held is left out.
+    """
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, was = state.get if state.exists else (None, None)
+        rows = []
+        for snapshot, status in sorted((s, t) for pdf in frames for s, t in zip(pdf["snapshot"], pdf["status"])):
+            if seen is None or snapshot > seen:
+                rows.append((key[0], snapshot, status, was))
+                seen, was = snapshot, status
+        state.update((seen, was))
+        yield pd.DataFrame(rows, columns=["case_id", "snapshot", "status", "was"])
+
+    lines = stream.where("case_id IS NOT NULL AND status IS NOT NULL").select("case_id", "snapshot", "status")
+    return lines.groupBy("case_id").applyInPandasWithState(
+        update, "case_id bigint, snapshot string, status string, was string", "seen string, was string", "append", GroupStateTimeout.NoTimeout)
+
+
+def log_changes(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append, for each new snapshot, how many cases have each status and came from which; a replayed batch overwrites its own output."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("snapshot", "status", "was").agg(F.count(F.lit(1)).alias("n")).withColumn("logged_at", F.current_timestamp())
+        counts.write.mode("overwrite").json(f"{out}/batch={batch_id}")
+
+    return status_changes(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot_log(spark: SparkSession, out: str) -> DataFrame:
+    """One line per logged snapshot: status counts, the time, and how many cases are new, changed, and finished since the snapshot before.
+
+    The counts of a snapshot that came in several batches are added up.
+    """
+    c = spark.read.schema("snapshot string, status string, was string, n bigint, logged_at timestamp").json(out)
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    changed = F.col("was") != F.col("status")
+    counts = c.groupBy("snapshot").agg(
+        *[total(F.col("status") == s).alias(s) for s in STATUSES], F.max("logged_at").alias("logged_at"), total(F.col("was").isNull()).alias("new"),
+        total(changed).alias("changed"), total(changed & (F.col("status") == "finished")).alias("newly_finished"))
+    return counts.join(count_line(counts), "snapshot").select("snapshot", "logged_at", "line", "new", "changed", "newly_finished")
+
+
 def log_snapshots(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write one time-stamped status line per new snapshot; a replayed batch overwrites its own output."""
 
