@@ -81,7 +81,8 @@ class TwoTokenizers:
     def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a text behind a space, None where the tokens stand for other bytes."""
         spaced = " " + text
-        of_a, of_b, want = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(text), spaced.encode("utf-8", "surrogatepass")
+        of_a, of_b = self.a.encode_batch_fast([spaced], add_special_tokens=False)[0].ids, self.b.encode(text)
+        want = spaced.encode("utf-8", "surrogatepass")
         if b"".join([self.bytes_a[i] for i in of_a]) != want or b"".join([self.bytes_b[i] for i in of_b]) != want:
             return None
         return np.array(of_a, dtype="<i4"), np.array(of_b, dtype="<i4")

@@ -139,22 +139,18 @@ def advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     return went.where(done | goes_on).select("word", "position", F.col("child").alias("node"), F.lit(1).alias("edits"), F.when(done, F.col("n")).alias("found"))
 
 
-def trie_neighbours(words: DataFrame, longest: int) -> DataFrame:
-    """(word, near, near_n) for all ordered pairs of ``words`` (word, n), of at most ``longest`` code points, that are one edit apart."""
+def trie_neighbours(words: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """(word, near, near_n) for all ordered pairs of ``words`` (word, n), of ``shortest`` to ``longest`` code points, that are one edit apart."""
     sided = store(both_sides(words), "sided")
     edges = materialize(trie_edges(sided), "edges", ["depth"])
     starts = sided.select("word", F.explode(F.sequence(start_of(F.col("word")), F.length("word"))).alias("position"))
     starts = starts.select("word", "position", F.expr("left(word, position)").alias("node"), F.lit(0).alias("edits"), F.lit(None).cast("long").alias("found"))
-    spark, levels = words.sparkSession, []
-    frontier = spark.createDataFrame([], STATE)
-    for depth in range(MIN_CHARS // 2, longest + 2):  # with the side in front, a node of ``depth`` has one code point less
+    ends = frontier = words.sparkSession.createDataFrame([], STATE)
+    for depth in range(shortest // 2 + 1, longest + 2):  # with the side in front, a node of ``depth`` has one code point less
         begun = starts.where(F.col("position") == depth)
         states = frontier.where("found is null").union(begun)
         frontier = store(advanced(states, edges.where(F.col("depth") == depth + 1)), "frontier")
-        levels.append(frontier)
-    ends = levels[0]
-    for level in levels[1:]:
-        ends = ends.union(level)
+        ends = ends.union(frontier)
     ends = ends.where("found is not null")
     plain = lambda c: F.when(F.col(c).startswith(">"), F.expr(f"substring({c}, 2)")).otherwise(F.reverse(F.expr(f"substring({c}, 2)")))
     pairs = ends.select(plain("word").alias("word"), plain("node").alias("near"), F.col("found").alias("near_n"), F.col("word").startswith(">").alias("ahead"))
@@ -176,8 +172,10 @@ def long_neighbours(words: DataFrame, from_chars: int) -> DataFrame:
         for batch in slices(batches, 1):
             word = batch.column(0)[0].as_py()
             code = np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
-            power = np.concatenate([[1], np.full(len(code) - 1, base, dtype=np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
-            sums = np.concatenate([[0], (code * power).cumsum(dtype=np.uint64)]).astype(np.uint64)
+            power = np.full(len(code), base, dtype=np.uint64)
+            power[0] = 1
+            sums = np.zeros(len(code) + 1, dtype=np.uint64)
+            np.cumsum(code * np.cumprod(power, dtype=np.uint64), dtype=np.uint64, out=sums[1:])
             less = np.unique(sums[:-1] + (sums[-1] - sums[1:]) * inverse)  # what follows the gap moves up by one
             h = np.append(less, sums[-1]).view(np.int64)
             size = np.append(np.full(len(less), len(code) - 1), len(code))
@@ -192,7 +190,7 @@ def long_neighbours(words: DataFrame, from_chars: int) -> DataFrame:
 
 
 def spelling_groups(words: DataFrame, ratio: int = RATIO, trie_chars: int = TRIE_CHARS) -> DataFrame:
-    """(word, form, root, n, n_near, form_n) for every row of ``words``: distinct words of six code points or more and their counts n.
+    """(word, form, root, n, n_near, form_n) for every row of ``words``: distinct words of three code points or more and their counts n.
 
     form is the word one edit away with the largest count (ties: the smallest in code-point order) if that is ``ratio``
     times the word's at least, else NULL; form_n is its count and n_near the number of words one edit away. root is the
@@ -200,8 +198,8 @@ def spelling_groups(words: DataFrame, ratio: int = RATIO, trie_chars: int = TRIE
     count. Words may be of any length and characters; an empty table gives none.
     """
     words = store(words, "words")
-    longest, most = words.agg(F.max(F.length("word")), F.max("n")).first()
-    near = trie_neighbours(words.where(F.length("word") <= trie_chars), min(longest or 0, trie_chars))
+    shortest, longest, most = words.agg(F.min(F.length("word")), F.max(F.length("word")), F.max("n")).first()
+    near = trie_neighbours(words.where(F.length("word") <= trie_chars), shortest or 0, min(longest or 0, trie_chars))
     if (longest or 0) > trie_chars:
         near = near.union(long_neighbours(words, trie_chars))
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))

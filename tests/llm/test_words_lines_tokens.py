@@ -64,7 +64,7 @@ def test_spelling_groups_match_all_pairs(spark):
 def test_long_words_meet_words_of_the_trie(spark):
     rng = random.Random(4)
     counts = {}
-    for size in (9, 10, 11, 12, 13, 14, 60):
+    for size in (5, 9, 10, 11, 12, 13, 14, 60):
         w = "".join(rng.choice("ab") for _ in range(size))
         counts |= {w: 100, w[:3] + w[4:]: 5, w[:-1]: 20, "c" + w: 7, w[:5] + "c" + w[6:]: 5}
     counts |= {"z" * k: 5 ** (k - 8) for k in range(9, 15)}
