@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulake.operators.ordered import order_bucket, running
-from emulake.session import materialize
+from emulake.operators.rank import rank_in_cells
+from emulake.session import bounded, join_on, materialize
 
 
 def best_so_far(trials: DataFrame, by: Sequence[str] = ("study",), order: str = "number", value: str = "value",
@@ -59,6 +60,26 @@ def top_trials(trials: DataFrame, n: int = 5, direction: str = "minimize", value
     return trials.where(F.col(value).isNotNull()).orderBy(key, number).limit(n)
 
 
+def promoted(trials: DataFrame, eta: int = 3, by: Sequence[str] = ("study", "rung"), value: str = "value", number: str = "number",
+             direction: str = "minimize") -> DataFrame:
+    """Add ``place`` among the trials of a rung, best first, and ``goes_on``: whether it is among the best 1 / ``eta``, at least one.
+
+    Only trials with a value have a place and count; equal values are ordered by trial number. Places are counted in cells of the
+    value, so a study with most of the trials is spread over tasks.
+    """
+    if eta < 2:
+        raise ValueError("eta must be 2 or more")
+    signed = F.col(value) if direction == "minimize" else -F.col(value)
+    known = trials.withColumn("__v", signed)
+    full = known.where("__v IS NOT NULL")
+    ranked = rank_in_cells(full, order_bucket(full, F.col("__v")), by, ["__v", number], "place")
+    sizes = ranked.groupBy(*by).agg(F.max("place").alias("__n"))
+    placed = join_on(ranked, bounded(sizes), list(by), "inner")
+    placed = placed.withColumn("goes_on", F.col("place") <= F.greatest(F.floor(F.col("__n") / eta), F.lit(1)))
+    return placed.select(*trials.columns, "place", "goes_on").unionByName(
+        known.where("__v IS NULL").select(*trials.columns, F.lit(None).cast("bigint").alias("place"), F.lit(False).alias("goes_on")))
+
+
 def top_features(importance: DataFrame, n: int = 3) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(n)
 

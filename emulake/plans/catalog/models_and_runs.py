@@ -507,6 +507,23 @@ def _(spark, sf):
     return trials.best_so_far(got.trials.withColumn("study", F.lit("gp"))).select("study", "number", "value", "best_value", "is_best_yet")
 
 
+HALVING = {"alpha": {"type": "loguniform", "low": 1e-3, "high": 1e7}}
+
+
+@register("m11_halving", """SELECT rung::BIGINT AS rung, [12, 4, 1][rung + 1]::BIGINT AS trials, rung = 2 AS all_rows, true AS best_go_on FROM (SELECT unnest([0, 1, 2]) AS rung)""")
+def _(spark, sf):
+    """Ridge strengths by successive halving: trials of each rung, and whether none that stopped was better than one that went on."""
+    df = cases(spark, sf).select("row_key", *INPUTS, "revenue")
+    plan = split.fit_split(df, KEY, 0.2, 0.2)
+    data = materialize(spread_small(plan.apply(df), plan.cuts.n), "halving")
+    found = tuning.tune(ModelSpec("linear", tune=TuneSpec(HALVING, n_trials=12, method="halving")), data, INPUTS, ["revenue"], KEY)
+    t = found.trials
+    later = t.select("number", (F.col("rung") - 1).alias("rung"), F.lit(True).alias("on"))
+    both = t.join(later, ["number", "rung"], "left").groupBy("rung").agg(
+        F.count(F.lit(1)).alias("trials"), (F.max("budget") == 1).alias("all_rows"), F.max(F.when(F.col("on"), F.col("value"))).alias("worst_on"), F.min(F.when(F.col("on").isNull(), F.col("value"))).alias("best_off"))
+    return both.select("rung", "trials", "all_rows", F.coalesce(F.col("worst_on") <= F.col("best_off"), F.lit(True)).alias("best_go_on"))
+
+
 @register("m16_scoring_profile")
 def _(spark, sf):
     s, model = _one(spark, sf)

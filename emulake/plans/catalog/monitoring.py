@@ -204,6 +204,16 @@ def _(spark, sf):
     return trials.convergence(t, direction="maximize")
 
 
+@register("m11_promotion", f"""WITH {STUDY}, t AS (SELECT *, number % 4 AS rung, CASE WHEN number % 13 = 0 THEN NULL ELSE round(value / 500, 0) END AS v FROM st),
+ r AS (SELECT study, rung, number, v AS value, CASE WHEN v IS NOT NULL THEN row_number() OVER (PARTITION BY study, rung ORDER BY v DESC NULLS LAST, number) END AS place, count(v) OVER (PARTITION BY study, rung) AS n FROM t)
+ SELECT study, rung, number, value, place, coalesce(place <= greatest(n // 3, 1), false) AS goes_on FROM r""")
+def _(spark, sf):
+    """Which trials of each study and rung go on; one in 13 has failed, and values tie."""
+    value = F.when(F.col("number") % 13 != 0, F.round(F.col("value") / 500, 0))
+    t = studies(spark, sf).select("study", (F.col("number") % 4).alias("rung"), "number", value.alias("value"))
+    return trials.promoted(t, 3, direction="maximize")
+
+
 @register("k1_top_trials", f"WITH {STUDY} SELECT * FROM st ORDER BY value DESC, number LIMIT 5")
 def _(spark, sf):
     return trials.top_trials(studies(spark, sf), 5, "maximize")

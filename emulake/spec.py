@@ -19,7 +19,11 @@ class DatasetSpec:
 
 @dataclass
 class TuneSpec:
-    """Random search over ``space``: name -> {type, low, high, ...}."""
+    """Search over ``space``: name -> {type, low, high, ...}.
+
+    ``method`` is "random" (every trial sees all rows) or "halving": in each of ``rungs`` the trials see ``eta`` times the rows of the
+    rung before, all in the last, and the best 1 / ``eta`` of them go on.
+    """
 
     space: dict[str, dict[str, Any]]
     n_trials: int = 10
@@ -27,6 +31,8 @@ class TuneSpec:
     direction: str = "minimize"
     method: str = "random"
     seed: int = 42
+    eta: int = 3
+    rungs: int = 3
 
 
 @dataclass

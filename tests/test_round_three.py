@@ -297,3 +297,22 @@ def test_network_gradient_matches_differences():
         for j in rng.choice(len(w), 12, replace=False):
             step = np.eye(len(w))[j] * 1e-6
             assert abs((loss(w + step) - loss(w - step)) / 2e-6 - grad[j]) < 1e-6
+
+
+def test_halving_stops_trials_and_methods_are_known(spark, curve):
+    from emulake.operators.split import split_shuffled
+    from emulake.plans import tuning
+    from emulake.spec import ModelSpec, TuneSpec
+
+    data = split_shuffled(curve, ["k"], 0.2, 0.2).persist()
+    space = {"alpha": {"type": "loguniform", "low": 1e-3, "high": 1e6}}
+    found = tuning.tune(ModelSpec("linear", tune=TuneSpec(space, n_trials=9, method="halving", eta=3, rungs=2)), data, ["x1", "x2", "x3"], ["y"], ["k"])
+    rows = found.trials.collect()
+    assert sorted(r.rung for r in rows) == [0] * 9 + [1] * 3 and {r.budget for r in rows if r.rung} == {1.0}
+    first = sorted((r.value, r.number) for r in rows if r.rung == 0)
+    assert {r.number for r in rows if r.rung} == {n for _, n in first[:3]}
+    assert found.best_value == min(r.value for r in rows if r.rung) and found.best_number in {r.number for r in rows if r.rung}
+    with pytest.raises(ValueError):
+        tuning.tune(ModelSpec("linear", tune=TuneSpec(space, method="guess")), data, ["x1"], ["y"], ["k"])
+    with pytest.raises(ValueError):
+        tuning.tune(ModelSpec("linear", tune=TuneSpec(space, method="halving")), data, ["x1"], ["y"], [])
