@@ -22,7 +22,7 @@ from emulake.llm.common import binary_column, slices, store, texts_of, typed, wo
 from emulake.operators.rank import rank_in_cells
 
 #: Words whose ids a worker keeps. Rarer words that come later are encoded each time they occur.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 CELL_ROWS = 200_000  # rows that one ranking window sorts
 BLOCK_SLOTS = 65_536  # slots that one row of the plan makes at a time
 #: Control characters that str.split takes for white space and the tokenizer doesn't.
@@ -46,22 +46,34 @@ class WordIds:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if control else []
         self.whole = re.compile("|".join([ODD_SPACE.pattern, *added]), re.IGNORECASE)
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        got, rest, model = {}, [], self.tokenizer.model
+        """Ids of words. Plain ones are put together from the pieces that the tokenizer's pattern cuts them into, each computed once."""
+        plain, rest, flat, ends, pieces, tokenize = [], [], [], [0], self.pieces, self.tokenizer.model.tokenize
         for w in words:
-            if PLAIN.match(w):
-                got[w] = np.array([t.id for p in ASCII_PIECES.findall(w.lower()) for t in model.tokenize(p)], dtype="<u4").tobytes()
-            else:
+            if not PLAIN.match(w):
                 rest.append(w)
+                continue
+            for p in ASCII_PIECES.findall(w.lower()):
+                ids = pieces.get(p)
+                if ids is None:
+                    ids = [t.id for t in tokenize(p)]
+                    if len(pieces) < KEPT_WORDS:
+                        pieces[p] = ids
+                flat += ids
+            plain.append(w)
+            ends.append(4 * len(flat))
+        raw = np.array(flat, dtype="<u4").tobytes()
+        got = {w: raw[p:q] for w, p, q in zip(plain, ends, ends[1:])}
         if rest:
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
                 got[w] = np.array(e.ids, dtype="<u4").tobytes()
         return got
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         words = [None if self.whole.search(t) else t.split() for t in texts]
-        new = {w for ws in words if ws for w in set(ws) if w not in self.known}
+        new = set().union(*(ws for ws in words if ws)).difference(self.known)
         learnt = self._learn(new)
         if len(self.known) + len(learnt) <= KEPT_WORDS:
             self.known.update(learnt)
