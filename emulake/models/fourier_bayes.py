@@ -262,14 +262,14 @@ class FourierBayes(Model):
     def _predictors(self):
         phi, mx, sx, my, sy = self.phi, self.mx, self.sx, self.my, self.sy
         w = np.stack(self.mean, axis=1)
-        factors = [np.linalg.inv(c) for c in self.chol]
+        factors = list(self.chol)
 
         def predict(x: np.ndarray) -> np.ndarray:
             return phi((x - mx) / sx) @ w * sy + my
 
         def std(x: np.ndarray) -> np.ndarray:
             f = phi((x - mx) / sx)
-            return np.stack([np.sqrt(np.sum((f @ c.T) ** 2, axis=1)) * s for c, s in zip(factors, sy)], axis=1)
+            return np.stack([np.sqrt(np.sum(np.linalg.solve(c, f.T) ** 2, axis=0)) * s for c, s in zip(factors, sy)], axis=1)
 
         return predict, std
 
