@@ -27,9 +27,12 @@ CELL_ROWS = 200_000  # rows that one ranking window sorts
 BLOCK_SLOTS = 65_536  # slots that one row of the plan makes at a time
 #: Control characters that str.split takes for white space and the tokenizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: What the tokenizer's own pattern takes from a lower-case ASCII word.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\s]+")
-PLAIN = re.compile(r"[!-~]+\Z")
+#: What the tokenizer's own pattern takes from a lower-case word of ASCII and the letters of Latin-1's upper part, which PLAIN admits.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\s]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+#: The two bytes of each such letter as characters of a byte-level vocabulary: what is no printable Latin-1 goes from 256 on, in order.
+_REST = [i for i in range(256) if not (0x21 <= i < 0x7F or 0xA1 <= i < 0xAD or 0xAE <= i)]
+LETTERS = {c: "".join(chr(256 + _REST.index(i) if i in _REST else i) for i in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class WordIds:
@@ -55,10 +58,10 @@ class WordIds:
             if not PLAIN.match(w):
                 rest.append(w)
                 continue
-            for p in ASCII_PIECES.findall(w.lower()):
+            for p in PIECES.findall(w.lower()):
                 ids = pieces.get(p)
                 if ids is None:
-                    ids = [t.id for t in tokenize(p)]
+                    ids = [t.id for t in tokenize(p.translate(LETTERS))]
                     if len(pieces) < KEPT_WORDS:
                         pieces[p] = ids
                 flat += ids
@@ -74,17 +77,17 @@ class WordIds:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         words = [None if self.whole.search(t) else t.split() for t in texts]
         new = set().union(*(ws for ws in words if ws)).difference(self.known)
-        learnt = self._learn(new)
-        if len(self.known) + len(learnt) <= KEPT_WORDS:
-            self.known.update(learnt)
-            ids = self.known.__getitem__
-        else:
-            def ids(w: str) -> bytes:
-                return self.known.get(w) or learnt.get(w, b"")
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ws is None else b"".join(map(ids, ws))
+        learnt, known = self._learn(new), self.known
+        keep = len(known) + len(learnt) <= KEPT_WORDS
+        known.update(learnt)
+        out = [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ws is None else b"".join(map(known.__getitem__, ws))
             for t, ws in zip(texts, words)
         ]
+        if not keep:
+            for w in learnt:
+                del known[w]
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", control: bool = False) -> DataFrame:
