@@ -74,6 +74,24 @@ def design(spark: SparkSession, n: int, params: Sequence[Param], method: str = "
     raise ValueError(f"unknown sampling method {method!r}")
 
 
+def grid_runs(cases: DataFrame, levels: Mapping[str, Sequence[float]]) -> DataFrame:
+    """``cases`` times every combination of ``levels``: run from 0, and a double per parameter.
+
+    The run number is read as a number of mixed radix, its last digit being the level of the last parameter; nothing is joined,
+    and no combination is held anywhere.
+    """
+    if not levels or any(len(v) == 0 for v in levels.values()):
+        raise ValueError("every parameter needs a level")
+    size = math.prod(len(v) for v in levels.values())
+    runs = cases.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))))
+    cols, stride = {}, size
+    for name, values in levels.items():
+        stride //= len(values)
+        digit = F.floor(F.col("run") / stride) % len(values)
+        cols[name] = F.get(F.array(*[F.lit(float(v)) for v in values]), digit.cast("int"))
+    return runs.withColumns(cols)
+
+
 def expand_runs(cases: DataFrame, samples: DataFrame, n_runs: int, mode: str = "set") -> DataFrame:
     """Runs over cases ``(case)`` and samples ``(sample, ...)``.
 

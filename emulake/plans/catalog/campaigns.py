@@ -281,6 +281,22 @@ for _mode, _cases, _path in (
         return sig_all(r, "pscale", "freq").select("run", "case", "path", "ntor", "pscale", "freq")
 
 
+@register("j9_random_runs", f"SELECT s_name AS \"case\", i AS sample, {_vals(lambda d: _u(7, repr(d), 'i'))} FROM supplier, (SELECT unnest(range(1, 31)) AS i)")
+def _(spark, sf):
+    """Runs of each case with draws that depend on the run alone: no table of samples, no join."""
+    return sig_all(design.per_case_samples(_case_names(spark, sf), 30, PARAMS, 7), "pscale", "freq")
+
+
+LEVELS = {"ntor": [1, 2, 3], "pscale": [0.5, 1.0, 1.5, 2.0], "rotation": [0, 1]}
+
+
+@register("g1_grid_runs", """SELECT s_name AS "case", run, [1.0, 2.0, 3.0][run // 8 + 1]::DOUBLE AS ntor, [0.5, 1.0, 1.5, 2.0][run // 2 % 4 + 1]::DOUBLE AS pscale, [0.0, 1.0][run % 2 + 1]::DOUBLE AS rotation
+ FROM supplier, (SELECT unnest(range(24)) AS run)""")
+def _(spark, sf):
+    """Every supplier's case with all 24 combinations of levels."""
+    return design.grid_runs(_case_names(spark, sf), LEVELS)
+
+
 @register("x13_log_map", f"SELECT event_id, {S('exp((value - floor(value)) * (ln(50.0::DOUBLE) - ln(0.5::DOUBLE)) + ln(0.5::DOUBLE))')} AS x, round_even((value - floor(value)) * 20, 0)::DOUBLE AS k FROM events")
 def _(spark, sf):
     u = F.col("value") - F.floor("value")

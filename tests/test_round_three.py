@@ -316,3 +316,15 @@ def test_halving_stops_trials_and_methods_are_known(spark, curve):
         tuning.tune(ModelSpec("linear", tune=TuneSpec(space, method="guess")), data, ["x1"], ["y"], ["k"])
     with pytest.raises(ValueError):
         tuning.tune(ModelSpec("linear", tune=TuneSpec(space, method="halving")), data, ["x1"], ["y"], [])
+
+
+def test_grid_runs_are_all_combinations(spark):
+    from emulake.operators import design
+
+    cases = spark.createDataFrame([("a",), ("b",)], "case string")
+    levels = {"x": [1, 2, 3], "y": [0.5], "z": [7, 8]}
+    got = design.grid_runs(cases, levels).orderBy("case", "run").collect()
+    want = list(itertools.product(*levels.values()))
+    assert [(r.case, r.x, r.y, r.z) for r in got] == [(c, *w) for c in "ab" for w in want]
+    with pytest.raises(ValueError):
+        design.grid_runs(cases, {"x": []})
