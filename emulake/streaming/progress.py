@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emulake.operators.campaign import STATUSES
 from emulake.sources.readers import EPOCH_SCHEMA, SNAPSHOT_SCHEMA
@@ -37,7 +35,7 @@ def latest_epoch(epochs: DataFrame) -> DataFrame:
 def follow_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of campaign snapshot lines, each with the snapshot it belongs to: its file in ``folder``, or the folder of its part files."""
     lines = spark.readStream.schema(SNAPSHOT_SCHEMA).option("recursiveFileLookup", True).json(folder)
-    return lines.select("*", F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", ""), "([^/]+)$", 1).alias("snapshot"))
+    return lines.select("*", F.substring_index(F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", ""), "/", -1).alias("snapshot"))
 
 
 def snapshot_counts(lines: DataFrame) -> DataFrame:
@@ -50,35 +48,42 @@ def count_line(counts: DataFrame) -> DataFrame:
     return counts.select("snapshot", F.concat_ws(" ", *parts).alias("line"))
 
 
-def status_changes(stream: DataFrame) -> DataFrame:
-    """(case_id, snapshot, status, was) for every line of a snapshot: the status and that of the case's snapshot before, NULL in its first.
+CHANGES = "case_id bigint, snapshot string, status string, was string, held boolean, last boolean"
 
-    One state row per case holds its last snapshot and status. Snapshots of one batch are taken in order of their names; a line of a
-    snapshot that is not later than the one held is left out.
-    """
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, was = state.get if state.exists else (None, None)
-        rows = []
-        for snapshot, status in sorted((s, t) for pdf in frames for s, t in zip(pdf["snapshot"], pdf["status"])):
-            if seen is None or snapshot > seen:
-                rows.append((key[0], snapshot, status, was))
-                seen, was = snapshot, status
-        state.update((seen, was))
-        yield pd.DataFrame(rows, columns=["case_id", "snapshot", "status", "was"])
 
-    lines = stream.where("case_id IS NOT NULL AND status IS NOT NULL").select("case_id", "snapshot", "status")
-    return lines.groupBy("case_id").applyInPandasWithState(
-        update, "case_id bigint, snapshot string, status string, was string", "seen string, was string", "append", GroupStateTimeout.NoTimeout)
+def status_changes(batch: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Every line of a snapshot with the status of the case's snapshot before in ``was``, NULL in its first (schema CHANGES).
+
+    ``held`` has each case's last row so far. Such a row comes back, with ``held`` true, where it is still the last; ``last`` marks what the
+    next batch needs. Snapshots of one batch are taken in order of their names; a line of a snapshot that is not later than the one held
+    is left out. All cases go through one shuffle and one sort, by case.
+    """
+    lines = batch.where("case_id IS NOT NULL AND status IS NOT NULL AND snapshot IS NOT NULL").select("case_id", "snapshot", "status", F.lit(False).alias("held"))
+    rows = lines if held is None else held.select("case_id", "snapshot", "status", F.lit(True).alias("held")).unionByName(lines)
+    ordered = Window.partitionBy("case_id").orderBy("snapshot", F.desc("held"), "status")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    again = F.lag("snapshot").over(ordered).eqNullSafe(F.col("snapshot"))
+    seen = F.max(F.when(F.col("held"), F.col("snapshot"))).over(whole)
+    kept = rows.withColumns({"__again": again, "__seen": seen}).where("NOT __again AND (held OR __seen IS NULL OR snapshot > __seen)")
+    told = kept.withColumns({"was": F.lag("status").over(ordered), "last": F.lead("snapshot").over(ordered).isNull()})
+    return told.where("last OR NOT held").select(*[c.split()[0] for c in CHANGES.split(", ")])
 
 
 def log_changes(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append, for each new snapshot, how many cases have each status and came from which; a replayed batch overwrites its own output."""
+    """Append, for each new snapshot, how many cases have each status and came from which; a replayed batch overwrites its own output.
 
+    The cases' last rows are a table in the checkpoint folder. A batch reads what the batch before wrote and writes the other of two
+    copies, so a replayed batch finds what it found the first time.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy("snapshot", "status", "was").agg(F.count(F.lit(1)).alias("n")).withColumn("logged_at", F.current_timestamp())
+        spark, own, before = batch.sparkSession, f"{checkpoint}/cases/{batch_id % 2}", f"{checkpoint}/cases/{(batch_id + 1) % 2}"
+        held = spark.read.schema(CHANGES).parquet(before).where("last") if batch_id else None
+        status_changes(batch, held).write.mode("overwrite").parquet(own)
+        new = spark.read.schema(CHANGES).parquet(own).where("NOT held")
+        counts = new.groupBy("snapshot", "status", "was").agg(F.count(F.lit(1)).alias("n")).withColumn("logged_at", F.current_timestamp())
         counts.write.mode("overwrite").json(f"{out}/batch={batch_id}")
 
-    return status_changes(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def snapshot_log(spark: SparkSession, out: str) -> DataFrame:

@@ -271,6 +271,25 @@ def test_snapshot_log_tells_what_changed(spark):
     assert got["day3"] == ("finished=1 inflight=0 started=1 pending=0", 0, 1, 1)
 
 
+def test_snapshot_log_holds_cases_in_no_python_state(spark):
+    """Late, repeated and null lines as before; no case passes through Python and the stream has no state operator."""
+    folder, out, state = (new_path(spark, t) for t in ("snaps", "snap-log", "snap-state"))
+    schema = "case_id bigint, run string, eq string, status string"
+    days = [("day2", [(1, "started"), (1, "pending"), (2, "started"), (None, "started"), (4, None)]), ("day1", [(1, "finished"), (5, "pending")]),
+            ("day3", [(1, "finished"), (2, "started")]), ("day4", [(5, "inflight"), (1, "finished")])]
+    held = []
+    for day, cases in days:
+        spark.createDataFrame([(k, "run1", f"c{k}", s) for k, s in cases], schema).write.json(f"{folder}/{day}")
+        q = progress.log_changes(progress.follow_snapshots(spark, folder), out, state)
+        q.awaitTermination()
+        held += [p["stateOperators"] for p in q.recentProgress]
+    assert not any(held)
+    got = {r.snapshot: (r.line, r.new, r.changed, r.newly_finished) for r in progress.snapshot_log(spark, out).collect()}
+    assert got == {
+        "day2": ("finished=0 inflight=0 started=1 pending=1", 2, 0, 0), "day1": ("finished=0 inflight=0 started=0 pending=1", 1, 0, 0),
+        "day3": ("finished=1 inflight=0 started=1 pending=0", 0, 1, 1), "day4": ("finished=1 inflight=1 started=0 pending=0", 0, 1, 0)}
+
+
 def test_network_does_not_depend_on_the_cluster(spark, curve):
     params = {"hidden_layers": [8], "n_epochs": 4, "shard_rows": 60, "batch_size": 16, "learning_rate": 0.01}
     fits = []
