@@ -127,14 +127,14 @@ def _merged(a: tuple, b: tuple) -> tuple:
 
 def follow_blocks(
     stream: DataFrame, row_idx: str, size: int, ranges: DataFrame, pair: tuple[str, str] | None = None, reference: Mapping[str, float] | None = None,
-    total_rows: int | None = None, lag: int = 1024, shards: int = 64,
+    total_rows: int | None = None, lag: int | None = None, shards: int = 64,
 ) -> DataFrame:
     """Blocks of ``size`` rows by row index, each appended once when it is full, as ``judge`` gives them, with ``late_rows``.
 
     The state has one row for each of ``shards``, block b being in shard b mod shards: the open blocks' sums and the numbers
-    of those that are done. A full block's sums are dropped. Where blocks stay open although one ``lag`` blocks later has
-    begun, they are appended as they are; so no shard holds more than ``lag`` of them. ``total_rows``, where known, says how
-    many rows the last block has. Rows of a block that is done are not added: a row with n = 0 tells their number in late_rows.
+    of those that are done. A full block's sums are dropped. Rows may come in any order: a block stays open until it is full.
+    Only with a ``lag``, blocks that stay open although one ``lag`` blocks later has begun are appended as they are, so that no
+    shard holds more than ``lag`` of them. ``total_rows``, where known, says how many rows the last block has. Rows of a block that is done are not added: a row with n = 0 tells their number in late_rows.
     Rows without an index are left out. Runs on a stream in append mode only.
     """
     rows = ranges.orderBy("role", "ord").collect()  # one row per role column
@@ -153,17 +153,18 @@ def follow_blocks(
                 if r.block < floor or r.block in done:
                     late[r.block] = late.get(r.block, 0) + r.n
                     continue
-                new = (r.n, list(r.low), list(r.high), r.n_pairs, r.sse, r.mean, r.m2)
+                new = (r.n, r.low.tolist(), r.high.tolist(), r.n_pairs, r.sse, r.mean, r.m2)  # plain numbers, as the state takes no others
                 open_blocks[r.block] = _merged(open_blocks[r.block], new) if r.block in open_blocks else new
         newest = max([*open_blocks, *done, floor - 1])
         full = lambda b: open_blocks[b][0] >= (size if b != last else total_rows - last * size)
         out = []
         for b in sorted(open_blocks):
-            if full(b) or b + lag <= newest:
+            if full(b) or (lag is not None and b + lag <= newest):
                 n, low, high, pairs, sse, _, m2 = open_blocks.pop(b)
                 out.append((b, n, low, high, pairs, sse, m2, 0))
                 done.add(b)
-        floor = max(floor, (newest - lag) // shards * shards + shard) if newest >= lag else floor
+        if lag is not None and newest >= lag:
+            floor = max(floor, (newest - lag) // shards * shards + shard)
         while floor in done:
             floor += shards
         done = {b for b in done if b >= floor}

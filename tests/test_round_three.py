@@ -217,6 +217,18 @@ def test_blocks_that_never_fill_leave_after_the_lag(spark):
     assert got == {b: 4 if b in (3, 5) else 10 for b in range(40)}
 
 
+def test_blocks_whose_rows_come_far_apart_are_whole(spark):
+    """Every file has a third of each block, and more blocks are open at once than any lag that was fixed before."""
+    n = 12_000
+    df = spark.range(n).selectExpr("id AS i", "1D AS x", "id % 7 * 1D AS t", "id % 7 * 1D AS p")
+    ranges = drift.training_ranges(df, ["x"], ["t"])
+    src, out, state = (new_path(spark, t) for t in ("apart", "apart-out", "apart-state"))
+    for k in range(3):
+        df.where(f"i % 3 = {k}").coalesce(1).write.mode("append").parquet(src)
+    follow(spark, src, out, state, df.schema, ranges, total_rows=n)
+    assert spark.read.parquet(out).agg(F.count("*"), F.countDistinct("block"), F.min("n"), F.max("n"), F.sum("late_rows")).first() == (1200, 1200, 10, 10, 0)
+
+
 # --- chunk plans ------------------------------------------------------------------------------------------
 
 
