@@ -334,13 +334,13 @@ class BatchMeta:
 def parse_parameters(lines: DataFrame, params: Sequence[str], by: Sequence[str] = ("run", "case")) -> DataFrame:
     """(by..., param, value): the first line that sets each parameter; text that is no number gives NULL.
 
-    ``lines`` has (by..., line_no, line). The aggregate keeps one row per file and parameter map-side.
+    ``lines`` has (by..., line_no, line). The lines are shuffled by file first: files rarely share a task, so an aggregate before
+    the shuffle would hold all that a task reads, however few tasks there are.
     """
     line = F.col("line")
     hits = F.array_compact(F.array(*[F.when(text.assigns(line, p), F.lit(p)) for p in params]))
-    found = lines.where(line.contains("=")).select(*by, "line_no", "line", F.explode(hits).alias("param"))
-    value = text.assigned_number(line)
-    return found.groupBy(*by, "param").agg(F.min_by(F.struct(value.alias("v")), F.col("line_no")).alias("s")).select(*by, "param", F.col("s.v").alias("value"))
+    found = lines.where(line.contains("=")).select(*by, "line_no", text.assigned_number(line).alias("value"), F.explode(hits).alias("param"))
+    return found.repartition(*by).groupBy(*by, "param").agg(F.min_by("value", "line_no").alias("value"))
 
 
 def _value_problem(value: Column, lo: Column, hi: Column, is_int: Column) -> Column:
@@ -375,7 +375,7 @@ def verify_set(run_dirs: DataFrame, cases: DataFrame, lines: DataFrame, meta: Ba
     ``run_dirs``: (run); ``cases``: (run, case, has_input); ``lines``: (run, case, line_no, line). The first
     case of a run is checked against the ranges, the others against the first.
     """
-    wanted = cases.where(natural(F.col("run")).between(1, meta.n_runs))
+    wanted = cases.where(natural(F.col("run")).between(1, meta.n_runs)).repartition("run", "case")  # the aggregate sorts what a task reads
     first = wanted.groupBy("run").agg(F.min("case").alias("first"), F.min_by("has_input", "case").alias("first_ok"))
     tagged = join_on(wanted, first, ["run"], "inner")
     none = F.lit(None).cast("string")
@@ -397,7 +397,7 @@ def verify_set(run_dirs: DataFrame, cases: DataFrame, lines: DataFrame, meta: Ba
 
 def verify_fixed(run_dirs: DataFrame, cases: DataFrame, lines: DataFrame, meta: BatchMeta) -> DataFrame:
     """Findings of a batch with one case per run: count and name of the case (warnings), then its parameters."""
-    wanted = cases.where(natural(F.col("run")).between(1, meta.n_runs))
+    wanted = cases.where(natural(F.col("run")).between(1, meta.n_runs)).repartition("run", "case")  # the aggregate sorts what a task reads
     first = wanted.groupBy("run").agg(F.min("case").alias("case"), F.count(F.lit(1)).alias("n"), F.min_by("has_input", "case").alias("has_input"))
     none = F.lit(None).cast("string")
 

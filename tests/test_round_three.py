@@ -255,6 +255,16 @@ def test_chunk_plan_matches_a_walk(spark, chunk, page, density):
     assert [r.chunk for r in got] == list(range(len(want))) and [r.config for r in got] == ["ab"[k % 2] for k in range(len(want))]
 
 
+def test_parameters_are_aggregated_after_the_shuffle_only(spark):
+    """A task that reads many files holds none of them; the first line counts even if it has no number."""
+    rows = [("r", "a", 0, "x = abc"), ("r", "a", 1, "x = 5"), ("r", "b", 2, "x = 7"), ("r", "b", 1, "x = 2 ! two"), (None, "b", 1, "x = 1"), ("r", None, 3, "y = 1")]
+    got = campaign.parse_parameters(spark.createDataFrame(rows, "run string, case string, line_no int, line string"), ["x", "y"])
+    assert {(r.run, r.case, r.param): r.value for r in got.collect()} == {("r", "a", "x"): None, ("r", "b", "x"): 2.0, (None, "b", "x"): 1.0, ("r", None, "y"): 1.0}
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2] or got._jdf.queryExecution().executedPlan().toString()
+    above, exchange, below = plan.partition("Exchange")
+    assert exchange and "Aggregate" in above and "SortAggregate" not in plan and "Aggregate" not in below
+
+
 # --- files, snapshots, networks -----------------------------------------------------------------------------
 
 
