@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +48,32 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
 
 
+OPEN_FILES = 12  # files a task writes side by side
+OPEN_BLOCK = 32 << 20  # bytes a Parquet file among them holds back
+OPEN_FILES_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def open_files(spark: SparkSession) -> Iterator[None]:
+    """Inside, a task that writes to few partition folders keeps a file open in each instead of sorting, and spilling, all its rows
+    by folder first. Where there are more folders, Spark sorts the rows from then on."""
+    before = spark.conf.get(OPEN_FILES_CONF)
+    spark.conf.set(OPEN_FILES_CONF, str(max(int(before), OPEN_FILES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_FILES_CONF, before)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    writer = df.write
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        with open_files(spark):
+            df.write.option("parquet.block.size", OPEN_BLOCK).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

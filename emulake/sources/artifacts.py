@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulake.functions.arrays import only
+from emulake.session import OPEN_BLOCK, open_files
 
 SPLITS = "train|val|test"
 PREDICTION_SCHEMA = "row_key string, output string, y_true double, y_pred double, model string, split string"
@@ -31,12 +32,13 @@ def file_model(path: Column) -> Column:
 
 
 def write_predictions(pred: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One dataset for all models and splits, partitioned by both."""
+    """One dataset for all models and splits, partitioned by both. CSV files are gzip-compressed, as their keys repeat."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown prediction format {fmt!r}")
     names = [c.split()[0] for c in PREDICTION_SCHEMA.split(", ")]
     writer = pred.select(*names).write.mode("overwrite").partitionBy("model", "split")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    with open_files(pred.sparkSession):
+        writer.options(header=True, compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).csv(path) if fmt == "csv" else writer.option("parquet.block.size", OPEN_BLOCK).parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet", splits: list[str] | None = None) -> DataFrame:
@@ -61,7 +63,8 @@ def write_prediction_files(wide: DataFrame, path: str, fmt: str = "parquet", unc
         raise ValueError(f"unknown prediction format {fmt!r}")
     name = F.concat("model", F.lit("_"), "split", F.lit(f"{'_uq' if uncertain else ''}.{fmt}"))
     writer = wide.withColumn("file", name).drop("model", "split").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    with open_files(wide.sparkSession):
+        writer.option("header", True).csv(path) if fmt == "csv" else writer.option("parquet.block.size", OPEN_BLOCK).parquet(path)
 
 
 def read_prediction_files(spark: SparkSession, path: str, n_outputs: int, fmt: str = "parquet") -> DataFrame:

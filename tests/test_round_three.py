@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import math
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emulake import session
 from emulake.models import REGISTRY, tree_shapley
 from emulake.models.fourier_bayes import Features, ascend, evidence, evidence_gradient
 from emulake.models.mlp import Net
@@ -281,6 +283,28 @@ def test_prediction_files_are_sets_of_part_files(spark, fmt):
     assert got == {("a_val", "train"): 50, ("a_val", "val"): 10, ("b", "train"): 50, ("b", "val"): 50} or got == {("a_val", "train"): 50, ("a_val", "val"): 10, ("b.2", "train"): 50, ("b.2", "val"): 50}
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_predictions_are_written_side_by_side(spark, fmt, monkeypatch):
+    """No sort by folder: the setting holds while the files are written, and only then; more folders than open files are whole too."""
+    assert spark.conf.get(session.OPEN_FILES_CONF) == "0"
+    seen, entered = [], session.open_files
+
+    @contextlib.contextmanager
+    def watched(s):
+        with entered(s):
+            seen.append(spark.conf.get(session.OPEN_FILES_CONF))
+            yield
+
+    monkeypatch.setattr(artifacts, "open_files", watched)
+    pred = spark.range(600, numPartitions=1).selectExpr(
+        "concat('k', id) AS row_key", "'y' AS output", "id + 0.25D AS y_true", "CASE WHEN id % 9 > 0 THEN id * 1D END AS y_pred", "concat('m', id % 10) AS model", "IF(id % 4 = 0, 'val', 'train') AS split")
+    path = new_path(spark, "side-by-side")
+    artifacts.write_predictions(pred, path, fmt)
+    back = artifacts.read_predictions(spark, path, fmt).select(pred.columns)
+    assert back.exceptAll(pred).isEmpty() and pred.exceptAll(back).isEmpty()
+    assert seen == [str(session.OPEN_FILES)] and spark.conf.get(session.OPEN_FILES_CONF) == "0"
+
+
 def test_snapshot_log_tells_what_changed(spark):
     folder, out, state = (new_path(spark, t) for t in ("snaps", "snap-log", "snap-state"))
     days = {"day1": {1: "pending", 2: "started"}, "day2": {1: "started", 2: "finished", 3: "pending"}, "day3": {1: "started", 3: "finished"}}
