@@ -25,7 +25,8 @@ from emulake.session import join_on
 #: Words that a repeated passage needs. A character of a script without spaces counts as half a word.
 MIN_WORDS = 8
 UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
-BREAK = re.compile(rf"\n\s*|(?<=\w[.!?])[^\S\n]+|[^\S\n]+(?=[{UPPER}](?![{UPPER}]))")
+#: A line end, white space after a sentence's end or before a capital; it begins with the white space, which a search finds fast.
+BREAK = re.compile(rf"\s(?:(?<=\n)\s*|(?<=\w[.!?]\s)[^\S\n]*|[^\S\n]*(?=[{UPPER}](?![{UPPER}])))")
 #: Thai, Lao, Burmese, Khmer, Chinese and Japanese: every character is a word of its own.
 DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u319f\u31c0-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{DENSE}]|[^\s{DENSE}]+")
@@ -38,19 +39,42 @@ LONG, MEAN, MOST = 25, 8, 64
 def _inner_cuts(words: list[str]) -> list[int]:
     """Places before which a long cell is cut; they depend only on the words shortly before."""
     cuts, last = [], 0
-    for k in range(2, len(words)):
-        if zlib.crc32(f"{words[k - 2]} {words[k - 1]}".encode("utf-8", "surrogatepass")) % MEAN == 0 or k - last == MOST:
+    raw, crc = [w.encode("utf-8", "surrogatepass") for w in words], zlib.crc32
+    for k, two in enumerate(map(b"%b %b".__mod__, zip(raw, raw[1:-1])), 2):
+        if crc(two) % MEAN == 0 or k - last == MOST:
             cuts.append(k)
             last = k
     return cuts
 
 
+def _plain_cells(text: str) -> list[tuple[int, int, str, int]]:
+    """``cells_of`` a text whose words are bounded by white space only: the words of a stretch are split, not searched one by one."""
+    place, found, begin = [], [], 0
+    for end in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
+        words = text[begin:end].lower().split()
+        if words:
+            cuts = [0]
+            if len(words) >= LONG and (inner := _inner_cuts(words)):
+                starts = [m.start() for m in ASCII_WORD.finditer(text, begin, end)]
+                cuts += inner
+                place += [begin, *(starts[k] for k in inner)]
+            else:
+                place.append(begin)
+            cuts.append(len(words))
+            found += [(" ".join(words[i:j]), 2 * (j - i)) for i, j in zip(cuts, cuts[1:])]
+        begin = end
+    if not found:
+        return []
+    place[0] = 0
+    place.append(len(text))
+    return [(place[n], place[n + 1], words, half) for n, (words, half) in enumerate(found)]
+
+
 def cells_of(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised, half words) of the cells of a text; end includes the break that follows."""
-    plain = text.isascii()
-    at = [m.span() for m in (ASCII_WORD if plain else WORD).finditer(text)]
-    if not at:
-        return []
+    if text.isascii() or not IS_DENSE.search(text):
+        return _plain_cells(text)
+    at = [m.span() for m in WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in at]
     starts = {m.end() for m in BREAK.finditer(text)}
     rough = [0, *(i for i in range(1, len(at)) if at[i][0] in starts), len(at)]
@@ -63,8 +87,7 @@ def cells_of(text: str) -> list[tuple[int, int, str, int]]:
     place = [0, *(at[i][0] for i in edges[1:-1]), len(text)]
     out = []
     for n, (i, j) in enumerate(zip(edges, edges[1:])):
-        half = 2 * (j - i) if plain else sum(1 if IS_DENSE.match(w) else 2 for w in words[i:j])
-        out.append((place[n], place[n + 1], " ".join(words[i:j]), half))
+        out.append((place[n], place[n + 1], " ".join(words[i:j]), sum(1 if IS_DENSE.match(w) else 2 for w in words[i:j])))
     return out
 
 

@@ -469,3 +469,30 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_plain_texts_fall_into_the_cells_of_a_search_word_by_word(monkeypatch):
+    """op10: a text without dense characters has its words split a stretch at a time, with the cells of the slower way."""
+    import random
+
+    from emulake.llm import substring
+
+    rng = random.Random(3)
+    pieces = ["word ", "Word. ", " the quick", "\n", "\n  ", "\t", ".", "! ", "A", "ÀB", "ΑΣ. ", "İx ", "ж ", "\x1c", "x y z ", "0-"]
+    texts = ["", "  ", "\n A", *("".join(rng.choices(pieces, k=rng.randrange(1, 150))) for _ in range(400))]
+    searched = []
+    real = substring.WORD
+    monkeypatch.setattr(substring, "WORD", type("Searched", (), {"finditer": staticmethod(lambda t: searched.append(t) or real.finditer(t))}))
+    fast = [substring.cells_of(t) for t in texts]
+    assert not searched
+
+    def searched_cells(text):
+        at = [m.span() for m in real.finditer(text)]
+        ends = {m.end() for m in substring.BREAK.finditer(text)}
+        words = [text[a:b].lower() for a, b in at]
+        rough = [0, *(i for i in range(1, len(at)) if at[i][0] in ends), len(at)]
+        edges = [e for i, j in zip(rough, rough[1:]) for e in [i, *([i + k for k in substring._inner_cuts(words[i:j])] if j - i >= substring.LONG else [])]] + [len(at)]
+        place = [0, *(at[i][0] for i in edges[1:-1]), len(text)]
+        return [(place[n], place[n + 1], " ".join(words[i:j]), 2 * (j - i)) for n, (i, j) in enumerate(zip(edges, edges[1:]))] if at else []
+
+    assert fast == [searched_cells(t) for t in texts]
