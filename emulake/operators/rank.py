@@ -73,8 +73,8 @@ def rank_in_cells(df: DataFrame, cell: Column, group: Sequence[str], order: Sequ
 class HashCuts:
     """Thresholds for "first r rows in hash order"; ``n`` is the row count seen while fitting."""
 
-    def __init__(self, keys: Sequence[str], seed: int, n: int, ranks: Sequence[int], hashes: Sequence[str | None]):
-        self.keys, self.seed, self.n = list(keys), seed, n
+    def __init__(self, keys: Sequence[str], seed: int, n: int, ranks: Sequence[int], hashes: Sequence[str | None], stored: str | None = None):
+        self.keys, self.seed, self.n, self.stored = list(keys), seed, n, stored
         self.ranks, self.hashes = list(ranks), list(hashes)
 
     def at_most(self, i: int, h: Column) -> Column:
@@ -83,7 +83,7 @@ class HashCuts:
         return F.lit(False) if bound is None else h <= F.lit(bound)
 
     def hash(self) -> Column:
-        return seeded_hash(self.seed, *self.keys)
+        return F.col(self.stored) if self.stored else seeded_hash(self.seed, *self.keys)
 
     def piece(self, h: Column) -> Column:
         """0-based piece number when the cuts divide the table into consecutive pieces."""
@@ -93,13 +93,15 @@ class HashCuts:
         return number
 
 
-def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of) -> HashCuts:
+def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of, stored: str | None = None) -> HashCuts:
     """Find the hash at each wanted rank. ``ranks_of(n)`` gives the ranks once the row count is known.
 
+    ``stored`` names a column of ``df`` that has the rows' seeded hash already, which spares every scan making the keys and hashing them.
+
     Each pass counts rows per hash prefix (a map-side aggregate with a fixed number of groups) and only
     the cells holding a cut are looked at again, so 10^12 rows need three scans of the key columns.
     """
-    hashed = df.select(seeded_hash(seed, *keys).alias("h"))
+    hashed = df.select((F.col(stored) if stored else seeded_hash(seed, *keys)).alias("h"))
 
     def count_cells(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         got = rows.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -137,7 +139,7 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of) -> HashCu
         for r, (cell, local, _) in todo.items():
             keep = np.array([p[:width] == cell for p in all_p], dtype=bool)
             found[r] = all_p[keep][int(np.searchsorted(np.cumsum(all_n[keep]), local))]
-    return HashCuts(keys, seed, n, ranks, [found[r] for r in ranks])
+    return HashCuts(keys, seed, n, ranks, [found[r] for r in ranks], stored)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> int:

@@ -41,9 +41,9 @@ class SplitPlan:
         return df.withColumn("__h", self.cuts.hash()).withColumn(name, label).drop("__h")
 
 
-def fit_split(df: DataFrame, keys: Sequence[str], test: float = 0.2, val: float = 0.2, seed: int = 42) -> SplitPlan:
-    """Shuffled split with exact sizes. Rows that share a key always share a split."""
-    cuts = hash_cuts(df, keys, seed, lambda n: [split_sizes(n, test, val)[2], sum(split_sizes(n, test, val)[1:])])
+def fit_split(df: DataFrame, keys: Sequence[str], test: float = 0.2, val: float = 0.2, seed: int = 42, stored: str | None = None) -> SplitPlan:
+    """Shuffled split with exact sizes. Rows that share a key always share a split. ``stored``: see ``hash_cuts``."""
+    cuts = hash_cuts(df, keys, seed, lambda n: [split_sizes(n, test, val)[2], sum(split_sizes(n, test, val)[1:])], stored)
     return SplitPlan(cuts, split_sizes(cuts.n, test, val))
 
 

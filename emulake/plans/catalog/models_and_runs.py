@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emulake.functions.hashing import seeded_hash
 from emulake.models import REGISTRY, explain, tree_shapley
 from emulake.models.base import FunctionModel
 from emulake.models.fourier_bayes import JITTER, NOISES, Features
@@ -13,20 +14,26 @@ from emulake.plans import evaluation, reports, tuning, workflow
 from emulake.plans.catalog.base import (
     CASES, INPUTS, OUTPUTS, S, cases, hash_sql, output_metrics_sql, register, sig, sig_all, split_sql, table,
 )
-from emulake.session import materialize, new_path, spread_small
+from emulake.session import SMALL_ROWS, materialize, new_path, spread_small
 from emulake.spec import ModelSpec, RunSpec, TuneSpec
 
 KEY = ["row_key"]
 SPLIT = split_sql("cases", "row_key", 0.2, 0.2)
 
 
+def split_once(df, tag, then=lambda s: s):
+    """``then`` of the table, split 60/20/20. Keys are made and hashed once, in the table that is stored; on a large one the split is a
+    comparison of the stored hash, a small one is stored again with one partition per core."""
+    hashed = materialize(df.withColumn("__h42", seeded_hash(42, *KEY)), f"{tag}-hashed")
+    plan = split.fit_split(hashed, KEY, 0.2, 0.2, stored="__h42")
+    out = then(plan.apply(hashed)).select("row_key", "split", *[c for c in df.columns if c != "row_key"])
+    return materialize(spread_small(out, plan.cuts.n), tag) if plan.cuts.n <= SMALL_ROWS else out
+
+
 def ready(spark, sf, inputs=INPUTS):
-    """The case table, split 60/20/20 and standardised on train, stored once."""
-    df = cases(spark, sf)
-    plan = split.fit_split(df, KEY, 0.2, 0.2)
-    s = plan.apply(df)
-    z = fit_standard(s.where("split = 'train'"), inputs).transform(s)
-    return materialize(spread_small(z.select("row_key", "split", *inputs, *OUTPUTS), plan.cuts.n), "ready")
+    """The case table, split 60/20/20 and standardised on train, its keys stored once."""
+    df = cases(spark, sf).select("row_key", *inputs, *OUTPUTS)
+    return split_once(df, "ready", lambda s: fit_standard(part(s, "train"), inputs).transform(s))
 
 
 def part(df, name):
@@ -517,9 +524,7 @@ HALVING = {"alpha": {"type": "loguniform", "low": 1e-3, "high": 1e7}}
 @register("m11_halving", """SELECT rung::BIGINT AS rung, [12, 4, 1][rung + 1]::BIGINT AS trials, rung = 2 AS all_rows, true AS best_go_on FROM (SELECT unnest([0, 1, 2]) AS rung)""")
 def _(spark, sf):
     """Ridge strengths by successive halving: trials of each rung, and whether none that stopped was better than one that went on."""
-    df = cases(spark, sf).select("row_key", *INPUTS, "revenue")
-    plan = split.fit_split(df, KEY, 0.2, 0.2)
-    data = materialize(spread_small(plan.apply(df), plan.cuts.n), "halving")
+    data = split_once(cases(spark, sf).select("row_key", *INPUTS, "revenue"), "halving")
     found = tuning.tune(ModelSpec("linear", tune=TuneSpec(HALVING, n_trials=12, method="halving")), data, INPUTS, ["revenue"], KEY)
     t = found.trials
     later = t.select("number", (F.col("rung") - 1).alias("rung"), F.lit(True).alias("on"))

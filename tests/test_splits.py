@@ -149,3 +149,28 @@ def test_running_matches_a_plain_window(spark):
     want = base.withColumn("m", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     got = ordered.running(base, "id", ["g"], {"m": ("max", "v", False), "s": ("sum", "v", True)})
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_split_by_a_stored_hash_reads_no_keys(spark):
+    """The split of a table that has its keys' hash stored is the split by the keys, and no scan hashes again."""
+    from pyspark.sql import functions as F
+
+    from emulake.functions.hashing import seeded_hash
+
+    df = spark.range(5000).selectExpr("concat('k', id) AS k", "id").unionByName(spark.createDataFrame([(None, -1)], "k string, id bigint"))
+    hashed = df.withColumn("h", seeded_hash(42, "k"))
+    plan = split.fit_split(hashed, ["k"], 0.2, 0.2, stored="h")
+    assert plan.cuts.hash()._jc.toString() == F.col("h")._jc.toString()
+    a = {(r.id, r.split) for r in plan.apply(hashed).select("id", "split").collect()}
+    assert a == {(r.id, r.split) for r in split.split_shuffled(df, ["k"], 0.2, 0.2).select("id", "split").collect()}
+
+
+def test_large_tables_are_split_by_the_stored_hash(spark, monkeypatch):
+    from emulake.plans.catalog import models_and_runs as m
+
+    df = spark.range(900).selectExpr("concat('k', id) AS row_key", "id * 1D AS x")
+    small = m.split_once(df, "small")
+    monkeypatch.setattr(m, "SMALL_ROWS", 100)
+    large = m.split_once(df, "large")
+    assert large.columns == small.columns and large.exceptAll(small).isEmpty() and large.count() == 900
+    assert "md5" not in large._jdf.queryExecution().optimizedPlan().toString()
