@@ -186,6 +186,22 @@ def compare_models(pred: DataFrame, a: str, b: str, key: Sequence[str] = ("row_k
     return both.where("err_a IS NOT NULL AND err_b IS NOT NULL")
 
 
+def compare_wide(df: DataFrame, outputs: dict[str, tuple[Column, Column, Column]], key: Sequence[str] = ("row_key",)) -> DataFrame:
+    """``compare_models`` for a table with one case in a row; ``outputs`` has the truth and both models' predictions of each output.
+
+    The errors of a case are shuffled together, under one key, and leave side by side. As few keys repeat, rows are dealt
+    by key before they are aggregated: a task that reads them would only hold every key it meets, and spill.
+    """
+    cells = {f"__{name}{i}": c for i, (y, a, b) in enumerate(outputs.values()) for name, c in (("y_true", y), ("err_a", (a - y) ** 2), ("err_b", (b - y) ** 2))}
+    rows = df.select(*key, *[c.alias(n) for n, c in cells.items()]).repartition(*key)
+    both = rows.groupBy(*key).agg(*[F.max(n).alias(n) for n in cells]).withColumn("output", F.explode(F.array(*[F.lit(o) for o in outputs])))
+
+    def of_output(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col("output") == o, F.col(f"__{name}{i}")) for i, o in enumerate(outputs)]).alias(name)
+
+    return both.select(*key, "output", *[of_output(n) for n in ("y_true", "err_a", "err_b")]).where("err_a IS NOT NULL AND err_b IS NOT NULL")
+
+
 def log_error_correlation(errors: DataFrame) -> DataFrame:
     """Correlation of log10 errors over rows where both are positive and finite."""
     ok = finite_pairs(errors, "err_a", "err_b", positive=True)

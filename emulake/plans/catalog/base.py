@@ -97,16 +97,20 @@ def split_sql(source: str, key: str, test: float = 0.2, val: float = 0.1, seed:
 # --- two fixed linear formulas stand for two models --------------------------------------------------
 
 
-def two_models(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Long predictions of models A and B for both outputs, next to the truth."""
+def formulas() -> dict[str, dict[str, Column]]:
+    """Predictions of models A and B for each output."""
     p = F.col("l_extendedprice")
-    made = {
-        "A": {"revenue": ("revenue", p * 0.95), "charge": ("charge", p * 0.99)},
-        "B": {"revenue": ("revenue", p * 0.9 + 100), "charge": ("charge", p * (1 - F.col("l_discount")))},
+    return {
+        "A": {"revenue": p * 0.95, "charge": p * 0.99},
+        "B": {"revenue": p * 0.9 + 100, "charge": p * (1 - F.col("l_discount"))},
     }
+
+
+def two_models(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Long predictions of models A and B for both outputs, next to the truth."""
     cells = [
-        F.struct(F.lit(m).alias("model"), F.lit(o).alias("output"), F.col(t).alias("y_true"), y.alias("y_pred"))
-        for m, outputs in made.items() for o, (t, y) in outputs.items()]
+        F.struct(F.lit(m).alias("model"), F.lit(o).alias("output"), F.col(o).alias("y_true"), y.alias("y_pred"))
+        for m, outputs in formulas().items() for o, y in outputs.items()]
     return df.select(*keep, F.inline(F.array(*cells)))
 
 
