@@ -6,17 +6,21 @@ import math
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulake.session import new_path
 
 #: Rows of an Arrow batch that are held as Python objects at a time.
 SLICE_ROWS = 500
+#: Rows of documents in an Arrow batch. JVM and worker each hold a batch whole, the JVM outside its heap.
+BATCH_ROWS = 1000
+BATCH_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -26,6 +30,26 @@ def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers ``BATCH_ROWS`` at a time, unless the session has a number of its own.
+
+    Spark takes the number when a table is written, after its operator has returned; so it is set, not only for a while.
+    """
+    if spark.conf.get(BATCH_ROWS_CONF, None) is None:
+        spark.conf.set(BATCH_ROWS_CONF, str(BATCH_ROWS))
+
+
+@contextmanager
+def same_batches(spark: SparkSession) -> Iterator[None]:
+    """What is inside may call ``small_batches``; afterwards the session is as before."""
+    before = spark.conf.get(BATCH_ROWS_CONF, None)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_ROWS_CONF)
+
+
 def worker_value(kind: str, key: tuple, make: Callable[[], Any]) -> Any:
     """A value made once per Python worker process and kept across its tasks, until another kind or key is asked for.
 
@@ -40,6 +64,12 @@ def worker_value(kind: str, key: tuple, make: Callable[[], Any]) -> Any:
     return values[kind][1]
 
 
+def forget_values() -> None:
+    """Frees what ``worker_value`` keeps in this worker process; for tasks that use none, as workers serve one operator after the other."""
+    if home := sys.modules.get("_emulake_llm_worker"):
+        home.__dict__.get("values", {}).clear()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows, without the empty ones."""
     for batch in batches:

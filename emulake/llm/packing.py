@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import binary_column, slices, store, texts_of, typed, worker_value
+from emulake.llm.common import SLICE_ROWS, binary_column, slices, store, texts_of, typed, worker_value
 from emulake.operators.rank import rank_in_cells
 
 #: Words whose ids a worker keeps. Rarer words that come later are encoded each time they occur.
@@ -49,26 +49,25 @@ class WordIds:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if control else []
         self.whole = re.compile("|".join([ODD_SPACE.pattern, *added]), re.IGNORECASE)
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words. Plain ones are put together from the pieces that the tokenizer's pattern cuts them into, each computed once."""
-        plain, rest, flat, ends, pieces, tokenize = [], [], [], [0], self.pieces, self.tokenizer.model.tokenize
+        """Ids of words. Plain ones are put together from the pieces that the tokenizer's pattern cuts them into, each computed once.
+        A word of one piece shares the piece's ids, and its text too where they are equal."""
+        got, rest, pieces, tokenize = {}, [], self.pieces, self.tokenizer.model.tokenize
         for w in words:
             if not PLAIN.match(w):
                 rest.append(w)
                 continue
+            parts = []
             for p in PIECES.findall(w.lower()):
                 ids = pieces.get(p)
                 if ids is None:
-                    ids = [t.id for t in tokenize(p.translate(LETTERS))]
+                    ids = b"".join([t.id.to_bytes(4, "little") for t in tokenize(p.translate(LETTERS))])
                     if len(pieces) < KEPT_WORDS:
-                        pieces[p] = ids
-                flat += ids
-            plain.append(w)
-            ends.append(4 * len(flat))
-        raw = np.array(flat, dtype="<u4").tobytes()
-        got = {w: raw[p:q] for w, p, q in zip(plain, ends, ends[1:])}
+                        pieces[w if p == w else p] = ids
+                parts.append(ids)
+            got[w] = parts[0] if len(parts) == 1 else b"".join(parts)
         if rest:
             for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
                 got[w] = np.array(e.ids, dtype="<u4").tobytes()
@@ -101,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = worker_value("word_ids", (tokenizer, control), lambda: WordIds(tokenizer, control))
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_ROWS // 5):
             rows, piece, start, length, parts = [], [], [], [], []
             for i, raw in enumerate(ids.encode(texts_of(batch))):
                 raw += end

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import fold, scan_tasks, slices, store, summed, texts_of, typed
+from emulake.llm.common import fold, forget_values, scan_tasks, slices, store, summed, texts_of, typed
 from emulake.models.base import list_column, matrix
 
 FEATURES = 384
@@ -58,6 +58,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, stats) of every row; NULL text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), list_column(np.stack([statistics_of(t) for t in texts_of(batch)]))], names=[key, "stats"])
 
@@ -170,6 +171,7 @@ def quality_scores(stats: DataFrame, model: QualityModel | None, key: str = "doc
     """(key, score, predicted) of every row of ``stats``; without a model every score is 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches, 5000):
             score = model.score(matrix(batch.column("stats"))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
@@ -181,6 +183,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text: str = "text", t
     """The rows of ``docs`` whose score reaches ``threshold``, unchanged; statistics are made and judged in one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             if model:
                 good = model.score(np.stack([statistics_of(t) for t in texts_of(batch, text)])) >= threshold

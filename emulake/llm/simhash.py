@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import content_key, fresh, slices, store, texts_of, typed
+from emulake.llm.common import content_key, forget_values, fresh, slices, store, texts_of, typed
 from emulake.llm.components import component_roots
 from emulake.session import join_on
 
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, __text hash, fp) for every row; NULL text is empty. Only the two columns are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             fp = pa.array([fingerprint_of(t) for t in texts_of(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp], names=[key, "__text", "fp"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import SLICE_ROWS, binary_column, content_key, fresh, slices, store, texts_of
+from emulake.llm.common import SLICE_ROWS, binary_column, content_key, forget_values, fresh, slices, store, texts_of
 from emulake.session import join_on
 
 #: Words that a repeated passage needs. A character of a script without spaces counts as half a word.
@@ -130,6 +130,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     """(doc, unit, digest) of every unit; doc is the content key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         from xxhash import xxh3_128_digest
 
         for batch in slices(batches, SLICE_ROWS // 5):
@@ -174,6 +175,7 @@ def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     at, names = out.columns.index(text), out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             texts, cuts = batch.column(text).to_pylist(), []
             for i, again in enumerate(batch.column(again_in).to_pylist()):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulake.llm.common import fold, scan_tasks, slices, store, summed, texts_of, typed
+from emulake.llm.common import fold, forget_values, scan_tasks, slices, store, summed, texts_of, typed
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -99,6 +99,7 @@ def fit_toxicity(
     tasks = scan_tasks(picked)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        forget_values()
         total = None
         for batch in slices(batches):
             total = np.zeros((2, BUCKETS + 1)) if total is None else total
@@ -121,6 +122,7 @@ def fit_toxicity(
     ratio, size = ratio[useful], int(useful.sum())
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             lists = [number[g[useful[g]]].astype(np.int32) for g in map(ngrams_of, texts_of(batch))]
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
@@ -164,6 +166,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel | None, key: str = "doc_i
     """(key, score, predicted) of every row; NULL text is empty, and without a model every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             score = np.array([model.score(ngrams_of(t)) for t in texts_of(batch)]) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
@@ -175,6 +178,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel | None, text: str = "text", th
     """The rows of ``docs`` that score below ``threshold``, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
         for batch in slices(batches):
             if model:
                 batch = batch.filter(pa.array([model.score(ngrams_of(t)) < threshold for t in texts_of(batch, text)], pa.bool_()))

@@ -496,3 +496,78 @@ def test_plain_texts_fall_into_the_cells_of_a_search_word_by_word(monkeypatch):
         return [(place[n], place[n + 1], " ".join(words[i:j]), 2 * (j - i)) for n, (i, j) in enumerate(zip(edges, edges[1:]))] if at else []
 
     assert fast == [searched_cells(t) for t in texts]
+
+
+def _largest_batch(df):
+    """Rows of the largest Arrow batch in which ``df`` reaches Python."""
+    import pyarrow as pa
+
+    seen = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    return seen.agg(F.max("n")).first()[0]
+
+
+def test_pipeline_stages_hand_texts_to_python_in_small_batches(spark, tmp_path):
+    import corpus_pipeline as p
+    from emulake.llm.common import BATCH_ROWS, BATCH_ROWS_CONF
+
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(2500)], "doc_id long, text string").coalesce(1)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(BATCH_ROWS_CONF, None)
+    try:
+        spark.conf.unset(BATCH_ROWS_CONF)
+        assert _largest_batch(docs) == 2500
+        assert p.run(spark, str(tmp_path)).select("doc_id").distinct().count() >= 1
+        assert spark.conf.get(BATCH_ROWS_CONF, None) is None  # run leaves the session as it was
+        for _, stage in p.STAGES:
+            spark.conf.unset(BATCH_ROWS_CONF)
+            stage(spark, docs, str(tmp_path))
+            assert _largest_batch(docs) == BATCH_ROWS
+        spark.conf.set(BATCH_ROWS_CONF, "300")  # the session's own number stays
+        p.not_toxic(spark, docs, str(tmp_path))
+        assert _largest_batch(docs) == 300
+    finally:
+        spark.conf.unset(BATCH_ROWS_CONF) if before is None else spark.conf.set(BATCH_ROWS_CONF, before)
+
+
+class _Scan:
+    """Stands for a table; a scan in Python is run at once, on no rows."""
+
+    def __init__(self, schema):
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _schema):
+        list(run(iter([])))
+
+
+def test_workers_drop_what_another_operator_kept(spark):
+    from emulake.llm import quality, simhash, substring, toxicity
+    from emulake.llm.common import worker_value
+
+    docs = _Scan(spark.createDataFrame([], "doc_id long, text string").schema)
+    scans = [lambda: quality.keep_good(docs, None), lambda: quality.document_statistics(docs), lambda: toxicity.drop_toxic(docs, None),
+             lambda: toxicity.toxicity_scores(docs, None), lambda: simhash.fingerprints(docs), lambda: substring.digests(docs)]
+    for scan in scans:
+        made = []
+        for _ in range(2):
+            worker_value("test", (), lambda: made.append(1))
+        assert len(made) == 1
+        scan()
+        worker_value("test", (), lambda: made.append(1))
+        assert len(made) == 2
+        scan()  # drops the test's value
+
+
+def test_word_ids_keep_a_piece_and_its_word_once():
+    import public_tokenizers
+    from emulake.llm.packing import WordIds
+
+    ids = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["plainword Plainword's plainword, café x=1; 中文", "", "plainword café's"]
+    got = ids.encode(texts)
+    assert got == [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert all(isinstance(v, bytes) for v in ids.pieces.values())
+    assert ids.pieces["plainword"] is ids.known["plainword"] and ids.pieces["café"] is ids.known["café"]
