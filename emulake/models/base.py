@@ -40,6 +40,10 @@ class Model:
         """The scorer as a numpy function (rows, inputs) -> (rows, outputs), where there is one."""
         return None
 
+    def in_rows(self, spark: SparkSession) -> Callable[[np.ndarray], np.ndarray] | None:
+        """A numpy function, as ``predictor`` gives it, whose predictions are those of ``score`` for any row; None where there is none."""
+        return self.predictor()
+
     def size(self) -> dict[str, int]:
         """Counts that describe the model: weights, nodes, ..."""
         return {}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -21,6 +22,33 @@ from emulake.models.base import REGISTRY, Model
 DEFAULTS = {"n_estimators": 200, "max_depth": 30, "min_samples_leaf": 1, "seed": 42, "max_features": "all", "max_bins": 64}
 
 
+def _walkable(nodes: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each tree of a node table as (depth, feature, threshold, next, value): from node i a row goes on to next[2 i + 1] if it is at or
+    below the threshold, else to next[2 i], and a leaf leads to itself."""
+    trees = []
+    for _, t in nodes.to_pandas().sort_values(["tree", "id"]).groupby("tree"):
+        if not np.array_equal(t["id"].to_numpy(), np.arange(len(t))):
+            raise ValueError("the nodes of a tree must be numbered from 0 without gaps")
+        left, right = (t[c].to_numpy(dtype=np.intp) for c in ("left", "right"))
+        leaf, at, depth = left < 0, np.zeros(1, dtype=np.intp), 0
+        while len(at := at[~leaf[at]]):
+            at, depth = np.concatenate([left[at], right[at]]), depth + 1
+        follow = np.where(leaf, np.arange(len(t)), [right, left]).T.ravel()
+        trees.append((depth, np.where(leaf, 0, t["feature"].to_numpy()).astype(np.intp), t["threshold"].to_numpy(dtype=float), follow, t["value"].to_numpy(dtype=float)))
+    return trees
+
+
+def _walk(x: np.ndarray, trees: Sequence[tuple]) -> np.ndarray:
+    """Mean prediction of the trees for each row, added up in Spark's order; a missing number goes right."""
+    flat, start, total = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+    for depth, feature, threshold, follow, value in trees:
+        at = np.zeros(len(x), dtype=np.intp)
+        for _ in range(depth):
+            at = follow.take(2 * at + (flat.take(start + feature.take(at)) <= threshold.take(at)))
+        total += value.take(at)
+    return total / len(trees)
+
+
 class Forest(Model):
     key = "random_forest"
     aliases = ("rf", "rfr", "forest")
@@ -66,6 +94,10 @@ class Forest(Model):
             "tree", "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
             F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("prediction").alias("value"), F.get("impurityStats", F.lit(0)).alias("cover"))
 
+    def in_rows(self, spark: SparkSession) -> Callable[[np.ndarray], np.ndarray]:
+        sent = spark.sparkContext.broadcast([_walkable(self.nodes(spark, o).toArrow()) for o in self.outputs])
+        return lambda x: np.stack([_walk(x, trees) for trees in sent.value], axis=1)
+
     def _leaf_values(self, spark: SparkSession, output: str) -> list[np.ndarray]:
         """Prediction of every leaf, by tree and leaf number."""
         per = self.nodes(spark, output).where("left < 0").groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("a"))

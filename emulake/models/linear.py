@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulake.models.base import REGISTRY, Model
@@ -53,6 +53,9 @@ class LinearModel(Model):
         w, b = self.weights, self.bias
         return lambda x: x @ w + b
 
+    def in_rows(self, spark: SparkSession):
+        return None  # ``score`` gives NULL for a NULL input, numpy NaN
+
     def shapley(self, df: DataFrame, keep: Sequence[str], means: dict[str, float] | None = None) -> DataFrame:
         """Exact attributions w_j (x_j - E x_j): (keep..., output, feature, phi)."""
         mu = means or dict(zip(self.inputs, map(float, self.centre)))
